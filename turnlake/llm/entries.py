@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from turnlake.llm.bpe_codec import op9_bpe_codec
+from turnlake.llm.simhash_dedup import op1_simhash_dedup
 
 QUERIES = {
+    "op1_simhash_dedup": op1_simhash_dedup,
     "op9_bpe_codec": op9_bpe_codec,
 }
 
