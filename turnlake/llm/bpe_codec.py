@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most pieces, prefixes and pairs that a worker remembers; beyond that it forgets them and starts anew (memory only, no effect on results).
-PIECES_KEPT, HEADS_KEPT, PAIRS_KEPT = 1_000_000, 200_000, 1_000_000
+PIECES_KEPT, HEADS_KEPT, PAIRS_KEPT = 500_000, 150_000, 400_000
 #: Prefixes whose length is a multiple of this, a power of two, are remembered across pieces.
 STRIDE = 4
 NO_LIMIT = 1 << 40
+#: Rows whose results a worker holds at once.
+ROWS_AT_ONCE = 512
 
 
 class _Kept(dict):
@@ -52,16 +54,16 @@ class Codec:
             self.tokens[rank] = token
         self.halves = [self._halves(x) for x in range(len(self.tokens))]
         self.merges = {(pair[0] << 32) | pair[1]: token for token, pair in enumerate(self.halves) if pair}
-        self.suffixes: list[dict[int, int]] = [{}]
+        #: Suffix tree of the tokens: node << 8 | byte before it gives the next node; ends gives the token that a node spells.
+        self.suffixes: dict[int, int] = {}
         self.ends: list[int] = [-1]
         for token, rank in self.ranks.items():
             node = 0
             for byte in reversed(token):
-                if byte not in self.suffixes[node]:
-                    self.suffixes[node][byte] = len(self.suffixes)
-                    self.suffixes.append({})
+                way = (node << 8) | byte
+                node = self.suffixes.setdefault(way, len(self.ends))
+                if node == len(self.ends):
                     self.ends.append(-1)
-                node = self.suffixes[node][byte]
             self.ends[node] = rank
         self.fits = _Kept(self._fits, PAIRS_KEPT)
         self.splitter = regex.compile(pattern)
@@ -104,10 +106,10 @@ class Codec:
 
         Walking back from a prefix's end through the suffix tree meets all tokens that it can end with.
         """
-        suffixes, ends, fits = self.suffixes, self.ends, self.fits
+        following, ends, fits = self.suffixes.get, self.ends, self.fits
         for end in range(len(last), len(data)):
             node, start = 0, end
-            while (node := suffixes[node].get(data[start])) is not None:
+            while (node := following((node << 8) | data[start])) is not None:
                 token = ends[node]
                 if token >= 0 and (not start or fits[(last[start - 1] << 32) | token]):
                     last.append(token)
@@ -202,13 +204,21 @@ def decode_column(ids: Column, ranks_path: str, pattern: str) -> Column:
 
 
 def tokenize(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, ids, decoded) for each row of docs: its tokens and what they decode to.
+    """One row (id, ids, decoded) for each row of docs: its tokens and what they decode to, from one pass of a worker.
 
     Nulls: a null text is empty (no ids), a null id stays null. Repeated rows give repeated rows, an empty table an empty
     one; other columns of docs are not read, so their names cannot clash.
     """
-    encoded = docs.select(F.col(id_col), encode_column(F.col(text_col), ranks_path, pattern).alias("ids"))
-    return encoded.select(id_col, "ids", decode_column(F.col("ids"), ranks_path, pattern).alias("decoded"))
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = codec(ranks_path, pattern)
+        for texts in batches:
+            for at in range(0, len(texts), ROWS_AT_ONCE):
+                ids = [own.encode(x) for x in texts.iloc[at : at + ROWS_AT_ONCE]]
+                yield pd.DataFrame({"ids": ids, "decoded": [own.decode(x) for x in ids]})
+
+    return docs.select(F.col(id_col), both(F.col(text_col)).alias("both")).select(id_col, "both.ids", "both.decoded")
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
