@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from turnlake.llm.bpe_codec import op9_bpe_codec
+from turnlake.llm.secret_scan import op4_secret_scan
 from turnlake.llm.simhash_dedup import op1_simhash_dedup
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op4_secret_scan": op4_secret_scan,
     "op9_bpe_codec": op9_bpe_codec,
 }
 

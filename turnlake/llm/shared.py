@@ -37,11 +37,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _salted_min(pairs: DataFrame, key: str, other: str, low: DataFrame) -> DataFrame:
-    """pairs with column low, each key's smallest neighbour; a key's rows are dealt over SALTS tasks."""
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for a key; a key's many rows in left are dealt by `by` over SALTS tasks."""
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    left = pairs.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
-    return left.join(low.withColumn("salt", salts), [key, "salt"]).drop("salt")
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return dealt.join(right.withColumn("_salt", salts), [key, "_salt"], how).drop("_salt")
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -65,10 +65,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = (
-            _salted_min(both, "u", "v", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            salted_join(both, low, "u", F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _salted_min(large, "u", "v", low)
+        small = salted_join(large, low, "u", F.col("v"))
         edges = staged(
             small.select(F.col("u"), F.col("m").alias("v"))
             .unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
