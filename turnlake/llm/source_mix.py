@@ -122,7 +122,8 @@ def mix_slots(sources: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataF
         .withColumn("index", F.expr("slot % blocks"))
     )
     key = F.xxhash64(F.lit(seed), F.coalesce(F.col("source"), F.lit("\0null")), F.col("turn"))
-    place = F.when(F.col("index") < F.col("full"), _permuted("index", F.greatest("full", F.lit(1)), key)).otherwise(F.col("index"))
+    whole = F.greatest("full", F.lit(1))  # the permutation is evaluated for the tail block too, so its input stays in range
+    place = F.when(F.col("index") < F.col("full"), _permuted(F.least("index", whole - 1), whole, key)).otherwise(F.col("index"))
     held = F.least(F.lit(block), F.col("source_size") - F.col("index") * block)
     take = F.when(F.col("turn") < F.col("passes"), held).otherwise(F.least(held, F.col("rest") - F.col("index") * block))
     return slots.select("shard", "source_no", "slot", place.alias("block"), take.cast("long").alias("take"))
