@@ -1,15 +1,71 @@
-"""A corpus pipeline: each stage applies one training-data operator to what the stage before it kept."""
+"""A corpus pipeline: each stage applies one training-data operator to what the stage before it kept.
+
+Every stage but the last returns the columns of documents. Between stages the rows are written as Parquet to the shared
+folder and read again, so a stage reads its input as often as it needs without repeating the stages before it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnlake.llm import bpe_codec, quality_crf, secret_scan, simhash_dedup, source_mix
+from turnlake.llm.shared import staged
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line-chain classifier does not reject."""
+    field = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_crf.score(docs, field).where(F.col("score") >= quality_crf.THRESHOLD).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least id, of each group of near duplicates; rows of one id stay or go together.
+
+    The ids that go are fewer than those that stay, so they are what the documents are joined with. Rows with a null id stay.
+    """
+    found = simhash_dedup.near_duplicates(docs)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, live-looking secrets replaced by a mark; n_chars is the new text's length."""
+    clean = secret_scan.redact(docs, secret_scan.scan(docs))
+    length = F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", length)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix of sources takes, as documents; a document taken twice gives two rows."""
+    return source_mix.mixed_documents(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document (little-endian unsigned 32-bit integers), their number and the digest of what they decode to."""
+    import public_tokenizers
+
+    tokens = bpe_codec.tokenize(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return tokens.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("secrets", secrets),
+    ("mixing", mixing),
+    ("encoding", encoding),
+]
 
-STAGES: list = []
+#: SQL cannot express the field, the permutations or the encoding; tests/llm compares the stages with plain Python.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = staged(docs)
     return docs
