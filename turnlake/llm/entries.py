@@ -7,12 +7,14 @@ from turnlake.llm.quality_crf import op3_quality_crf
 from turnlake.llm.secret_scan import op4_secret_scan
 from turnlake.llm.simhash_dedup import op1_simhash_dedup
 from turnlake.llm.source_mix import op5_source_mix
+from turnlake.llm.url_templates import op7_url_templates
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_quality_crf": op3_quality_crf,
     "op4_secret_scan": op4_secret_scan,
     "op5_source_mix": op5_source_mix,
+    "op7_url_templates": op7_url_templates,
     "op9_bpe_codec": op9_bpe_codec,
 }
 
