@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most pieces, prefixes and pairs that a worker remembers; beyond that it forgets them and starts anew (memory only, no effect on results).
-PIECES_KEPT, HEADS_KEPT, PAIRS_KEPT = 500_000, 150_000, 400_000
+PIECES_KEPT, HEADS_KEPT, PAIRS_KEPT = 250_000, 80_000, 250_000
 #: Prefixes whose length is a multiple of this, a power of two, are remembered across pieces.
 STRIDE = 4
 NO_LIMIT = 1 << 40
@@ -139,6 +139,11 @@ class Codec:
         ids = [whole] if whole is not None else self.walk(self.fill(data, self.heads[data[: (len(data) - 1) & -STRIDE]].copy()))
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def forget(self) -> None:
+        """Give back the memory of remembered pieces and prefixes."""
+        self.pieces.clear()
+        self.heads.clear()
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; null counts as empty."""
         pieces = self.pieces
@@ -217,6 +222,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
             for at in range(0, len(texts), ROWS_AT_ONCE):
                 ids = [own.encode(x) for x in texts.iloc[at : at + ROWS_AT_ONCE]]
                 yield pd.DataFrame({"ids": ids, "decoded": [own.decode(x) for x in ids]})
+        own.forget()
 
     return docs.select(F.col(id_col), both(F.col(text_col)).alias("both")).select(id_col, "both.ids", "both.decoded")
 
