@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from turnlake.llm.bpe_codec import op9_bpe_codec
+from turnlake.llm.pii_transducer import op8_pii_transducer
 from turnlake.llm.quality_crf import op3_quality_crf
 from turnlake.llm.secret_scan import op4_secret_scan
 from turnlake.llm.simhash_dedup import op1_simhash_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_source_mix": op5_source_mix,
     "op7_url_templates": op7_url_templates,
+    "op8_pii_transducer": op8_pii_transducer,
     "op9_bpe_codec": op9_bpe_codec,
 }
 
