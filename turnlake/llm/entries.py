@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from turnlake.llm.bpe_codec import op9_bpe_codec
+from turnlake.llm.hnsw_dedup import op10_hnsw_dedup
 from turnlake.llm.pii_transducer import op8_pii_transducer
 from turnlake.llm.quality_crf import op3_quality_crf
 from turnlake.llm.secret_scan import op4_secret_scan
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_url_templates": op7_url_templates,
     "op8_pii_transducer": op8_pii_transducer,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_hnsw_dedup": op10_hnsw_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
