@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnlake.llm.shared import small_batches
+
 #: Most pieces, prefixes and pairs that a worker remembers; beyond that it forgets them and starts anew (memory only, no effect on results).
 PIECES_KEPT, HEADS_KEPT, PAIRS_KEPT = 250_000, 80_000, 250_000
 #: Prefixes whose length is a multiple of this, a power of two, are remembered across pieces.
@@ -215,6 +217,8 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     one; other columns of docs are not read, so their names cannot clash.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("ids binary, decoded binary")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(ranks_path, pattern)

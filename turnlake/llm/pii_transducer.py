@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from turnlake.llm.shared import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the plain identifiers.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -213,6 +215,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Null and empty texts have no spans, null ids stay, repeated rows give equal rows, an empty table gives an empty one;
     other columns are not read, so their names cannot clash.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), _identifiers(F.col(text_col)).alias("spans"))
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
+from turnlake.llm.shared import small_batches
+
 #: Labelled documents that a model is fitted on at most, taken by the hash of their ids, and lines of each.
 SAMPLE_DOCS, SAMPLE_LINES = 4000, 256
 STEPS, RATE, RIDGE = 200, 0.1, 2e-4
@@ -185,6 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     labels (doc_id, quality): rows with a null id or a quality other than 0 and 1 are left out; of a document's several
     labels each distinct one counts. The sample is the ids with the least hash, so it is the same in each run.
     """
+    small_batches(docs.sparkSession)
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     chosen = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", _sample_bins("text").alias("bins"))
@@ -195,6 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 def score(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """docs with column score, the quality of each whole text (0 to 1); null and empty texts are one empty line."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf(DoubleType())
     def quality(texts: pd.Series) -> pd.Series:
         return pd.Series([field.quality(x) for x in texts], dtype="float64")

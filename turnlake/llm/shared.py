@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows of a node with many links are spread over this many tasks.
 SALTS = 16
 
+#: Rows of texts in an Arrow batch.
+TEXTS_AT_ONCE = 1000
+
 #: Characters that part words: space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow carry at most TEXTS_AT_ONCE rows at once to Python: texts are long, and a batch is held whole on both sides."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting, "10000")) <= TEXTS_AT_ONCE:
+        spark.conf.set(setting, str(TEXTS_AT_ONCE))
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from turnlake.llm.shared import connected_components, staged
+from turnlake.llm.shared import connected_components, small_batches, staged
 
 SEED = 42
 SHINGLE = 4
@@ -58,6 +58,7 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (doc_id, fp) for each row of docs; null and wordless texts have fingerprint 0."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col).cast("string")).alias("fp"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType
 
-from turnlake.llm.shared import WORD, staged, word_count
+from turnlake.llm.shared import WORD, small_batches, staged, word_count
 
 WEIGHTS = (5, 2, 1)
 BUDGET, MOST_PASSES = 1.5, 2
@@ -224,6 +224,7 @@ def _copies(text: pd.Series, parts: pd.Series) -> pd.Series:
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """The mix as documents: a row for each copy that a document gives, with the columns of docs; n_chars is the new text's."""
+    small_batches(docs.sparkSession)
     numbered, sources = _prepared(docs, "doc_id", "text", "source", docs.columns)
     parts = (
         _plan(numbered, sources, block, seed)
