@@ -75,24 +75,24 @@ def _joined(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     return dealt.join(facts.withColumn("_salt", salts), [*keys, "_salt"]).drop("_salt")
 
 
-def generalised(templates: DataFrame) -> DataFrame:
+def generalised(templates: DataFrame, levels: int) -> DataFrame:
     """templates (host, forms, template, pages, labelled, bad) with wildcards for children that vary, from the root down."""
-    for depth in range(DEPTH):
+    for depth in range(levels):
         below = _by_parent(templates, depth)
         nodes = below.groupBy("parent", "child").agg(F.sum("pages").alias("pages")).groupBy("parent").agg(F.count("*").alias("children"), F.sum("pages").alias("of_all"))
         varies = (F.col("children") > FANOUT) & (F.col("of_all") < SUPPORT * F.col("children"))
         changed = _joined(below, nodes, ["parent"]).withColumn("template", F.when(varies, _with_segment("template", depth, F.lit(WILD))).otherwise(F.col("template")))
-        templates = changed.select(templates.columns).unionByName(templates.where(F.size("template") <= depth))
+        templates = staged(changed.select(templates.columns).unionByName(templates.where(F.size("template") <= depth)))
     return templates
 
 
-def merged(templates: DataFrame) -> DataFrame:
+def merged(templates: DataFrame, levels: int) -> DataFrame:
     """templates with children merged that do not differ from their siblings, from the leaves up.
 
     A child's share of bad pages is held against that of all its siblings by the z-score for two proportions; a child
     with no labelled page does not differ.
     """
-    for depth in reversed(range(DEPTH)):
+    for depth in reversed(range(levels)):
         below = _by_parent(templates, depth)
         child = below.groupBy("parent", "child").agg(F.sum("labelled").alias("m"), F.sum("bad").alias("k"))
         node = child.groupBy("parent").agg(F.sum("m").alias("m_all"), F.sum("k").alias("k_all"))
@@ -103,7 +103,7 @@ def merged(templates: DataFrame) -> DataFrame:
         own = F.when((F.col("m") > 0) & (others > 0) & (error > 0), F.abs(gap) > Z * error).otherwise(F.lit(False))
         alike = child.join(node, "parent").select("parent", "child", own.alias("own"))
         changed = _joined(below, alike, ["parent", "child"]).withColumn("template", F.when(F.col("own"), F.col("template")).otherwise(_with_segment("template", depth, F.lit(MERGED))))
-        templates = changed.select(templates.columns).unionByName(templates.where(F.size("template") <= depth))
+        templates = staged(changed.select(templates.columns).unionByName(templates.where(F.size("template") <= depth)))
     return templates
 
 
@@ -125,8 +125,9 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: tuple = RULES) -> DataFr
         .agg(F.count("*").alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
         .withColumn("template", F.col("forms"))
     )
-    tree = staged(merged(staged(generalised(counted))))
-    overall = counted.agg(F.try_divide(F.sum("bad"), F.sum("labelled"))).first()[0] or 0.0
+    overall, levels = counted.agg(F.try_divide(F.sum("bad"), F.sum("labelled")), F.max(F.size("forms"))).first()
+    overall, levels = overall or 0.0, max(0, levels or 0)
+    tree = merged(generalised(counted, levels), levels)
     sums = tree.groupBy("host", "template").agg(F.sum("labelled").alias("m"), F.sum("bad").alias("k"))
     purity = (F.col("k") + PRIOR_PAGES * overall) / (F.col("m") + PRIOR_PAGES)
     named = staged(tree.select("host", "forms", "template").join(sums.select("host", "template", purity.alias("purity")), ["host", "template"]))
