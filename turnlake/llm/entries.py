@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from turnlake.llm.bpe_codec import op9_bpe_codec
+from turnlake.llm.chain_dedup import op6_chain_dedup
 from turnlake.llm.hnsw_dedup import op10_hnsw_dedup
 from turnlake.llm.pii_transducer import op8_pii_transducer
 from turnlake.llm.quality_crf import op3_quality_crf
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_quality_crf": op3_quality_crf,
     "op4_secret_scan": op4_secret_scan,
     "op5_source_mix": op5_source_mix,
+    "op6_chain_dedup": op6_chain_dedup,
     "op7_url_templates": op7_url_templates,
     "op8_pii_transducer": op8_pii_transducer,
     "op9_bpe_codec": op9_bpe_codec,
