@@ -5,6 +5,7 @@ from __future__ import annotations
 from turnlake.llm.bpe_codec import op9_bpe_codec
 from turnlake.llm.chain_dedup import op6_chain_dedup
 from turnlake.llm.hnsw_dedup import op10_hnsw_dedup
+from turnlake.llm.nn_descent import op2_nn_descent
 from turnlake.llm.pii_transducer import op8_pii_transducer
 from turnlake.llm.quality_crf import op3_quality_crf
 from turnlake.llm.secret_scan import op4_secret_scan
@@ -14,6 +15,7 @@ from turnlake.llm.url_templates import op7_url_templates
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_nn_descent": op2_nn_descent,
     "op3_quality_crf": op3_quality_crf,
     "op4_secret_scan": op4_secret_scan,
     "op5_source_mix": op5_source_mix,
