@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 from turnlake.llm.hnsw_dedup import usable
 from turnlake.llm.shared import staged
 
-SHARD_ROWS = 16384
+SHARD_ROWS = 8192
 #: Links of a node; links back to a node that a round looks at; links back in the finished graph; random links of a node.
-LINKS, BACK, WALK_BACK, RANDOM = 24, 12, 24, 4
+LINKS, BACK, WALK_BACK, RANDOM = 22, 8, 22, 4
 #: Rounds at most, and the share of changed links below which no further round is made.
 ROUNDS, SETTLED = 5, 0.02
 #: Nodes whose candidates one task scores; tables of projections, and rows of a block that are compared for the first links.
-SCORED_ROWS, TABLES, FIRST_BLOCK = 4096, 4, 128
+SCORED_ROWS, TABLES, FIRST_BLOCK = 1024, 4, 128
 #: Queries of a block, those of them that are audited, the recall they need, the first beam and the nodes where walks may begin.
 QUERY_ROWS, AUDITED, RECALL = 256, 32, 0.95
 FIRST_BEAM, FIRST_PLACES, LEFT_AT_ONCE = 160, 512, 4
