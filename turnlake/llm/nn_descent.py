@@ -25,8 +25,9 @@ LINKS, BACK, WALK_BACK, RANDOM = 22, 8, 22, 4
 ROUNDS, SETTLED = 5, 0.02
 #: Nodes whose candidates one task scores; tables of projections, and rows of a block that are compared for the first links.
 SCORED_ROWS, TABLES, FIRST_BLOCK = 1024, 4, 128
-#: Queries of a block, those of them that are audited, the recall they need, the first beam and the nodes where walks may begin.
-QUERY_ROWS, AUDITED, RECALL = 256, 32, 0.95
+#: Queries of a block, those that walk together, those of them that are audited, the recall they need, the first beam and
+#: the nodes where walks may begin.
+QUERY_ROWS, TOGETHER, AUDITED, RECALL = 1024, 256, 32, 0.95
 FIRST_BEAM, FIRST_PLACES, LEFT_AT_ONCE = 160, 512, 4
 SEED = 11
 
@@ -220,6 +221,24 @@ def walk(queries: np.ndarray, vectors: np.ndarray, graph: np.ndarray, most: int,
     return np.where(np.isfinite(np.take_along_axis(scores, order, axis=1)), np.take_along_axis(beam, order, axis=1), -1)
 
 
+def audited_walk(q: np.ndarray, vectors: np.ndarray, graph: np.ndarray, most: int) -> np.ndarray:
+    """walk() with a beam and places that are doubled until audited queries meet RECALL of their most nearest nodes."""
+    n = len(vectors)
+    audited = np.arange(0, len(q), max(1, len(q) // AUDITED))
+    truth = q[audited] @ vectors.T
+    bound = np.partition(truth, max(0, n - most), axis=1)[:, max(0, n - most)]
+    width, places = max(FIRST_BEAM, most), FIRST_PLACES
+    while True:
+        found = walk(q, vectors, graph, most, min(width, max(n, most)), places)
+        own = found[audited]
+        hits = (own >= 0) & (np.take_along_axis(truth, np.maximum(own, 0), axis=1) >= bound[:, None] - 1e-5)
+        if hits.sum() >= RECALL * min(most, n) * len(audited) or width >= n:
+            return found
+        width, places = 2 * width, 2 * places
+        if width >= n:
+            places = n
+
+
 def _searching(most: int):
     def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         """The most nearest nodes of one shard for each query of a block."""
@@ -229,23 +248,15 @@ def _searching(most: int):
         n = len(nodes)
         vectors = _matrix(held["vectors"].iloc[0], n)
         graph = _matrix(held["graph"].iloc[0], n, "<i4")
-        exact = np.array(asked["embedding"].tolist(), dtype=np.float64)
-        single, q = vectors.astype(np.float32), exact.astype(np.float32)
-        audited = np.arange(0, len(q), max(1, len(q) // AUDITED))
-        truth = q[audited] @ single.T
-        bound = np.partition(truth, max(0, n - most), axis=1)[:, max(0, n - most)]
-        width, places = max(FIRST_BEAM, most), FIRST_PLACES
-        while True:
-            found = walk(q, single, graph, most, min(width, max(n, most)), places)
-            hits = np.where(found[audited] >= 0, np.take_along_axis(truth, np.maximum(found[audited], 0), axis=1) >= bound[:, None] - 1e-5, False)
-            if hits.sum() >= RECALL * min(most, n) * len(audited) or width >= n:
-                break
-            width, places = 2 * width, 2 * places
-            if width >= n:
-                places = n
-        rows, columns = np.nonzero(found >= 0)
-        hit = found[rows, columns]
-        return pd.DataFrame({"query": asked["node"].to_numpy("int64")[rows], "node": nodes[hit], "score": (exact[rows] * vectors[hit]).sum(axis=1)})
+        single, parts = vectors.astype(np.float32), []
+        for at in range(0, len(asked), TOGETHER):
+            part = asked.iloc[at : at + TOGETHER]
+            exact = np.array(part["embedding"].tolist(), dtype=np.float64)
+            found = audited_walk(exact.astype(np.float32), single, graph, most)
+            rows, columns = np.nonzero(found >= 0)
+            hit = found[rows, columns]
+            parts.append(pd.DataFrame({"query": part["node"].to_numpy("int64")[rows], "node": nodes[hit], "score": (exact[rows] * vectors[hit]).sum(axis=1)}))
+        return pd.concat(parts)
 
     return search
 
@@ -284,7 +295,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     )
     keys = ["size", "shard", "block"]
     blocks = asked.select(*[F.col(x).alias(x) for x in keys]).distinct()
-    held = staged(graphs.join(blocks, ["size", "shard"]))
+    held = graphs.join(blocks, ["size", "shard"])
     met = staged(asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(_searching(k + 1), "query long, node long, score double"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = met.join(holders, "node").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
