@@ -283,6 +283,17 @@ def test_tokens_are_the_librarys(spark, documents, tokenizer):
         assert found[d].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_long_pieces_are_the_librarys(spark, tokenizer):
+    import public_tokenizers
+
+    texts = ["x" * 5000, "a" + "=" * 20_000, " " * 3000 + "y", "7" * 2500, "é" * 3000, "ab" * 30_000, "x" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in bpe_codec.tokenize(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()}
+    for i, text in enumerate(texts):
+        ids = tokenizer.encode_ordinary(text)
+        assert found[i].ids == struct.pack(f"<{len(ids)}I", *ids) and found[i].decoded == text.encode()
+
+
 def test_appends_and_edits_are_exact():
     import public_tokenizers
 
@@ -329,3 +340,15 @@ def test_operators_take_odd_rows_and_empty_tables(spark):
     for name, run in runs.items():
         assert run(odd).count() == odd.count(), name
         assert run(odd.limit(0)).count() == 0, name
+
+
+def test_operators_compute_all_columns_of_odd_rows(spark):
+    """Collects the rows: a count lets Spark leave out the columns that the Python workers make."""
+    import public_tokenizers
+
+    odd = odd_documents(spark)
+    labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (5, None)], "doc_id long, quality int")
+    tokens = lambda df: bpe_codec.tokenize(df, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    for run in (simhash_dedup.near_duplicates, lambda df: quality_crf.classify(df, labels), secret_scan.scan, source_mix.mix, chain_dedup.shared_passages, pii_transducer.find, tokens):
+        assert len(run(odd).collect()) == 8
+    assert sorted(r.decoded for r in tokens(odd).collect()) == sorted((r.text or "").encode() for r in odd.collect())

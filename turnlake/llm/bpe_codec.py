@@ -26,6 +26,8 @@ from turnlake.llm.shared import small_batches
 PIECES_KEPT, HEADS_KEPT, PAIRS_KEPT = 250_000, 80_000, 250_000
 #: Prefixes whose length is a multiple of this, a power of two, are remembered across pieces.
 STRIDE = 4
+#: Prefixes and pieces longer than this, a multiple of STRIDE, are not remembered but filled in anew (memory only, no effect on results).
+LONGEST_KEPT = 256
 NO_LIMIT = 1 << 40
 #: Rows whose results a worker holds at once.
 ROWS_AT_ONCE = 512
@@ -132,13 +134,13 @@ class Codec:
         return out[::-1]
 
     def _head(self, head: bytes) -> list[int]:
-        """Last tokens of a prefix that many pieces share; pieces append to it."""
+        """Last tokens of a prefix of at most LONGEST_KEPT bytes that many pieces share; pieces append to it."""
         return self.fill(head, self.heads[head[:-STRIDE]].copy() if len(head) > STRIDE else [])
 
     def _encode_piece(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.ranks.get(data)
-        ids = [whole] if whole is not None else self.walk(self.fill(data, self.heads[data[: (len(data) - 1) & -STRIDE]].copy()))
+        ids = [whole] if whole is not None else self.walk(self.fill(data, self.heads[data[: min(len(data) - 1, LONGEST_KEPT) & -STRIDE]].copy()))
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def forget(self) -> None:
@@ -148,8 +150,8 @@ class Codec:
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; null counts as empty."""
-        pieces = self.pieces
-        return b"".join([pieces[x] for x in self.splitter.findall(text)]) if text else b""
+        pieces, make = self.pieces, self._encode_piece
+        return b"".join([pieces[x] if len(x) <= LONGEST_KEPT else make(x) for x in self.splitter.findall(text)]) if text else b""
 
     def decode(self, ids: bytes | None) -> bytes:
         tokens = self.tokens
