@@ -320,6 +320,32 @@ def test_shared_passages(spark):
     assert found[4] == found[5] == [(0, 300)] and found[6] == found[7] == []
 
 
+def found_passages(spark, texts):
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in texts.items()], "doc_id long, text string")
+    return {r.doc_id: [(x.start, x.end) for x in r.spans] for r in chain_dedup.shared_passages(df).collect()}
+
+
+def test_short_fuzzy_passages_are_shared(spark):
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10_000_000, n)]
+    texts = {}
+    for i in range(60):
+        passage = words(60)
+        changed = set(rng.choice(np.arange(3, 57), 7, replace=False).tolist())
+        texts |= {2 * i: words(50) + passage + words(50), 2 * i + 1: words(70) + [f"other{j}" if j in changed else x for j, x in enumerate(passage)] + words(20)}
+    found = found_passages(spark, texts)
+    assert sum(bool(x) for x in found.values()) >= 0.95 * len(texts)
+
+
+def test_a_passage_repeated_in_one_document_is_shared_twice(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10_000_000, n)]
+    passage = words(80)
+    found = found_passages(spark, {1: words(20) + passage + words(20), 2: words(10) + passage + words(30) + passage + words(10)})
+    covers = lambda spans, a, b: any(s <= a + 6 and e >= b - 6 for s, e in spans)
+    assert covers(found[2], 10, 90) and covers(found[2], 120, 200)
+
+
 # Edge rows
 
 
