@@ -346,6 +346,24 @@ def test_a_passage_repeated_in_one_document_is_shared_twice(spark):
     assert covers(found[2], 10, 90) and covers(found[2], 120, 200)
 
 
+def test_passages_that_earlier_documents_quote_in_part_are_shared(spark):
+    rng = np.random.default_rng(7)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10_000_000, n)]
+    covers = lambda spans, a, b: any(s <= a and e >= b for s, e in spans)
+    texts, whole = {}, {}
+    for i in range(0, 200, 10):
+        passage = words(60)
+        parts = [passage[:30], passage[30:]]
+        texts |= {i: words(20) + parts[0] + words(20), i + 1: words(20) + parts[1] + words(20)}
+        texts |= {i + 2: words(25) + passage + words(25)}
+        texts |= {i + 3: words(20) + parts[0] + words(20), i + 4: words(20) + parts[1] + words(20)}
+        texts |= {i + 5: words(35) + passage + words(15)}
+        whole |= {i + 2: (25, 85), i + 5: (35, 95)}
+    found = found_passages(spark, texts)
+    assert all(covers(found[d], *span) for d, span in whole.items())
+    assert all(not found[d] for d in texts if d not in whole)
+
+
 # Edge rows
 
 
