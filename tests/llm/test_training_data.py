@@ -216,6 +216,18 @@ def test_disguised_identifiers_keep_their_offsets():
     assert pii_transducer.identifiers("look at the dot on the map at home") == []
 
 
+def test_disguises_are_found_whatever_else_the_text_holds():
+    for text, kind, part in (
+        ("john.smith at example.com", 0, "john.smith at example.com"),
+        ("server 192 dot 168 dot 10 dot 25", 1, "192 dot 168 dot 10 dot 25"),
+        ("ring plus 49 172 555 1234 now", 3, "plus 49 172 555 1234"),
+        ("ring plus 4 9 1 7 2 5 5 5 1 2 3 four.", 3, "plus 4 9 1 7 2 5 5 5 1 2 3 four"),
+    ):
+        for around in ("{}", "{} near the red dot", "one {}"):
+            own = around.format(text)
+            assert (kind, own.index(part), own.index(part) + len(part), False) in pii_transducer.identifiers(own), own
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.NET/en/x?y"), (2, "https://b.net/q"), (3, "http://x.example.com/de/1"), (4, "ftp://k.org/fr/2#t"), (5, None), (6, "no scheme/net"), (7, "http://netnet/de"), (None, "http://x.org/en")]
     pages = spark.createDataFrame([(*x, "h") for x in rows], "page_id long, url string, host string")

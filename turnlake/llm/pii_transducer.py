@@ -49,9 +49,14 @@ DISGUISED_EMAIL = re.compile(rf"(?<![A-Za-z0-9_%+-]){_NAME}(?:{_DOT}{_NAME})*{_A
 DISGUISED_PART = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
 #: What a text with a disguised address has: dot as a word, or at in brackets (or an @ apart from its neighbours).
 DOT_WORD, AT_WORD = re.compile(r"dot(?<![a-z]dot)(?![a-z])"), re.compile(r"[\[({<]\s*at\s*[\])}>]")
+#: Or at as a word before a host with a full stop.
+AT_HOST = re.compile(r"\sat\s+[a-z0-9-]+\.")
+#: What a spelled number has: two digits side by side of which one is a word, or dot, point or plus as a word beside a digit.
+_WORDS, _APART = "|".join(DIGIT_WORDS), r"[\s,-]+(?:(?:dot|point)\s+)?"
+SPELLED_SIGN = re.compile(rf"(?:{_WORDS})(?:{_APART}{_DIGIT}|[0-9])|[0-9](?:{_APART}(?:{_WORDS})|[\s,-]+(?:dot|point)\s+[0-9])|plus\s+{_DIGIT}")
 #: Last labels of a host that are believed where "at" or "dot" stand as bare words.
 COMMON_ENDS = frozenset("com org net edu gov info io co uk de fr es it eu us ca example".split())
-AFTER_WORD = " ,-\n\t0123456789"
+SPELLED_WORDS = (*DIGIT_WORDS, "dot", "point", "plus")
 INVISIBLE = "­​‌‍⁠﻿"
 
 
@@ -172,8 +177,8 @@ def identifiers(text: str | None) -> list[tuple[int, int, int, bool]]:
     base = plain(text) if "@" in text or any(x in text for x in "0123456789") else []
     odd = _has_sign(text)
     low = text.lower()
-    spelled = any(x + mark in low for x in DIGIT_WORDS if x in low for mark in AFTER_WORD)
-    disguised = ("dot" in low and DOT_WORD.search(low)) or any(x in low for x in "[({<") and AT_WORD.search(low) or "@" in low and re.search(r"\s@|@\s", low)
+    spelled = any(x in low for x in SPELLED_WORDS) and SPELLED_SIGN.search(low)
+    disguised = ("dot" in low and DOT_WORD.search(low)) or any(x in low for x in "[({<") and AT_WORD.search(low) or "@" in low and re.search(r"\s@|@\s", low) or "at" in low and AT_HOST.search(low)
     if not (odd or spelled or disguised):
         return [(*x, True) for x in sorted(base)]
     new = Rewriting(text)
