@@ -228,6 +228,17 @@ def test_disguises_are_found_whatever_else_the_text_holds():
             assert (kind, own.index(part), own.index(part) + len(part), False) in pii_transducer.identifiers(own), own
 
 
+def test_disguises_of_any_host_and_of_short_addresses_are_found():
+    ends = "nl ru ch pl jp in br au dev me ai museum"
+    texts = [(f"write to jane dot doe at mail dot {x} now", 0, f"jane dot doe at mail dot {x}") for x in ends.split()]
+    texts += [(f"write to jane.doe at mail.{x} now", 0, f"jane.doe at mail.{x}") for x in "nl ru ch pl com".split()]
+    texts += [(f"ask {x} now", 1, x) for x in ("eight dot eight dot four dot four", "one two seven dot zero dot zero dot one")]
+    for text, kind, part in texts:
+        assert (kind, text.index(part), text.index(part) + len(part), False) in pii_transducer.identifiers(text), text
+    for text in ("look at the dot on the map", "we met at noon.Then we left", "one two three four", "one dot two dot three"):
+        assert pii_transducer.identifiers(text) == []
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.NET/en/x?y"), (2, "https://b.net/q"), (3, "http://x.example.com/de/1"), (4, "ftp://k.org/fr/2#t"), (5, None), (6, "no scheme/net"), (7, "http://netnet/de"), (None, "http://x.org/en")]
     pages = spark.createDataFrame([(*x, "h") for x in rows], "page_id long, url string, host string")

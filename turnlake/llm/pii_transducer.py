@@ -38,8 +38,10 @@ LOOK_ALIKES = {
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _DIGIT = f"(?:{'|'.join(DIGIT_WORDS)}|[0-9])"
-#: Seven spelled or written digits or more, parted by white space, commas, hyphens or spelled dots; "plus" may lead.
-SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus\s+)?{_DIGIT}(?:(?:[\s,-]+(?:(?:dot|point)\s+)?|(?=[0-9])){_DIGIT}){{6,}}(?![A-Za-z])", re.I)
+#: Four spelled or written digits or more, parted by white space, commas, hyphens or spelled dots; "plus" may lead.
+SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus\s+)?{_DIGIT}(?:(?:[\s,-]+(?:(?:dot|point)\s+)?|(?=[0-9])){_DIGIT}){{3,}}(?![A-Za-z])", re.I)
+#: Digits that a run has at least, or else these spelled dots (an address of four numbers).
+SPELLED_DIGITS, SPELLED_DOTS = 7, 3
 SPELLED_PART = re.compile(rf"plus|dot|point|{_DIGIT}|[\s,-]+", re.I)
 _NAME = r"[A-Za-z0-9_%+-]+"
 _AT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
@@ -54,8 +56,18 @@ AT_HOST = re.compile(r"\sat\s+[a-z0-9-]+\.")
 #: What a spelled number has: two digits side by side of which one is a word, or dot, point or plus as a word beside a digit.
 _WORDS, _APART = "|".join(DIGIT_WORDS), r"[\s,-]+(?:(?:dot|point)\s+)?"
 SPELLED_SIGN = re.compile(rf"(?:{_WORDS})(?:{_APART}{_DIGIT}|[0-9])|[0-9](?:{_APART}(?:{_WORDS})|[\s,-]+(?:dot|point)\s+[0-9])|plus\s+{_DIGIT}")
-#: Last labels of a host that are believed where "at" or "dot" stand as bare words.
-COMMON_ENDS = frozenset("com org net edu gov info io co uk de fr es it eu us ca example".split())
+#: Last labels of a host that are believed where "at" stands as a bare word and the dots are full stops, which may
+#: also end a sentence: general ones and those of countries.
+COMMON_ENDS = frozenset(
+    """com org net edu gov mil int info biz name pro io co uk eu example dev app ai me tv xyz online site tech cloud
+    ac ad ae af ag al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn cr cu cv cw
+    cx cy cz de dj dk dm do dz ec ee eg er es et fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gt gu gw gy hk hm hn hr ht hu id ie il im in
+    iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx
+    my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr
+    ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tw tz ua ug us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw""".split()
+)
+#: Words that no host has as a label where "dot" stands as a bare word; with it, any other last label is believed.
+FUNCTION_WORDS = frozenset("a an and any at but by each every for from had has have her his if its my of on or our out over that the their then there these they this those under was were when where which while with your".split())
 SPELLED_WORDS = (*DIGIT_WORDS, "dot", "point", "plus")
 INVISIBLE = "­​‌‍⁠﻿"
 
@@ -150,17 +162,30 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     for run in SPELLED.finditer(text):
         if not any(x.isalpha() for x in run[0]):
             continue
-        for part in SPELLED_PART.finditer(text, *run.span()):
+        parts = list(SPELLED_PART.finditer(text, *run.span()))
+        words = [x[0].lower() for x in parts]
+        if sum(x in ("dot", "point") for x in words) < SPELLED_DOTS and sum(x in DIGIT_WORDS or x.isdigit() for x in words) < SPELLED_DIGITS:
+            continue
+        for part in parts:
             word = part[0].lower()
             new = "+" if word == "plus" else "." if word in ("dot", "point") else DIGIT_WORDS.get(word, word if word.isdigit() else "")
             edits.append((*part.span(), new))
     return edits
 
 
+def _believed(phrase: str) -> bool:
+    """Whether a phrase that reads as an address is one, by its host where at or dot stand as bare words."""
+    bare = set(re.findall(r"[a-z0-9]\s+(at|dot)(?=\s+[a-z0-9])", phrase))
+    host = re.split(_DOT, re.split(_AT, phrase)[-1])
+    if "dot" in bare:
+        return FUNCTION_WORDS.isdisjoint(host[:-1]) and (host[-1] not in FUNCTION_WORDS or host[-1] in COMMON_ENDS)
+    return not bare or host[-1] in COMMON_ENDS or re.search(r"dot\s*[\])}>]", phrase) is not None
+
+
 def _disguise_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for phrase in DISGUISED_EMAIL.finditer(text):
-        if re.search(r"[A-Za-z0-9]\s+(?:at|dot)\s+[A-Za-z0-9]", phrase[0], re.I) and re.split(r"[^A-Za-z]+", phrase[0].lower())[-1] not in COMMON_ENDS:
+        if not _believed(phrase[0].lower()):
             continue
         for part in DISGUISED_PART.finditer(text, *phrase.span()):
             edits.append((*part.span(), "@" if part["at"] else "."))
