@@ -182,6 +182,14 @@ def test_widely_owned_values_are_not_live(spark):
     assert {r.doc_id: r.text for r in secret_scan.redact(df, scanned).collect()}[9] == f"see [secret] and {value}"
 
 
+def test_copies_of_a_text_do_not_make_its_secret_an_example(spark):
+    copied, example, secret = "Zx81kQpLm20vBnT7aWqE", "Qp93mZtRw81xLcVb55Ks", "Lr47vNbYq62wHjDf09Ug"
+    rows = [(1, f"my key {copied} is here", "en", "a"), (2, f"my key {copied} is here", "de", "b"), (3, f"My  key {copied}\nis here", "en", "c")]
+    rows += [(10 + i, f"page {i} shows {example}", "en", "hot") for i in range(40)] + [(60 + i, f"{x} has {secret}", "en", "hot") for i, x in enumerate("pq")]
+    scanned = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id for r in scanned if r.live} == {1, 2, 3, 60, 61}
+
+
 def base_pii(text):
     text, found = text or "", []
     luhn = lambda d: sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(d[::-1])) % 10 == 0
