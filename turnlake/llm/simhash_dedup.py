@@ -22,15 +22,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from turnlake.llm.shared import connected_components, small_batches, staged
+from turnlake.llm.shared import connected_components, hot_join, small_batches, staged, unstaged
 
 SEED = 42
 SHINGLE = 4
 RADIUS = 4
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
-#: Distinct fingerprints up to which three segments (tables of 2^21 buckets) are used; beyond it two (2^32 buckets).
-THREE_SEGMENTS_UP_TO = 1 << 26
+#: Segments of a fingerprint. Three ask 45 places of tables of 2^21 buckets; two ask 562 of tables of 2^32 buckets, which pays
+#: from some 10^8 distinct fingerprints on. The links are the same.
+SEGMENTS = 3
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -116,7 +117,27 @@ def hamming_links(found: DataFrame, radius: int, parts: int, group: str | None =
     return asked.alias("asked").join(table.alias("held"), on).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def _components(each: DataFrame, least: Column, radius: int, segments: int) -> DataFrame:
+    """One row (fp, first, n) for each fingerprint of each (staged): the least `least` of its component and its number of rows."""
+    distinct = staged(each.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("n")))
+    close = connected_components(hamming_links(distinct, 1, segments))
+    grouped = staged(
+        distinct.join(close.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("near"), "least", "n")
+    )
+    wide = hamming_links(grouped, radius, segments, "near")
+    ends = wide.join(grouped.select(F.col("fp").alias("a"), F.col("near").alias("near_a")), "a").join(
+        grouped.select(F.col("fp").alias("b"), F.col("near").alias("near_b")), "b"
+    )
+    far = connected_components(ends.select("near_a", "near_b"), "near_a", "near_b")
+    joined = staged(grouped.join(far.withColumnRenamed("node", "near"), "near", "left").select("fp", "least", "n", F.coalesce("component", "near").alias("component")))
+    firsts = staged(joined.groupBy("component").agg(F.min("least").alias("first"), F.count("*").alias("prints")))
+    total = joined.count()
+    named = staged(hot_join(joined, firsts, ["component"], F.col("fp"), count="prints", total=total).select("fp", "first", "n"))
+    unstaged(distinct, grouped, joined, firsts)
+    return named
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
     """One row (doc_id, fp, component_id) for each row of docs.
 
     component_id is the smallest doc_id reachable through links between fingerprints that differ in at most radius bits,
@@ -124,23 +145,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids keep their row and count as larger than any id (component_id is null only where a component has no other). Equal
     rows stay equal rows; an empty table gives an empty one; other columns are not read, so their names cannot clash.
     """
-    each = staged(fingerprints(docs, id_col, text_col))
-    distinct = staged(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = 3 if distinct.count() <= THREE_SEGMENTS_UP_TO else 2
-    close = connected_components(hamming_links(distinct, 1, parts))
-    grouped = staged(
-        distinct.join(close.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("near"), "least")
-    )
-    wide = hamming_links(grouped, radius, parts, "near")
-    ends = wide.join(grouped.select(F.col("fp").alias("a"), F.col("near").alias("near_a")), "a").join(
-        grouped.select(F.col("fp").alias("b"), F.col("near").alias("near_b")), "b"
-    )
-    far = connected_components(ends.select("near_a", "near_b"), "near_a", "near_b")
-    joined = grouped.join(far.withColumnRenamed("node", "near"), "near", "left").select("fp", "least", F.coalesce("component", "near").alias("component"))
-    joined = staged(joined)
-    least = staged(joined.groupBy("component").agg(F.min("least").alias("component_id")))
-    named = staged(joined.join(least, "component").select("fp", "component_id"))
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    each = staged(fingerprints(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    named = _components(each, F.col("doc_id"), radius, segments)
+    return hot_join(each, named, ["fp"], F.col("row"), count="n", total=each.count()).select("doc_id", "fp", F.col("first").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+    """docs with one row of each component: that of the least id, null ids last; of several rows of one id the one read first.
+
+    So repeated rows leave one, and rows without an id go where another of their component stays. Columns stay as they are.
+    """
+    small_batches(docs.sparkSession)
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(x) for x in docs.columns]).alias("kept"), _fingerprints(F.col(text_col).cast("string")).alias("fp"))
+    numbered = staged(numbered)
+    each = numbered.select("row", F.struct(F.col(f"kept.{id_col}").isNull(), F.col(f"kept.{id_col}"), "row").alias("order"), "fp")
+    named = _components(each, F.col("order"), radius, segments)
+    gone = hot_join(each.select("row", "fp"), named, ["fp"], F.col("row"), count="n", total=each.count()).where(F.col("row") != F.col("first.row")).select("row")
+    return numbered.join(gone, "row", "left_anti").select("kept.*")
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
