@@ -2,7 +2,8 @@
 
 Each host's paths form a tree of segments. Segments that vary are generalised: numbers and hexadecimal runs by their form,
 others where a node has more children than FANOUT and few pages for each. From the leaves up, children of a node whose
-labelled pages do not differ significantly from those of their siblings are merged. A template is rejected when the
+labelled pages do not differ significantly from those of their siblings are merged. The tree is as deep as the deepest
+level at which paths of one host differ. A template is rejected when the
 smoothed share of bad pages among its labelled ones reaches REJECT. Rules come before templates.
 """
 
@@ -13,17 +14,15 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm.shared import SALTS, staged
+from turnlake.llm.shared import hot_join, staged, unstaged
 
 #: The rules as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Segments of a path that are told apart; what lies deeper is one wildcard.
-DEPTH = 6
 #: A node with more distinct children than this, and fewer pages for each than SUPPORT, has a wildcard instead.
 FANOUT, SUPPORT = 50, 5
 #: Standard errors from which a child differs from its siblings; weight of the overall share in the smoothed one; share to reject.
 Z, PRIOR_PAGES, REJECT = 1.96, 10.0, 0.5
-WILD, MERGED, DEEPER = "<*>", "<~>", "<**>"
+WILD, MERGED = "<*>", "<~>"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -45,15 +44,13 @@ def matching_rule(host: Column, path: Column, rules: tuple = RULES) -> tuple[Col
 
 
 def lexical_segments(path: Column) -> Column:
-    """Segments of a path with numbers and hexadecimal runs generalised; what lies below DEPTH is one wildcard."""
+    """Segments of a whole path with numbers and hexadecimal runs generalised."""
 
     def form(segment: Column) -> Column:
         hexadecimal = segment.rlike("^(?=.*[0-9])(?=.*[a-f])[0-9a-f-]{8,}$")
         return F.when(hexadecimal, F.lit("<h>")).otherwise(F.regexp_replace(segment, "[0-9]+", "<n>"))
 
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    told = F.transform(F.slice(parts, 1, DEPTH), form)
-    return F.when(F.size(parts) > DEPTH, F.concat(told, F.array(F.lit(DEEPER)))).otherwise(told)
+    return F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), form)
 
 
 def _with_segment(column: str, depth: int, new: Column) -> Column:
@@ -67,22 +64,24 @@ def _by_parent(templates: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def _joined(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the facts of their node; a node's rows are dealt over SALTS tasks by their form, a form's by their path."""
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    by = F.xxhash64("host", "forms", *(["path"] if "path" in rows.columns else []))
-    dealt = rows.withColumn("_salt", F.pmod(by, F.lit(SALTS)).cast("int"))
-    return dealt.join(facts.withColumn("_salt", salts), [*keys, "_salt"]).drop("_salt")
+def _told_apart(templates: DataFrame) -> int:
+    """Levels down to the deepest at which paths of one host differ; below it there is nothing to generalise or to merge."""
+    segments = templates.select("host", F.posexplode("forms").alias("depth", "segment"))
+    differ = segments.groupBy("host", "depth").agg((F.min("segment") != F.max("segment")).alias("differ")).where("differ")
+    return (differ.agg(F.max("depth")).first()[0] or 0) + 1
 
 
 def generalised(templates: DataFrame, levels: int) -> DataFrame:
-    """templates (host, forms, template, pages, labelled, bad) with wildcards for children that vary, from the root down."""
+    """templates (host, forms, template, pages, labelled, bad), staged, with wildcards for children that vary, from the root down."""
+    total = templates.count()
     for depth in range(levels):
         below = _by_parent(templates, depth)
-        nodes = below.groupBy("parent", "child").agg(F.sum("pages").alias("pages")).groupBy("parent").agg(F.count("*").alias("children"), F.sum("pages").alias("of_all"))
+        nodes = below.groupBy("parent", "child").agg(F.sum("pages").alias("pages"), F.count("*").alias("rows"))
+        nodes = nodes.groupBy("parent").agg(F.count("*").alias("children"), F.sum("pages").alias("of_all"), F.sum("rows").alias("rows"))
         varies = (F.col("children") > FANOUT) & (F.col("of_all") < SUPPORT * F.col("children"))
-        changed = _joined(below, nodes, ["parent"]).withColumn("template", F.when(varies, _with_segment("template", depth, F.lit(WILD))).otherwise(F.col("template")))
-        templates = staged(changed.select(templates.columns).unionByName(templates.where(F.size("template") <= depth)))
+        changed = hot_join(below, nodes, ["parent"], F.xxhash64("host", "forms"), count="rows", total=total).withColumn("template", F.when(varies, _with_segment("template", depth, F.lit(WILD))).otherwise(F.col("template")))
+        last, templates = templates, staged(changed.select(templates.columns).unionByName(templates.where(F.size("template") <= depth)))
+        unstaged(last)
     return templates
 
 
@@ -92,18 +91,20 @@ def merged(templates: DataFrame, levels: int) -> DataFrame:
     A child's share of bad pages is held against that of all its siblings by the z-score for two proportions; a child
     with no labelled page does not differ.
     """
+    total = templates.count()
     for depth in reversed(range(levels)):
         below = _by_parent(templates, depth)
-        child = below.groupBy("parent", "child").agg(F.sum("labelled").alias("m"), F.sum("bad").alias("k"))
+        child = below.groupBy("parent", "child").agg(F.sum("labelled").alias("m"), F.sum("bad").alias("k"), F.count("*").alias("rows"))
         node = child.groupBy("parent").agg(F.sum("m").alias("m_all"), F.sum("k").alias("k_all"))
         share, one = F.try_divide("k_all", "m_all"), F.lit(1.0)
         others = F.col("m_all") - F.col("m")
         error = F.sqrt(share * (1 - share) * (F.try_divide(one, F.col("m")) + F.try_divide(one, others)))
         gap = F.try_divide("k", "m") - F.try_divide(F.col("k_all") - F.col("k"), others)
         own = F.when((F.col("m") > 0) & (others > 0) & (error > 0), F.abs(gap) > Z * error).otherwise(F.lit(False))
-        alike = child.join(node, "parent").select("parent", "child", own.alias("own"))
-        changed = _joined(below, alike, ["parent", "child"]).withColumn("template", F.when(F.col("own"), F.col("template")).otherwise(_with_segment("template", depth, F.lit(MERGED))))
-        templates = staged(changed.select(templates.columns).unionByName(templates.where(F.size("template") <= depth)))
+        alike = child.join(node, "parent").select("parent", "child", own.alias("own"), "rows")
+        changed = hot_join(below, alike, ["parent", "child"], F.xxhash64("host", "forms"), count="rows", total=total).withColumn("template", F.when(F.col("own"), F.col("template")).otherwise(_with_segment("template", depth, F.lit(MERGED))))
+        last, templates = templates, staged(changed.select(templates.columns).unionByName(templates.where(F.size("template") <= depth)))
+        unstaged(last)
     return templates
 
 
@@ -119,20 +120,21 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: tuple = RULES) -> DataFr
     parsed = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("forms", lexical_segments(F.col("path")))
     parsed = parsed.withColumn("label_id", F.regexp_extract("path", r"([0-9]{1,18})[^/0-9]*/?$", 1).try_cast("long"))
     known = labelled.where(F.col("label_id").isNotNull()).groupBy("label_id").agg(F.max("bad").cast("long").alias("bad"))
+    by = F.xxhash64("page_id", "path")
     counted = staged(
-        parsed.join(known, "label_id", "left")
+        hot_join(parsed, known, ["label_id"], by, "left")
         .groupBy("host", "forms")
         .agg(F.count("*").alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
         .withColumn("template", F.col("forms"))
     )
-    overall, levels = counted.agg(F.try_divide(F.sum("bad"), F.sum("labelled")), F.max(F.size("forms"))).first()
-    overall, levels = overall or 0.0, max(0, levels or 0)
+    overall, total = counted.agg(F.try_divide(F.sum("bad"), F.sum("labelled")), F.sum("pages")).first()
+    overall, levels = overall or 0.0, _told_apart(counted)
     tree = merged(generalised(counted, levels), levels)
     sums = tree.groupBy("host", "template").agg(F.sum("labelled").alias("m"), F.sum("bad").alias("k"))
     purity = (F.col("k") + PRIOR_PAGES * overall) / (F.col("m") + PRIOR_PAGES)
-    named = staged(tree.select("host", "forms", "template").join(sums.select("host", "template", purity.alias("purity")), ["host", "template"]))
+    named = staged(tree.select("host", "forms", "template", "pages").join(sums.select("host", "template", purity.alias("purity")), ["host", "template"]))
     rule, ruled = matching_rule(F.col("host"), F.col("path"), rules)
-    return _joined(parsed, named, ["host", "forms"]).select(
+    return hot_join(parsed, named, ["host", "forms"], by, count="pages", total=total).select(
         "page_id",
         "host",
         "path",
@@ -144,6 +146,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: tuple = RULES) -> DataFr
 
 
 def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge() over pages: the number that ends a url is the id of the document that the page shows (its language and text agree), so its labels are the page's."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     bad = F.greatest(F.coalesce("toxic", F.lit(0)), 1 - F.coalesce("quality", F.lit(1)))
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), labels.select(F.col("doc_id").alias("label_id"), bad.alias("bad")))
