@@ -9,6 +9,7 @@ text map back to source spans. Texts without a sign of disguise are not rewritte
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 
 import pandas as pd
@@ -21,10 +22,11 @@ from turnlake.llm.shared import small_batches
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the plain identifiers.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # found by DOTTED
+DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-LOCAL_PART = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+LOCAL_CHARS = string.ascii_letters + string.digits + "._%+-"
 #: A local part is looked for in this many characters before an @ first, and in twice as many while it fills them.
 REACH = 64
 
@@ -43,12 +45,9 @@ SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus\s+)?{_DIGIT}(?:(?:[\s,-]+(?:(?:d
 #: Digits that a run has at least, or else these spelled dots (an address of four numbers).
 SPELLED_DIGITS, SPELLED_DOTS = 7, 3
 SPELLED_PART = re.compile(rf"plus|dot|point|{_DIGIT}|[\s,-]+", re.I)
-_NAME = r"[A-Za-z0-9_%+-]+"
-_AT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|\s*@\s*)"
-_DOT = r"(?:\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+|\.)"
-#: name at host dot top-level, in words or brackets.
-DISGUISED_EMAIL = re.compile(rf"(?<![A-Za-z0-9_%+-]){_NAME}(?:{_DOT}{_NAME})*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9-])", re.I)
-DISGUISED_PART = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
+#: at and dot as a word or in brackets, @, a full stop, or a run of the characters of a name; anything else parts phrases.
+PHRASE_PART = re.compile(r"(?P<bracket>[\[({<]\s*(?:at|dot)\s*[\])}>])|(?P<sign>@)|(?P<stop>\.)|(?P<name>[A-Za-z0-9_%+-]+)|(?P<space>\s+)|(?P<rest>[^\sA-Za-z0-9_%+.@-])", re.I)
+HOST_LABEL, LAST_LABEL = re.compile(r"[A-Za-z0-9-]+"), re.compile(r"[A-Za-z]{2,24}")
 #: What a text with a disguised address has: dot as a word, or at in brackets (or an @ apart from its neighbours).
 DOT_WORD, AT_WORD = re.compile(r"dot(?<![a-z]dot)(?![a-z])"), re.compile(r"[\[({<]\s*at\s*[\])}>]")
 #: Or at as a word before a host with a full stop.
@@ -107,25 +106,38 @@ def _emails(text: str) -> list[tuple[int, int]]:
     """Leftmost matches of EMAIL that do not overlap, found from each @ back to the start of its local part."""
     found, end, at = [], 0, text.find("@")
     while at >= 0:
-        reach, local = REACH, None
-        while at > end:
-            local = LOCAL_PART.search(text[max(end, at - reach) : at])
-            if local is None or local.start() > 0 or at - reach <= end:
+        reach, start = REACH, at
+        while start > end:
+            low = max(end, at - reach)
+            start = low + len(text[low:at].rstrip(LOCAL_CHARS))
+            if start > low or low == end:
                 break
             reach *= 2
-        if local and (match := EMAIL.match(text, max(end, at - reach) + local.start())):
+        if start < at and (match := EMAIL.match(text, start)):
             found.append(match.span())
             end = match.end()
         at = text.find("@", max(at + 1, end))
     return found
 
 
+def _addresses(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches of IP that do not overlap: of each whole run of dotted numbers, four by four from the left."""
+    found = []
+    for run in DOTTED.finditer(text):
+        parts, at = run[0].split("."), run.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = ".".join(parts[i : i + 4])
+            found.append((at, at + len(four)))
+            at += len(four) + 1
+    return found
+
+
 def plain(text: str) -> list[tuple[int, int, int]]:
     """(kind's number, start, end) of the identifiers in a text as it stands."""
     found = [(0, *span) for span in _emails(text)] if "@" in text else []
-    for match in IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in match[0].split(".")):
-            found.append((1, *match.span()))
+    for start, end in _addresses(text):
+        if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in text[start:end].split(".")):
+            found.append((1, start, end))
     for match in CARD.finditer(text):
         digits = match[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -173,22 +185,82 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
-def _believed(phrase: str) -> bool:
+def _phrases(text: str):
+    """Runs of (kind, start, end) of the parts of text that could make up a disguised address: names, at and dot in turn.
+
+    kind is name, at, dot or stop, with the white space around at and dot counted in; bare marks them as words. The text
+    is read once; a run ends where two names, or two separators, follow each other.
+    """
+    run: list[list] = []
+    space = None
+    for part in PHRASE_PART.finditer(text):
+        kind, start, end = part.lastgroup, *part.span()
+        if kind == "space":
+            space = (start, end)
+            continue
+        before, space = space, None
+        word = part[0].lower()
+        if kind == "bracket":
+            kind = "at" if "a" in word else "dot"
+        elif kind == "sign":
+            kind = "at"
+        elif kind == "name" and word in ("at", "dot") and before and run and run[-1][0] == "name" and text[end : end + 1].isspace():
+            kind = word + " bare"
+        if kind == "rest" or kind == "stop" and before:
+            if run:
+                yield run
+            run = []
+            continue
+        if kind == "name":
+            if run and (run[-1][0] == "name" or run[-1][0] == "stop" and before):
+                yield run
+                run = []
+            elif run and before:
+                run[-1][2] = end - (end - start)
+            run.append([kind, start, end])
+        elif not run or run[-1][0] != "name":
+            if run:
+                yield run
+            run = []
+        else:
+            run.append([kind, before[0] if before else start, end])
+    if run:
+        yield run
+
+
+def _believed(host: list[str], bare: set[str], bracketed_dot: bool) -> bool:
     """Whether a phrase that reads as an address is one, by its host where at or dot stand as bare words."""
-    bare = set(re.findall(r"[a-z0-9]\s+(at|dot)(?=\s+[a-z0-9])", phrase))
-    host = re.split(_DOT, re.split(_AT, phrase)[-1])
     if "dot" in bare:
         return FUNCTION_WORDS.isdisjoint(host[:-1]) and (host[-1] not in FUNCTION_WORDS or host[-1] in COMMON_ENDS)
-    return not bare or host[-1] in COMMON_ENDS or re.search(r"dot\s*[\])}>]", phrase) is not None
+    return not bare or host[-1] in COMMON_ENDS or bracketed_dot
 
 
 def _disguise_edits(text: str) -> list[tuple[int, int, str]]:
+    """Each at of a run with the names and dots before it, back to the at before, and those behind it up to the last that can end a host."""
     edits = []
-    for phrase in DISGUISED_EMAIL.finditer(text):
-        if not _believed(phrase[0].lower()):
-            continue
-        for part in DISGUISED_PART.finditer(text, *phrase.span()):
-            edits.append((*part.span(), "@" if part["at"] else "."))
+    for run in _phrases(text):
+        first = 0
+        for i, (kind, _, _) in enumerate(run):
+            if not kind.startswith("at") or i == first or i + 1 >= len(run):
+                continue
+            last, following = None, i + 1
+            while following < len(run) and run[following][0] == "name" and HOST_LABEL.fullmatch(text, *run[following][1:]):
+                if following > i + 1 and LAST_LABEL.fullmatch(text, *run[following][1:]):
+                    last = following
+                if following + 1 >= len(run) or run[following + 1][0].startswith("at"):
+                    break
+                following += 2
+            if last is None:
+                first = i + 1
+                continue
+            whole = run[first : last + 1]
+            host = [text[a:b].lower() for k, a, b in run[i + 1 : last + 1] if k == "name"]
+            bare = {k.split()[0] for k, _, _ in whole if k.endswith("bare")}
+            if _believed(host, bare, any(k == "dot" for k, _, _ in run[i + 1 : last + 1])):
+                edits += [(a, b, "@" if k.startswith("at") else ".") for k, a, b in whole if k != "name"]
+                first = last + 2
+            else:
+                first = i + 1
     return edits
 
 
