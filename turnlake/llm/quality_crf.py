@@ -8,17 +8,21 @@ probabilities of good, from the forward-backward pass, weighted by the lines' le
 
 from __future__ import annotations
 
+from math import exp, log1p
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
-from turnlake.llm.shared import small_batches
+from turnlake.llm.shared import small_batches, staged
 
-#: Labelled documents that a model is fitted on at most, taken by the hash of their ids, and lines of each.
-SAMPLE_DOCS, SAMPLE_LINES = 4000, 256
-STEPS, RATE, RIDGE = 200, 0.1, 2e-4
+#: Labelled documents that a model is fitted on at most, and lines of all of them together: whole documents are taken by the
+#: hash of their ids while the lines of those before them are fewer than this.
+SAMPLE_DOCS, SAMPLE_LINES = 4000, 150_000
+#: Steps at least and passes over the sample, lines of a batch, rate of the first step, weight of the ridge.
+STEPS, PASSES, BATCH_LINES, RATE, RIDGE, SEED = 200, 20, 8192, 0.1, 2e-4, 5
 THRESHOLD = 0.3
 HELD_OUT_FOLDS = 5
 
@@ -64,10 +68,9 @@ def line_bins(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         own = set(words)
         k = max(1, len(words))
         commonest = max(map(words.count, own)) if len(own) <= 8 and own else 0 if len(words) == len(own) else _commonest(words)
-        digest = hash(line)
-        measures[i, 6:] = len(words), n[i] / k, len(own) / k, commonest / k, len(own & before) / max(1, len(own)), digest in seen
+        measures[i, 6:] = len(words), n[i] / k, len(own) / k, commonest / k, len(own & before) / max(1, len(own)), line in seen
         before = own
-        seen.add(digest)
+        seen.add(line)
     bins = np.stack([np.searchsorted(np.array(edges), measures[:, j], side="left") for j, (_, edges) in enumerate(EDGES)], axis=1)
     return bins.astype(np.uint8), np.maximum(n, 1)
 
@@ -119,61 +122,91 @@ class Field:
 
 def _log_add(a: float, b: float) -> float:
     high, low = (a, b) if a > b else (b, a)
-    return high + float(np.log1p(np.exp(low - high))) if high - low < 40 else high
+    return high + log1p(exp(low - high)) if high - low < 40 else high
+
+
+def _passed(steps: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Products of the 2 x 2 matrices of each chain up to each line, each scaled to a greatest entry of 1, by doubling.
+
+    steps has one matrix for each line, the unit matrix where a chain starts; the chains lie one after the other.
+    """
+    done, reach, n = steps, 1, len(steps)
+    place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    longest = int(place.max()) + 1 if n else 0
+    while reach < longest:
+        at = np.nonzero(place >= reach)[0]
+        left, right = done[at - reach], done[at]
+        product = left[:, :, :1] * right[:, :1, :] + left[:, :, 1:] * right[:, 1:, :]
+        done = done.copy()
+        done[at] = product / product.max(axis=(1, 2), keepdims=True)
+        reach *= 2
+    return done
+
+
+def _gradient(theta: np.ndarray, columns: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Gradient of the mean log-likelihood of chains of labels, the chains one after the other.
+
+    Forward and backward messages are products of 2 x 2 matrices, made by doubling, so chains of any length take few steps.
+    """
+    w, bias, stay = theta[:N_WEIGHTS], theta[N_WEIGHTS], theta[N_WEIGHTS + 1 :]
+    starts, n = np.concatenate([[0], np.cumsum(sizes)[:-1]]), len(columns)
+    ends, y = np.append(starts[1:], n) - 1, np.repeat(labels, sizes)
+    inner = np.ones(n, bool)
+    inner[starts] = False
+    at = np.nonzero(inner)[0]
+    score = w[columns].sum(axis=1) + bias
+    high = np.maximum(score, 0)
+    node = np.stack([np.exp(-high), np.exp(score - high)], axis=1)
+    pot = np.ones((2, 2))
+    pot[0, 0], pot[1, 1] = np.exp(stay)
+    steps = pot[None] * node[:, None, :]
+    steps[starts] = np.eye(2)
+    first = np.repeat(node[starts], sizes, axis=0)
+    alpha = (first[:, :, None] * _passed(steps, starts)).sum(axis=1)
+    back = np.broadcast_to(np.eye(2), (n, 2, 2)).copy()
+    back[at - 1] = np.swapaxes(pot[None] * node[at][:, None, :], 1, 2)
+    beta = _passed(back[::-1], n - 1 - ends[::-1])[::-1].sum(axis=1)
+    both = alpha * beta
+    pairs = alpha[at - 1][:, :, None] * pot[None] * (node[at] * beta[at])[:, None, :]
+    pairs /= pairs.sum(axis=(1, 2), keepdims=True)
+    diff = y - both[:, 1] / both.sum(axis=1)
+    grad = np.zeros_like(theta)
+    grad[:N_WEIGHTS] = np.bincount(columns.ravel(), weights=np.repeat(diff, columns.shape[1]), minlength=N_WEIGHTS)
+    grad[N_WEIGHTS] = diff.sum()
+    grad[N_WEIGHTS + 1] = ((1 - y[at]) - pairs[:, 0, 0]).sum()
+    grad[N_WEIGHTS + 2] = (y[at] - pairs[:, 1, 1]).sum()
+    return grad / n
 
 
 def fit(documents: list[tuple[np.ndarray, int]]) -> Field:
     """Fit a field to (bins, label) of documents, every line labelled as its document; without both labels the weights stay zero.
 
-    Full-batch Adam on the mean log-likelihood of the label chains. Chains are padded to one length and a mask ends them.
+    Adam on batches of whole chains of about BATCH_LINES lines, in an order that is the same in each run, with a falling rate.
     """
     field = Field(np.zeros(N_WEIGHTS), np.zeros(2), 0.0)
     if len({y for _, y in documents}) < 2:
         field.bias = {0: -4.0, 1: 4.0}[documents[0][1]] if documents else 0.0
         return field
-    sizes = np.array([len(b) for b, _ in documents])
-    order = np.argsort(-sizes, kind="stable")
-    sizes, longest = sizes[order], int(sizes.max())
-    columns = np.concatenate([columns_of(documents[i][0]) for i in order])
-    y = np.array([documents[i][1] for i in order], float)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    alive = [int((sizes > t).sum()) for t in range(longest)]  # chains that have a t-th line: the first ones
-    of = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.random.default_rng(SEED).permutation(len(documents))
+    sizes = np.array([len(documents[i][0]) for i in order])
+    batch_of = (np.cumsum(sizes) - sizes) // BATCH_LINES
+    batches = []
+    for number in np.unique(batch_of):
+        own = [documents[i] for i in order[batch_of == number]]
+        batches.append((np.concatenate([columns_of(b).astype(np.int16) for b, _ in own]), np.array([len(b) for b, _ in own]), np.array([y for _, y in own], float)))
     theta, m, v = np.zeros(N_WEIGHTS + 3), np.zeros(N_WEIGHTS + 3), np.zeros(N_WEIGHTS + 3)
-    for step in range(1, STEPS + 1):
-        w, bias, stay = theta[:N_WEIGHTS], theta[N_WEIGHTS], theta[N_WEIGHTS + 1 :]
-        score = w[columns].sum(axis=1) + bias
-        pot = np.zeros((2, 2))
-        pot[0, 0], pot[1, 1] = stay
-        node = np.stack([np.zeros_like(score), score], axis=1)
-        alpha, beta = np.zeros((len(score), 2)), np.zeros((len(score), 2))
-        for t in range(1, longest):
-            at = starts[: alive[t]] + t
-            alpha[at] = np.logaddexp.reduce((alpha[at - 1] + node[at - 1])[:, :, None] + pot, axis=1)
-        for t in range(longest - 2, -1, -1):
-            at = starts[: alive[t + 1]] + t
-            beta[at] = np.logaddexp.reduce((beta[at + 1] + node[at + 1])[:, None, :] + pot, axis=2)
-        log_z = np.logaddexp.reduce((alpha + beta + node)[starts], axis=1)[of]
-        p = np.exp(alpha[:, 1] + beta[:, 1] + node[:, 1] - log_z)
-        inner = np.ones(len(score), bool)
-        inner[starts] = False
-        at = np.nonzero(inner)[0]
-        both = [np.exp(alpha[at - 1, k] + node[at - 1, k] + stay[k] + node[at, k] + beta[at, k] - log_z[at]) for k in (0, 1)]
-        diff = y[of] - p
-        grad = np.zeros_like(theta)
-        grad[:N_WEIGHTS] = np.bincount(columns.ravel(), weights=np.repeat(diff, columns.shape[1]), minlength=N_WEIGHTS)
-        grad[N_WEIGHTS] = diff.sum()
-        grad[N_WEIGHTS + 1] = ((1 - y[of][at]) - both[0]).sum()
-        grad[N_WEIGHTS + 2] = (y[of][at] - both[1]).sum()
-        grad = grad / len(score) - RIDGE * theta
+    total = max(STEPS, PASSES * len(batches))
+    for step in range(1, total + 1):
+        grad = _gradient(theta, *batches[step % len(batches)]) - RIDGE * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        theta = theta + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        rate = RATE * (1 - (step - 1) / total)
+        theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Field(theta[:N_WEIGHTS], theta[N_WEIGHTS + 1 :], float(theta[N_WEIGHTS]))
 
 
 @F.pandas_udf(BinaryType())
 def _sample_bins(texts: pd.Series) -> pd.Series:
-    return pd.Series([line_bins(x)[0][:SAMPLE_LINES].tobytes() for x in texts], dtype=object)
+    return pd.Series([line_bins(x)[0].tobytes() for x in texts], dtype=object)
 
 
 def held_out(id_col: str):
@@ -181,22 +214,27 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % HELD_OUT_FOLDS == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
-    """Fit a field on at most sample_docs labelled documents outside the held-out fold.
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Field:
+    """Fit a field on at most sample_docs labelled documents outside the held-out fold, whole ones, of about sample_lines lines in all.
 
     labels (doc_id, quality): rows with a null id or a quality other than 0 and 1 are left out; of a document's several
-    labels each distinct one counts. The sample is the ids with the least hash, so it is the same in each run.
+    labels each distinct one counts. The sample is the ids with the least hash, so it is the same in each run; the last
+    one taken may pass sample_lines.
     """
     small_batches(docs.sparkSession)
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     chosen = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", _sample_bins("text").alias("bins"))
+    lines = F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) + 1
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text", lines.alias("lines"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "lines").rowsBetween(Window.unboundedPreceding, -1)  # over at most sample_docs ids
+    taken = staged(found.select("doc_id", "y", "lines", F.coalesce(F.sum("lines").over(order), F.lit(0)).alias("before")).where(F.col("before") < sample_lines).select("doc_id", "y").distinct())
+    rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("doc_id", "y", _sample_bins("text").alias("bins"))
     sample = rows.toPandas().sort_values(["doc_id", "y", "bins"])
     return fit([(np.frombuffer(b, np.uint8).reshape(-1, N_MEASURES), int(y)) for b, y in zip(sample["bins"], sample["y"], strict=True)])
 
 
-def score(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """docs with column score, the quality of each whole text (0 to 1); null and empty texts are one empty line."""
+def score(docs: DataFrame, field: Field, text_col: str = "text", name: str = "score") -> DataFrame:
+    """docs with a column of that name, the quality of each whole text (0 to 1); null and empty texts are one empty line."""
 
     small_batches(docs.sparkSession)
 
@@ -204,7 +242,7 @@ def score(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     def quality(texts: pd.Series) -> pd.Series:
         return pd.Series([field.quality(x) for x in texts], dtype="float64")
 
-    return docs.withColumn("score", quality(F.col(text_col)))
+    return docs.withColumn(name, quality(F.col(text_col)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
