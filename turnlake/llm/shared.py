@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A key with more than this share of the rows is hot, so there are at most 1 / HOT_SHARE hot keys however large a table is;
 #: their rows are dealt over SALTS tasks.
 HOT_SHARE, SALTS = 1 / 512, 32
+#: Tasks over which the links of a node are dealt, in rounds too short to look for hot nodes first.
+LINK_SALTS = 8
 #: Where keys are not counted, hot ones are looked for among one row in SAMPLED (the result does not depend on it).
 SAMPLED, LEAST_SAMPLED = 32, 32
 
@@ -97,6 +99,13 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column, how
     return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: Column) -> DataFrame:
+    """left joined with right, which has one row for a key and few bytes; every key's rows in left are dealt by `by` over LINK_SALTS tasks."""
+    salts = F.explode(F.array(*[F.lit(i) for i in range(LINK_SALTS)]))
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(LINK_SALTS)).cast("int"))
+    return dealt.join(right.withColumn("_salt", salts), [key, "_salt"]).drop("_salt")
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Components of the graph whose links are the rows (a, b), longs: one row (node, component) for each linked node.
 
@@ -116,11 +125,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     before = signature(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        found = hot_join(both, low, ["u"], F.col("v"), count="n", total=2 * before[0])
-        large = found.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = hot_join(large, low, ["u"], F.col("v"), count="n", total=before[0])
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = salted_join(both, low, "u", F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = salted_join(large, low, "u", F.col("v"))
         last = edges
         edges = staged(
             small.select(F.col("u"), F.col("m").alias("v"))
