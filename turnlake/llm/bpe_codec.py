@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from turnlake.llm.shared import small_batches
 
 #: Most pieces, prefixes and pairs that a worker remembers; beyond that it forgets them and starts anew (memory only, no effect on results).
-PIECES_KEPT, HEADS_KEPT, PAIRS_KEPT = 250_000, 80_000, 250_000
+PIECES_KEPT, HEADS_KEPT, PAIRS_KEPT = 120_000, 60_000, 200_000
 #: Prefixes whose length is a multiple of this, a power of two, are remembered across pieces.
 STRIDE = 4
 #: Prefixes and pieces longer than this, a multiple of STRIDE, are not remembered but filled in anew (memory only, no effect on results).
 LONGEST_KEPT = 256
 NO_LIMIT = 1 << 40
 #: Rows whose results a worker holds at once.
-ROWS_AT_ONCE = 512
+ROWS_AT_ONCE = 64
 
 
 class _Kept(dict):
