@@ -14,35 +14,50 @@ from turnlake.llm.shared import staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-chain classifier does not reject."""
+    """Documents that the line-chain classifier does not reject.
+
+    Null and empty texts are scored as one empty line and stay or go together; rows with a null id stay in play like any
+    other; repeated rows share a score; an empty table gives an empty one. Extra columns pass through, whatever their names.
+    """
     field = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_crf.score(docs, field).where(F.col("score") >= quality_crf.THRESHOLD).select(docs.columns)
+    packed = docs.select(F.struct(*[F.col(x) for x in docs.columns]).alias("kept"), F.col("text").alias("text"))
+    return quality_crf.score(packed, field).where(F.col("score") >= quality_crf.THRESHOLD).select("kept.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least id, of each group of near duplicates; rows of one id stay or go together.
+    """One row, the one with the least id, of each group of near duplicates; null ids count as the largest.
 
-    The ids that go are fewer than those that stay, so they are what the documents are joined with. Rows with a null id stay.
+    Repeated rows leave one of them. Null texts and texts without words are one group. Extra columns pass through.
     """
-    found = simhash_dedup.near_duplicates(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return simhash_dedup.deduplicated(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, live-looking secrets replaced by a mark; n_chars is the new text's length."""
+    """All documents, live-looking secrets replaced by a mark; n_chars is the new text's length.
+
+    Null texts stay null and keep their n_chars; null ids and repeated rows stay; an empty table gives an empty one. Extra
+    columns pass through, whatever their names.
+    """
     clean = secret_scan.redact(docs, secret_scan.scan(docs))
     length = F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", length)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix of sources takes, as documents; a document taken twice gives two rows."""
+    """The words that the mix of sources takes, as documents; a document taken twice gives two rows.
+
+    A null source is a source of its own; null and wordless texts give no words and so no rows; repeated rows are mixed
+    each on its own; an empty table gives an empty one. Extra columns pass through.
+    """
     return source_mix.mixed_documents(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document (little-endian unsigned 32-bit integers), their number and the digest of what they decode to."""
+    """Token ids of each document (little-endian unsigned 32-bit integers), their number and the digest of what they decode to.
+
+    A null text has no ids, a null id stays null, repeated rows give repeated rows, an empty table an empty one. Columns
+    other than doc_id and text are not read.
+    """
     import public_tokenizers
 
     tokens = bpe_codec.tokenize(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
