@@ -2,9 +2,10 @@
 
 The words of each source, in a pseudorandom order of its documents, are packed into blocks of BLOCK words (the last may be
 shorter). A source's target becomes slots: whole passes over its blocks, then a rest whose last slot is cut so that the
-sum is the target. Each output shard draws how many of its slots go to each source (multinomial over what the sources have
-left). The k-th slot of a source takes block perm(k) of its pass, with one pseudorandom permutation for each source and
-pass, so no block is used more often than the passes begun. Slots then join the blocks by index.
+sum is the target. How many slots of each source an output shard gets is a multinomial draw: each run of CHUNK slots of a
+source draws its counts over the shards on its own, so sources and shards may be many and every slot is given once. The
+k-th slot of a source takes block perm(k) of its pass, with one pseudorandom permutation for each source and pass, so no
+block is used more often than the passes begun. Slots then join the blocks by index.
 """
 
 from __future__ import annotations
@@ -13,44 +14,56 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from turnlake.llm.shared import WORD, small_batches, staged, word_count
+from turnlake.llm.shared import WORD, hot_join, small_batches, staged, unstaged, word_count
 
 WEIGHTS = (5, 2, 1)
 BUDGET, MOST_PASSES = 1.5, 2
 BLOCK = 256
 SEED = 20240501
-#: Slots of an output shard, at least; more where shards times sources would pass COUNTS_KEPT numbers on the driver.
-SHARD_SLOTS, COUNTS_KEPT = 1 << 14, 1 << 20
+#: Slots of an output shard, about, and slots of a source whose shards are drawn at once.
+SHARD_SLOTS, CHUNK = 1 << 14, 1 << 16
 #: Documents of a source whose order and offsets one task settles, about.
 BUCKET_ROWS = 256
 
 
+def ordinals(rows: DataFrame, order: Column, name: str) -> DataFrame:
+    """rows, staged, with their places in an order, from 0: sorted in ranges and numbered in each, behind the sizes of those before.
+
+    As many sizes as there are ranges come to the driver.
+    """
+    ranged = staged(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()))
+    sizes = ranged.groupBy(F.shiftright("_id", 33).alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
+    starts = np.cumsum([0] + [x["n"] for x in sizes]).tolist()
+    firsts = rows.sparkSession.createDataFrame([(x["_part"], at) for x, at in zip(sizes, starts, strict=False)], "_part long, _first long")
+    placed = ranged.withColumn("_part", F.shiftright("_id", 33)).join(F.broadcast(firsts), "_part")
+    out = staged(placed.withColumn(name, F.col("_first") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_first"))
+    unstaged(ranged)
+    return out
+
+
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST_PASSES) -> DataFrame:
-    """One row (source, source_no, source_size, target) for each source of sizes (source, size).
+    """One row (source, source_no, source_size, rows, target) for each source of sizes (source, size), staged.
 
     Sources by code point, null last, take the weights in turn and share budget times all words; a target stops at most
-    times its source's size and the excess is shared again. That is target = min(most * size, level * weight) for one
-    level: in the order of most * size / weight, sources are capped until one lies above the level that the rest gives.
+    times its source's size and the excess is shared again by weight, until none is above: each turn is one pass of sums
+    over the sources.
     """
-    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    numbered = total.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    numbered = ordinals(total, F.col("source").asc_nulls_last(), "source_no")
     weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))
-    rising = Window.orderBy("ratio", "source_no")
-    everything = Window.partitionBy()
-    leveled = (
-        numbered.withColumn("weight", weight)
-        .withColumn("cap", most * F.col("source_size"))
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("order", F.row_number().over(rising))
-        .withColumn("left", budget * F.sum("source_size").over(everything) - F.sum("cap").over(rising.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("left", F.coalesce("left", budget * F.sum("source_size").over(everything)))
-        .withColumn("level", F.col("left") / F.sum("weight").over(rising.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", F.min_by(F.when(F.col("ratio") > F.col("level"), F.col("level")), F.when(F.col("ratio") > F.col("level"), F.col("order"))).over(everything))
-    )
-    target = F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
-    return leveled.select("source", "source_no", "source_size", target.alias("target"))
+    weighed = numbered.withColumns({"weight": weight, "cap": most * F.col("source_size")})
+    words = budget * (weighed.agg(F.sum("source_size")).first()[0] or 0)
+    level, before = 0.0, None
+    while level != before:
+        over = F.col("cap") < F.lit(level) * F.col("weight")
+        capped, free = weighed.agg(F.sum(F.when(over, F.col("cap")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
+        before, level = level, (words - capped) / free if free else level
+    target = F.least("cap", F.lit(level) * F.col("weight"))
+    out = staged(weighed.select("source", "source_no", "source_size", "rows", target.alias("target")))
+    unstaged(numbered)
+    return out
 
 
 def _slots(sources: DataFrame, block: int) -> DataFrame:
@@ -65,16 +78,21 @@ def _slots(sources: DataFrame, block: int) -> DataFrame:
     )
 
 
-def draw_counts(slots: np.ndarray, shard_slots: int, seed: int = SEED) -> np.ndarray:
-    """Slots of each source in each shard: multinomial draws over what the sources have left, until nothing is left."""
-    left, rng, shards = slots.astype(np.int64).copy(), np.random.default_rng(seed), []
-    while left.sum():
-        row, need = np.zeros_like(left), min(shard_slots, int(left.sum()))
-        while need:
-            drawn = np.minimum(rng.multinomial(need, left / left.sum()), left)
-            row, left, need = row + drawn, left - drawn, need - int(drawn.sum())
-        shards.append(row)
-    return np.array(shards, dtype=np.int64).reshape(len(shards), len(left))
+def draw_counts(n: int, shards: int, *key: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shards that get any, how many) of n slots: a multinomial draw with equal chances, the same for the same key."""
+    drawn = np.random.default_rng([abs(x) for x in key]).integers(0, shards, n)
+    return np.unique(drawn, return_counts=True)
+
+
+@F.pandas_udf(ArrayType(StructType([StructField(x, LongType()) for x in ("shard", "first", "n")])))
+def _ranges(first: pd.Series, n: pd.Series, shards: pd.Series, key: pd.Series) -> pd.Series:
+    """The slots first to first + n - 1 dealt to shards: ranges of slots."""
+    out = []
+    for start, size, most, own in zip(first, n, shards, key, strict=True):
+        where, counts = draw_counts(int(size), int(most), SEED, int(own))
+        at = int(start) + np.cumsum(counts) - counts
+        out.append([{"shard": int(a), "first": int(b), "n": int(c)} for a, b, c in zip(where, at, counts, strict=True)])
+    return pd.Series(out, dtype=object)
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4) -> np.ndarray:
@@ -105,19 +123,14 @@ def _permuted(index: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
 
 def mix_slots(sources: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """One row (shard, source_no, slot, block, take) for each slot of the mix: the first take words of that block."""
-    spark = sources.sparkSession
     planned = staged(_slots(sources, block))
-    quotas = planned.select("source_no", "slots").where("slots > 0").orderBy("source_no").toPandas()
-    most_shards = max(1, COUNTS_KEPT // max(1, len(quotas)))
-    shard_slots = max(SHARD_SLOTS, -(-int(quotas["slots"].sum()) // most_shards))
-    counts = draw_counts(quotas["slots"].to_numpy("int64"), shard_slots, seed)
-    first = np.cumsum(counts, axis=0) - counts
-    shard, column = np.nonzero(counts)
-    drawn = pd.DataFrame({"shard": shard, "source_no": quotas["source_no"].to_numpy()[column], "first": first[shard, column], "n": counts[shard, column]}, dtype="int64")
-    ranges = spark.createDataFrame(drawn, "shard long, source_no long, first long, n long")
+    shards = max(1, -(-(planned.agg(F.sum("slots")).first()[0] or 0) // SHARD_SLOTS))
+    chunks = planned.where("slots > 0").select("*", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")).alias("chunk")).repartition("source_no", "chunk")
+    first = F.col("chunk") * CHUNK
+    own = F.xxhash64(F.lit(seed), F.coalesce(F.col("source"), F.lit("\0null")), F.lit("shard"), F.col("chunk"))
+    ranges = chunks.select("*", F.explode(_ranges(first, F.least(F.lit(CHUNK), F.col("slots") - first), F.lit(shards), own)).alias("r")).select(*planned.columns, "r.*")
     slots = (
-        ranges.join(planned.withColumn("source_no", F.col("source_no").cast("long")), "source_no")
-        .select("*", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
+        ranges.select("*", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
         .withColumn("turn", F.expr("slot div blocks"))
         .withColumn("index", F.expr("slot % blocks"))
     )
@@ -156,8 +169,8 @@ def taken_in(at: Column, n: Column, takes: Column) -> Column:
     return F.aggregate(takes, F.lit(0).cast("long"), lambda total, take: total + F.greatest(F.lit(0), F.least(n, take - at)))
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    """docs numbered and staged (row, doc_id, source, size, text_hash and keep), and its sources with targets, staged."""
+def _prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs numbered and staged (row, doc_id, source, size, text_hash and keep), its sources with targets, and (row, ..., source_no, source_size, target)."""
     numbered = staged(
         docs.select(
             F.monotonically_increasing_id().alias("row"),
@@ -168,15 +181,17 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep
             *[F.col(x).alias(f"kept_{x}") for x in keep],
         )
     )
-    return numbered, staged(source_targets(numbered.select("source", "size")))
+    sources = source_targets(numbered.select("source", "size"))
+    named = lambda df: df.withColumn("_name", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
+    slim = named(numbered.select("row", "doc_id", "source", "size", "text_hash")).drop("source")
+    placed = staged(hot_join(slim, named(sources).drop("source"), ["_name"], F.col("row"), count="rows", total=numbered.count()).drop("_name", "rows"))
+    return numbered, sources, placed
 
 
-def _plan(numbered: DataFrame, sources: DataFrame, block: int, seed: int) -> DataFrame:
+def _plan(placed: DataFrame, sources: DataFrame, block: int, seed: int) -> DataFrame:
     """The pieces of all documents, with the takes of their blocks (null: none)."""
-    slim = numbered.select("row", "doc_id", "source", "size", "text_hash")
-    rows = slim.join(sources.select(F.col("source").alias("_source"), "source_no"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source")
     uses = mix_slots(sources, block, seed).groupBy("source_no", "block").agg(F.collect_list("take").alias("takes"))
-    cut = pieces(rows, max(1, numbered.count()), block)
+    cut = pieces(placed.select("row", "doc_id", "source_no", "size", "text_hash"), max(1, placed.count()), block)
     return cut.join(uses, ["source_no", "block"], "left")
 
 
@@ -187,12 +202,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     from the row, repeats counted, at most twice its size. Null sources are one source, the last. Repeated rows are mixed
     each on its own; an empty table gives an empty one; other columns are not read, so their names cannot clash.
     """
-    numbered, sources = _prepared(docs, id_col, text_col, source_col, [])
-    takes = _plan(numbered, sources, block, seed)
+    _, sources, placed = _prepared(docs, id_col, text_col, source_col, [])
+    takes = _plan(placed, sources, block, seed)
     taken = takes.groupBy("row").agg(F.sum(F.coalesce(taken_in(F.col("at"), F.col("n"), F.col("takes")), F.lit(0))).alias("taken"))
-    named = sources.select(F.col("source").alias("_source"), "source_size", "target")
-    joined = numbered.join(taken, "row").join(named, F.col("source").eqNullSafe(F.col("_source")))
-    return joined.select("doc_id", "size", "source_size", "target", "taken")
+    return placed.join(taken, "row").select("doc_id", "size", "source_size", "target", "taken")
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -225,9 +238,9 @@ def _copies(text: pd.Series, parts: pd.Series) -> pd.Series:
 def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """The mix as documents: a row for each copy that a document gives, with the columns of docs; n_chars is the new text's."""
     small_batches(docs.sparkSession)
-    numbered, sources = _prepared(docs, "doc_id", "text", "source", docs.columns)
+    numbered, sources, placed = _prepared(docs, "doc_id", "text", "source", docs.columns)
     parts = (
-        _plan(numbered, sources, block, seed)
+        _plan(placed, sources, block, seed)
         .groupBy("row")
         .agg(F.collect_list(F.struct("from", "at", "n", F.coalesce("takes", F.array().cast("array<bigint>")).alias("takes"))).alias("parts"))
     )
