@@ -1,11 +1,13 @@
 """Nearest vectors by inner product, over a neighbour graph that NN-descent builds.
 
 Equal vectors are one node. Nodes are dealt into shards of about SHARD_ROWS. In each round of NN-descent (Dong and others,
-2011) a node's links are joined with the links of its neighbours, and the best of the neighbours' neighbours become its new
-links; rounds end when few links change. First links come from random projections, by which nodes are sorted and cut into
-blocks. Queries walk the graph of every shard greedily, in blocks: a beam of the best nodes met is kept and the best one
-not yet left is left next. A recall audit compares some queries of each block with all of the shard, and the beam and the
-places where walks begin are doubled until it passes. Scores are inner products in double precision.
+2011) a node's links are joined with the links of its neighbours, unless both links are old, and the best of the
+neighbours' neighbours become its new links; rounds end when few links change. First links come from random projections, by
+which nodes are sorted and cut into blocks. Queries walk the graph of every shard greedily: a beam of the best nodes met is
+kept and the best one not yet left is left next. A shard's graph is read once for each QUERY_ROWS queries, so that the
+copies of graphs are no more bytes than the queries. A recall audit compares AUDITED queries of each block with all of
+the shard, and the beam and the places where walks begin are doubled until it passes. Scores are inner products in double
+precision.
 """
 
 from __future__ import annotations
@@ -16,19 +18,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnlake.llm.hnsw_dedup import usable
-from turnlake.llm.shared import staged
+from turnlake.llm.shared import hot_join, staged, unstaged
 
-SHARD_ROWS = 8192
+SHARD_ROWS = 32768
 #: Links of a node; links back to a node that a round looks at; links back in the finished graph; random links of a node.
 LINKS, BACK, WALK_BACK, RANDOM = 22, 8, 22, 4
-#: Rounds at most, and the share of changed links below which no further round is made.
-ROUNDS, SETTLED = 5, 0.02
+#: Share of changed links at which rounds end.
+SETTLED = 0.02
 #: Nodes whose candidates one task scores; tables of projections, and rows of a block that are compared for the first links.
-SCORED_ROWS, TABLES, FIRST_BLOCK = 1024, 4, 128
-#: Queries of a block, those that walk together, those of them that are audited, the recall they need, the first beam and
-#: the nodes where walks may begin.
-QUERY_ROWS, TOGETHER, AUDITED, RECALL = 1024, 256, 32, 0.95
-FIRST_BEAM, FIRST_PLACES, LEFT_AT_ONCE = 160, 512, 4
+SCORED_ROWS, TABLES, FIRST_BLOCK = 4096, 4, 128
+#: Queries of a block, those that walk together, those of a block that are audited, the recall they need, the first beam and
+#: the places where walks begin.
+QUERY_ROWS, TOGETHER, AUDITED, RECALL = 8192, 128, 32, 0.95
+FIRST_BEAM, FIRST_PLACES, LEFT_AT_ONCE = 48, 16, 4
 SEED = 11
 
 
@@ -39,7 +41,7 @@ def _matrix(blob: bytes, n: int, kind: str = "<f8") -> np.ndarray:
 def _packed(rows: pd.DataFrame) -> pd.DataFrame:
     """The nodes of one shard and their vectors, packed, in double and in single precision."""
     rows = rows.sort_values("node")
-    vectors = np.array(rows["embedding"].tolist(), dtype="<f8")
+    vectors = np.stack(rows["embedding"].to_numpy()).astype("<f8")
     return pd.DataFrame(
         {"size": rows["size"].iloc[:1].to_numpy(), "shard": rows["shard"].iloc[:1].to_numpy(), "nodes": [rows["node"].to_numpy("<i8").tobytes()], "vectors": [vectors.tobytes()], "single": [vectors.astype("<f4").tobytes()]}
     )
@@ -87,27 +89,28 @@ def _first(batches):
         for row in batch.itertuples():
             nodes = np.frombuffer(row.nodes, "<i8")
             links = first_links(_matrix(row.single, len(nodes), "<f4"))
-            yield pd.DataFrame({"size": row.size, "shard": row.shard, "node": nodes, "near": [nodes[x[x >= 0]] for x in links]})
+            near = [nodes[x[x >= 0]] for x in links]
+            yield pd.DataFrame({"size": row.size, "shard": row.shard, "node": nodes, "near": near, "fresh": near})
 
 
 def _scored(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-    """The LINKS best of each node's candidates, and how many of them are new."""
+    """The LINKS best of each node's candidates, and those of them that are new."""
     if asked.empty or held.empty:
-        return pd.DataFrame({"size": [], "shard": [], "node": [], "near": [], "changed": []})
+        return pd.DataFrame({"size": [], "shard": [], "node": [], "near": [], "fresh": []})
     nodes = np.frombuffer(held["nodes"].iloc[0], "<i8")
     vectors = _matrix(held["single"].iloc[0], len(nodes), "<f4")
-    near, changed = [], []
+    near, fresh = [], []
     for node, candidates, before in zip(asked["node"], asked["candidates"], asked["near"], strict=True):
         own = candidates[candidates != node]
         scores = vectors[np.searchsorted(nodes, own)] @ vectors[np.searchsorted(nodes, node)]
         if len(own) > LINKS:
             own = own[np.argpartition(-scores, LINKS)[:LINKS]]
         near.append(own)
-        changed.append(len(np.setdiff1d(own, before, assume_unique=True)))
-    return pd.DataFrame({"size": asked["size"].iloc[0], "shard": asked["shard"].iloc[0], "node": asked["node"], "near": near, "changed": changed})
+        fresh.append(np.setdiff1d(own, before, assume_unique=True))
+    return pd.DataFrame({"size": asked["size"].iloc[0], "shard": asked["shard"].iloc[0], "node": asked["node"], "near": near, "fresh": fresh})
 
 
-LISTS = "size int, shard long, node long, near array<long>"
+LISTS = "size int, shard long, node long, near array<long>, fresh array<long>"
 
 
 def _block_of(column: str, rows: int, of: Column) -> Column:
@@ -115,24 +118,29 @@ def _block_of(column: str, rows: int, of: Column) -> Column:
     return F.pmod(F.xxhash64(column, F.lit("block")), F.greatest(F.lit(1).cast("long"), F.ceil(of / rows)))
 
 
-def neighbour_graph(packed: DataFrame, members: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """One row (size, shard, node, near) for each node: its nearest nodes of the shard, as NN-descent finds them.
+def neighbour_graph(packed: DataFrame, members: DataFrame) -> DataFrame:
+    """One row (size, shard, node, near, fresh) for each node: its nearest nodes of the shard, as NN-descent finds them.
 
-    A round joins each link (node, other) with all links of other, so it moves about LINKS + BACK short lists for a node.
+    A round joins each link (node, other) with the links of other: with all of them if the link is new, else with the new
+    ones. It moves at most (LINKS + BACK) ^ 2 ids for a node, and few once the graph settles.
     """
     lists = staged(packed.select("size", "shard", "nodes", "single").mapInPandas(_first, LISTS))
     total = members.count()
     blocks = members.select("size", "shard", _block_of("node", SCORED_ROWS, F.col("of_shard")).alias("block")).distinct()
     held = staged(packed.select("size", "shard", "nodes", "single").join(blocks, ["size", "shard"]))
-    for _ in range(rounds):
-        links = lists.select("node", F.explode("near").alias("other"))
+    none = F.expr("cast(array() as array<bigint>)")
+    while True:
+        links = lists.select("node", F.explode("near").alias("other"), "fresh").select("node", "other", F.array_contains("fresh", F.col("other")).alias("new"))
         rank = F.row_number().over(Window.partitionBy("other").orderBy(F.xxhash64("node", "other"), "node"))
-        back = links.withColumn("rank", rank).where(F.col("rank") <= BACK).select(F.col("other").alias("node"), F.col("node").alias("other"))
-        around = staged(links.unionByName(back).groupBy("node").agg(F.collect_set("other").alias("around")))
-        hops = around.select("node", F.explode("around").alias("other")).join(around.select(F.col("node").alias("other"), F.col("around").alias("beyond")), "other")
-        beyond = hops.groupBy("node").agg(F.flatten(F.collect_list("beyond")).alias("beyond"))
+        back = links.withColumn("rank", rank).where(F.col("rank") <= BACK).select(F.col("other").alias("node"), F.col("node").alias("other"), "new")
+        sides = links.unionByName(back).groupBy("node").agg(F.collect_set("other").alias("around"), F.collect_set(F.when(F.col("new"), F.col("other"))).alias("newer"))
+        around = staged(sides)
+        hops = around.select("node", F.explode("around").alias("other"), "newer").select("node", "other", F.array_contains("newer", F.col("other")).alias("new"))
+        far = hops.join(around.select(F.col("node").alias("other"), "around", F.col("newer").alias("beyond")), "other")
+        beyond = far.select("node", F.when(F.col("new"), F.col("around")).otherwise(F.col("beyond")).alias("beyond")).where(F.size("beyond") > 0)
+        beyond = beyond.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("beyond"))).alias("beyond"))
         candidates = (
-            lists.join(around, "node", "left")
+            lists.join(around.drop("newer"), "node", "left")
             .join(beyond, "node", "left")
             .join(members.select("node", "of_shard"), "node")
             .select(
@@ -141,15 +149,15 @@ def neighbour_graph(packed: DataFrame, members: DataFrame, rounds: int = ROUNDS)
                 _block_of("node", SCORED_ROWS, F.col("of_shard")).alias("block"),
                 "node",
                 "near",
-                F.array_distinct(F.concat(*[F.coalesce(x, F.expr("cast(array() as array<bigint>)")) for x in ("around", "beyond")])).alias("candidates"),
+                F.array_distinct(F.concat(F.coalesce("around", none), F.coalesce("beyond", none))).alias("candidates"),
             )
         )
         keys = ["size", "shard", "block"]
-        found = staged(candidates.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(_scored, f"{LISTS}, changed long"))
-        lists = found.drop("changed")
-        if (found.agg(F.sum("changed")).first()[0] or 0) <= SETTLED * LINKS * total:
-            break
-    return lists
+        last, lists = lists, staged(candidates.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(_scored, LISTS))
+        unstaged(last, around)
+        if (lists.agg(F.sum(F.size("fresh"))).first()[0] or 0) <= SETTLED * LINKS * total:
+            unstaged(held)
+            return lists
 
 
 def _walkable(lists: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -222,21 +230,30 @@ def walk(queries: np.ndarray, vectors: np.ndarray, graph: np.ndarray, most: int,
 
 
 def audited_walk(q: np.ndarray, vectors: np.ndarray, graph: np.ndarray, most: int) -> np.ndarray:
-    """walk() with a beam and places that are doubled until audited queries meet RECALL of their most nearest nodes."""
+    """Rows of the most nearest nodes found for each query of a block, best first (-1: none).
+
+    Up to AUDITED queries are compared with all vectors; the beam and the places of walks are doubled until these find
+    RECALL of their most nearest, and then serve all others. The audited keep their exact answers.
+    """
     n = len(vectors)
-    audited = np.arange(0, len(q), max(1, len(q) // AUDITED))
+    audited = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDITED)).astype(np.int64))
     truth = q[audited] @ vectors.T
-    bound = np.partition(truth, max(0, n - most), axis=1)[:, max(0, n - most)]
-    width, places = max(FIRST_BEAM, most), FIRST_PLACES
+    exact = np.argsort(-truth, axis=1, kind="stable")[:, :most]
+    bound = np.take_along_axis(truth, exact[:, -1:], axis=1)
+    width, places = max(FIRST_BEAM, 2 * most), FIRST_PLACES
     while True:
-        found = walk(q, vectors, graph, most, min(width, max(n, most)), places)
-        own = found[audited]
-        hits = (own >= 0) & (np.take_along_axis(truth, np.maximum(own, 0), axis=1) >= bound[:, None] - 1e-5)
+        own = walk(q[audited], vectors, graph, most, min(width, max(n, most)), places)
+        hits = (own >= 0) & (np.take_along_axis(truth, np.maximum(own, 0), axis=1) >= bound - 1e-5)
         if hits.sum() >= RECALL * min(most, n) * len(audited) or width >= n:
-            return found
+            break
         width, places = 2 * width, 2 * places
-        if width >= n:
-            places = n
+    found = np.full((len(q), exact.shape[1]), -1)
+    found[audited] = exact
+    rest = np.setdiff1d(np.arange(len(q)), audited)
+    for at in range(0, len(rest), TOGETHER):
+        own = walk(q[rest[at : at + TOGETHER]], vectors, graph, most, min(width, max(n, most)), places)
+        found[rest[at : at + TOGETHER], : own.shape[1]] = own[:, : found.shape[1]]
+    return found
 
 
 def _searching(most: int):
@@ -248,20 +265,17 @@ def _searching(most: int):
         n = len(nodes)
         vectors = _matrix(held["vectors"].iloc[0], n)
         graph = _matrix(held["graph"].iloc[0], n, "<i4")
-        single, parts = vectors.astype(np.float32), []
-        for at in range(0, len(asked), TOGETHER):
-            part = asked.iloc[at : at + TOGETHER]
-            exact = np.array(part["embedding"].tolist(), dtype=np.float64)
-            found = audited_walk(exact.astype(np.float32), single, graph, most)
-            rows, columns = np.nonzero(found >= 0)
-            hit = found[rows, columns]
-            parts.append(pd.DataFrame({"query": part["node"].to_numpy("int64")[rows], "node": nodes[hit], "score": (exact[rows] * vectors[hit]).sum(axis=1)}))
-        return pd.concat(parts)
+        exact = np.stack(asked["embedding"].to_numpy()).astype(np.float64)
+        found = audited_walk(exact.astype(np.float32), vectors.astype(np.float32), graph, most)
+        rows, columns = np.nonzero(found >= 0)
+        hit = found[rows, columns]
+        scores = np.concatenate([(exact[rows[i : i + 65536]] * vectors[hit[i : i + 65536]]).sum(axis=1) for i in range(0, len(rows), 65536)] or [np.zeros(0)])
+        return pd.DataFrame({"query": asked["node"].to_numpy("int64")[rows], "node": nodes[hit], "score": scores})
 
     return search
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each row of vectors (vec_id, embedding) that is_query holds for, its k nearest.
 
     Nearness is the inner product; candidates are all rows of another id whose vector has the same length, or all of them
@@ -272,13 +286,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """
     rows = usable(vectors.withColumn("_asks", F.coalesce(is_query, F.lit(False))), ["_asks"]).withColumn("size", F.size("embedding"))
     ids = rows.groupBy("size", "embedding", "vec_id").agg(F.max("_asks").alias("asks"))
-    distinct = staged(rows.groupBy("size", "embedding").agg(F.max("_asks").alias("asks")).withColumn("node", F.monotonically_increasing_id()))
+    distinct = staged(rows.groupBy("size", "embedding").agg(F.max("_asks").alias("asks"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
+    total = distinct.agg(F.sum("copies")).first()[0] or 0
     by_hash = lambda df: df.withColumn("_hash", F.xxhash64("embedding"))
-    named = staged(by_hash(ids).join(by_hash(distinct.select("size", "embedding", "node")), ["size", "_hash", "embedding"]).select("node", "vec_id", "asks"))
+    of = by_hash(distinct.select("size", "embedding", "node", "copies"))
+    named = staged(hot_join(by_hash(ids), of, ["size", "_hash", "embedding"], F.col("vec_id"), count="copies", total=total).select("node", "vec_id", "asks"))
     least = F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))
     holders = named.withColumn("place", least).where(F.col("place") <= k + 1).select("node", "vec_id")
-    shards = distinct.groupBy("size").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("shards"))
-    placed = staged(distinct.join(F.broadcast(shards), "size").withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards"))))
+    shards = distinct.groupBy("size").agg(F.count("*").alias("n"), F.count_if("asks").alias("queries")).withColumn("shards", F.ceil(F.col("n") / shard_rows))
+    placed = staged(hot_join(distinct, shards, ["size"], F.col("node"), count="n", total=total).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards"))))
     of_shard = placed.groupBy("size", "shard").agg(F.count("*").alias("of_shard"))
     members = placed.select("size", "shard", "node").join(of_shard, ["size", "shard"])
     packed = staged(placed.select("size", "shard", "node", "embedding").groupBy("size", "shard").applyInPandas(_packed, "size int, shard long, nodes binary, vectors binary, single binary"))
@@ -286,10 +302,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     graphs = staged(
         lists.groupBy("size", "shard").cogroup(packed.groupBy("size", "shard")).applyInPandas(_walkable, "size int, shard long, nodes binary, vectors binary, graph binary")
     )
-    asking = placed.where("asks").select("size", "shards", "node", "embedding")
-    many = asking.groupBy("size").agg(F.count("*").alias("queries"))
     asked = staged(
-        asking.join(F.broadcast(many), "size")
+        placed.where("asks")
         .withColumn("block", _block_of("node", QUERY_ROWS, F.col("queries")))
         .select("size", "block", "node", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
     )
@@ -301,7 +315,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     ranked = met.join(holders, "node").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
     answers = ranked.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("found"))
     asks = named.where("asks").select(F.col("node").alias("query"), F.col("vec_id").alias("query_id"))
-    own = asks.join(answers, "query").select("query_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
+    own = hot_join(asks, answers, ["query"], F.col("query_id")).select("query_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("found"))
     return own.select("query_id", F.posexplode("found").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")
 
 
