@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from turnlake.plans import catalogue
+from turnlake.plans import audits, catalogue
 
 SF = Path("/root/testdata/sf0.001")
 
@@ -32,14 +32,17 @@ def rows_of(columns: list[str], rows: list) -> list[str]:
     return sorted(repr([plain(r[i]) for i in order]) for r in rows)
 
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+QUERIES, ORACLE_SQL = catalogue.QUERIES | audits.QUERIES, catalogue.ORACLE_SQL | audits.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_gives_the_rows_of_its_sql(spark, sql, name):
-    found = catalogue.QUERIES[name](spark, str(SF))
+    found = QUERIES[name](spark, str(SF))
     rows = [tuple(r) for r in found.collect()]
-    if name not in catalogue.ORACLE_SQL:
+    if name not in ORACLE_SQL:
         assert rows
         return
-    wanted = sql.execute(catalogue.ORACLE_SQL[name])
+    wanted = sql.execute(ORACLE_SQL[name])
     columns = [x[0] for x in wanted.description]
     assert sorted(found.columns) == sorted(columns)
     assert rows_of(found.columns, rows) == rows_of(columns, wanted.fetchall())

@@ -19,14 +19,14 @@ def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
 
 
-def percent_delta(current: Column, base: Column) -> Column:
-    """Change against base in percent; null where base is 0."""
-    return F.try_divide(current - base, base) * 100
+def percent_delta(current: Column, base: Column, digits: int = 3) -> Column:
+    """Change against base in percent, rounded half to even (never -0); null where base is 0."""
+    return F.bround(F.try_divide(current - base, base) * 100, digits) + 0.0
 
 
-def z_score(current: Column, mean: Column, std: Column) -> Column:
-    """Standard score; null where the deviation is not above 0."""
-    return F.when(std > 0, (current - mean) / std)
+def z_score(current: Column, mean: Column, std: Column, digits: int = 3) -> Column:
+    """Standard score, rounded half to even; null where the deviation is not above 0."""
+    return F.when(std > 0, F.bround((current - mean) / std, digits) + 0.0)
 
 
 def sign_test(gains: Column, losses: Column) -> Column:
@@ -44,11 +44,11 @@ def sign_test(gains: Column, losses: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(F.sequence(F.lit(0), least), start, add, lambda x: x["sum"])))
 
 
-def linear_percentile(value: str, p: float) -> Column:
-    """Percentile between the two nearest ranks, at p * (n - 1) counted from 0."""
-    return F.expr(f"percentile({value}, {p}D)")
+def years_between(year: Column, date: Column) -> Column:
+    """Age by calendar years alone: the year of a date minus a year of birth."""
+    return F.year(date) - year
 
 
-def nearest_rank(value: str, p: float) -> Column:
-    """Percentile that is one of the values: the one of rank ceil(p * n)."""
-    return F.expr(f"percentile_disc({p}D) WITHIN GROUP (ORDER BY {value})")
+def epoch_seconds(at: Column) -> Column:
+    """Whole seconds since 1970, cut off."""
+    return F.unix_timestamp(at)

@@ -86,3 +86,31 @@ def pseudonym(value: Column, secret: bytes, prefix: str = "user_hmac_sha256:") -
 
 def is_pseudonym(key: Column, prefix: str = "user_hmac_sha256:") -> Column:
     return key.rlike(f"^{prefix}[0-9a-fA-F]{{64}}$")
+
+
+def scenario_key(category: Column, title: Column) -> Column:
+    """Key of a scenario: its category and title in canonical form."""
+    return F.concat_ws(":", scenario_label(category), scenario_label(title))
+
+
+def options_text(options: Column, conjunction: str, otherwise: str) -> Column:
+    """Options that are not empty, joined by a conjunction; otherwise where there are none."""
+    given = F.filter(options, lambda x: x.isNotNull() & (x != ""))
+    return F.when(F.size(given) > 0, F.array_join(given, conjunction)).otherwise(otherwise)
+
+
+def first_given(*values: Column) -> Column:
+    """The first value that is neither null nor empty."""
+    return F.coalesce(*[F.when(x != "", x) for x in values])
+
+
+def rendered(templates: Column, key: Column, default: Column, values: Column, names: Column) -> Column:
+    """The template of a key, or the default one, with each {name} of names replaced by its value (empty for null)."""
+    template = F.coalesce(F.try_element_at(templates, key), default)
+    return F.aggregate(names, template, lambda text, name: F.replace(text, F.concat(F.lit("{"), name, F.lit("}")), F.coalesce(F.try_element_at(values, name), F.lit(""))))
+
+
+def labelled(values: Column, names: Column) -> Column:
+    """name: value of the names that have one, in the order of names, comma-joined."""
+    given = F.filter(names, lambda k: F.try_element_at(values, k).isNotNull())
+    return F.array_join(F.transform(given, lambda k: F.concat_ws(": ", k, F.try_element_at(values, k))), ", ")

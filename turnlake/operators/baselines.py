@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,20 +37,58 @@ def against_baseline(rows: DataFrame, baseline: DataFrame, key: str, values: lis
     return joined.withColumns(new).select(*rows.columns, *new)
 
 
+def rounded_step(n: int, mean: float, m2: float, x: float, digits: int = 6) -> tuple[int, float, float]:
+    """Count, mean and sum of squares after one more sample; the mean is rounded and goes on from there, m2 is not."""
+    new = mean + (x - mean) / (n + 1)
+    return n + 1, round(new, digits), m2 + (x - mean) * (x - new)
+
+
 def welford(rows: DataFrame, key: str, order: list[str], value: str, digits: int = 6) -> DataFrame:
     """The incremental baseline: one row (key, samples, mean, std, m2), values taken in order.
 
     The mean is rounded after each sample and the rounded mean is what the next step starts from, so the result depends on
-    the order; m2 is not rounded. Each key's values are folded where they were gathered: (place, value) pairs only.
+    the order. Rows are dealt by key and sorted, and one pass carries the three numbers of the key at hand only, so a key
+    may have any number of values. Keys are taken as text and given back in their own type; null values are left out.
     """
-    ordered = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda x: x[value]).alias("values"))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    kind = rows.select(key).schema[0].dataType.simpleString()
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, done = None, (0, 0.0, 0.0), []
+        for frame in frames:
+            for k, x in zip(frame["k"], frame["x"], strict=True):
+                if k != now:
+                    done += [(now, *state)] if now is not None else []
+                    now, state = k, (0, 0.0, 0.0)
+                state = rounded_step(*state, x, digits)
+            yield pd.DataFrame(done, columns=["k", "samples", "mean", "m2"])
+            done = []
+        if now is not None:
+            yield pd.DataFrame([(now, *state)], columns=["k", "samples", "mean", "m2"])
+
+    slim = rows.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"), *order, F.col(value).cast("double").alias("x"))
+    sums = slim.repartition("k").sortWithinPartitions("k", *order).select("k", "x").mapInPandas(fold, "k string, samples long, mean double, m2 double")
+    std = F.when(F.col("samples") > 1, F.sqrt(F.col("m2") / (F.col("samples") - 1))).otherwise(0.0)
+    return sums.select(F.col("k").cast(kind).alias(key), "samples", "mean", F.bround(std, digits).alias("std"), "m2")
+
+
+def imported(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """rows of baselines from elsewhere with column fault: key, samples, or the first value that is missing, not finite or not above 0, or whose m2 is below 0.
+
+    samples may be called n; a missing m2 is 0. Good and bad rows stay together, so that an import can want all good ones.
+    """
+    named = rows.withColumn("samples", F.coalesce(*[F.col(x) for x in ("samples", "n") if x in rows.columns]))
+    named = named.withColumns({f"{v}_m2": F.coalesce(F.col(f"{v}_m2"), F.lit(0.0)) for v in values})
+    tests = [(F.col(key).isNull(), "key"), (~F.coalesce(F.col("samples") >= 1, F.lit(False)), "samples")]
+    tests += [(~F.coalesce(finite(F.col(v)) & (F.col(v) > 0) & (F.col(f"{v}_m2") >= 0), F.lit(False)), v) for v in values]
+    return named.withColumn("fault", F.coalesce(*[F.when(test, code) for test, code in tests], F.lit(None).cast("string")))
+
+
+def upserted(held: DataFrame, new: DataFrame, key: str, deleted: DataFrame | None = None) -> DataFrame:
+    """A table of one row for each key after new rows took the place of theirs and deleted keys went; write it whole to a new place, then use that."""
+    left = held.join(new.select(key), key, "left_anti").unionByName(new.select(held.columns))
+    return left if deleted is None else left.join(deleted.select(key), key, "left_anti")
 
-    def step(state, x):
-        n = state["n"] + 1
-        mean = state["mean"] + (x - state["mean"]) / n
-        return F.struct(n.alias("n"), F.bround(mean, digits).alias("mean"), (state["m2"] + (x - state["mean"]) * (x - mean)).alias("m2"))
 
-    folded = ordered.select(key, F.aggregate("values", start, step).alias("s"))
-    std = F.when(F.col("s.n") > 1, F.sqrt(F.col("s.m2") / (F.col("s.n") - 1))).otherwise(0.0)
-    return folded.select(key, F.col("s.n").alias("samples"), F.col("s.mean").alias("mean"), F.bround(std, digits).alias("std"), F.col("s.m2").alias("m2"))
+def looked_up(held: DataFrame, key: str, value) -> DataFrame:
+    """The row of one key; the filter reaches the scan."""
+    return held.where(F.col(key) == value)

@@ -30,14 +30,15 @@ def crossing_groups(rows: DataFrame, group: str, split: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count_distinct(split).alias("splits")).where("splits > 1")
 
 
-def shared_between(a: DataFrame, b: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """One row (what, shared) for each key expression: how many distinct values occur on both sides."""
-    counts = None
-    for what, key in keys.items():
-        both = a.select(key.alias("k")).distinct().join(b.select(key.alias("k")).distinct(), "k", "left_semi")
-        one = both.agg(F.count("*").alias("shared")).select(F.lit(what).alias("what"), "shared")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+def shared_between(rows: DataFrame, side: Column, keys: dict[str, Column]) -> DataFrame:
+    """(what, shared) for each key expression: how many distinct values occur in rows of either side (side true and side false).
+
+    One pass and one shuffle: each row gives one (what, value) for each key, and the sides of a value are gathered. Null
+    values do not count.
+    """
+    each = rows.select(side.alias("side"), F.explode(F.array(*[F.struct(F.lit(what).alias("what"), key.cast("string").alias("k")) for what, key in keys.items()])).alias("x"))
+    sides = each.where(F.col("x.k").isNotNull()).groupBy("x.what", "x.k").agg(F.bool_or("side").alias("a"), F.bool_or(~F.col("side")).alias("b"))
+    return sides.groupBy("what").agg(F.count_if(F.col("a") & F.col("b")).alias("shared"))
 
 
 def exposed(items: DataFrame, inventory: DataFrame, text: str = "text") -> DataFrame:
@@ -69,11 +70,20 @@ def missing_from(required: DataFrame, covered: DataFrame, keys: list[str]) -> Da
     return required.select(keys).distinct().join(covered.select(keys).distinct(), keys, "left_anti")
 
 
+#: Combinations that a design may have; larger ones are no lists of values but data.
+MOST_COMBINATIONS = 1_000_000
+
+
 def grid(*sides: DataFrame) -> DataFrame:
-    """All combinations of small design dimensions; the caller's dimensions are lists of values, not data."""
+    """All combinations of design dimensions, which are lists of values: their number is checked before they are combined."""
+    size = 1
+    for side in sides:
+        size *= side.limit(MOST_COMBINATIONS + 1).count()
+    if size > MOST_COMBINATIONS:
+        raise ValueError(f"{size} combinations are no design grid")
     whole = sides[0]
     for side in sides[1:]:
-        whole = whole.join(F.broadcast(side))
+        whole = whole.crossJoin(F.broadcast(side))
     return whole
 
 

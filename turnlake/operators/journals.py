@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnlake.functions.numbers import linear_percentile, nearest_rank
-
 #: Routes from mild to severe; of several events the most severe one decides.
 ROUTES = ("normal", "confirm", "direct")
 
@@ -45,10 +43,28 @@ def aggregate_routes(log: DataFrame, key: str, severity: Column) -> DataFrame:
 
 
 def latency(log: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per group: n, median, linear and nearest-rank 95th percentile. Exact percentiles; a group's values are first counted."""
-    return log.groupBy(*keys).agg(
-        F.count(value).alias("n"), linear_percentile(value, 0.5).alias("p50"), linear_percentile(value, 0.95).alias("p95_linear"), nearest_rank(value, 0.95).alias("p95_nearest")
-    )
+    """Per group: n, median, linear and nearest-rank 95th percentile, all exact.
+
+    The values of a group are counted by hash first, so what a task holds of a group is its distinct values and how often
+    each comes; running counts over them, in order, give all three ranks at once.
+    """
+    counted = log.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    ordered = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys)
+    placed = counted.withColumns({"_to": F.sum("_k").over(ordered), "_n": F.sum("_k").over(whole)})
+
+    def at(rank: Column) -> Column:
+        """The value of a rank, counted from 0."""
+        return F.max(F.when((F.col("_to") - F.col("_k") <= rank) & (rank < F.col("_to")), F.col("_v")))
+
+    def between(p: float) -> Column:
+        place = p * (F.col("_n") - 1)
+        low, part = F.floor(place), F.max(place - F.floor(place))
+        return at(low) * (1 - part) + at(F.ceil(place)) * part
+
+    found = placed.groupBy(*keys).agg(F.max("_n").alias("n"), between(0.5).alias("p50"), between(0.95).alias("p95_linear"), at(F.ceil(0.95 * F.col("_n")) - 1).alias("p95_nearest"))
+    none = log.select(keys).distinct().join(found, keys, "left")
+    return none.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def histogram(log: DataFrame, keys: list[str], value: str, edges: list[float]) -> DataFrame:

@@ -3,7 +3,7 @@
 cases: case_id, labels struct<intent, action, change_field, fields map<string, array<string>>> where a null array means that
 the field must be absent. predictions: case_id, attempts array<struct<valid, intent, action, change_field, fields
 map<string, string>>>. A prediction whose last attempt is not valid counts as a contract failure: it adds to the slots that
-should be present (missed), and nothing to those that should be absent.
+should be present (missed), and nothing to those that should be absent. A predicted field that the labels do not have is hallucinated.
 """
 
 from __future__ import annotations
@@ -38,7 +38,9 @@ def case_flags(cases: DataFrame, predictions: DataFrame, change_action: str = "c
     """cases with the counters of each, and gold_action and predicted_action."""
     joined = cases.join(predictions, "case_id")
     first, last = F.col("attempts")[0], F.element_at("attempts", -1)
-    joined = joined.withColumns({"final": F.when(last["valid"], last), "slots": F.map_entries("labels.fields")})
+    joined = joined.withColumns({"final": F.when(last["valid"], last), "slots": F.map_entries("labels.fields"), "beyond": F.map_keys("labels.fields")})
+    unasked = F.size(F.filter(F.map_keys("final.fields"), lambda k: ~F.array_contains("beyond", k) & F.element_at("final.fields", k).isNotNull())).cast("long")
+    unasked = F.when(F.col("final").isNotNull(), F.greatest(unasked, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
     valid = F.col("final").isNotNull()
     predicted = lambda x: F.element_at(F.col("final.fields"), x["key"])
     present = lambda x: x["value"].isNotNull()
@@ -49,14 +51,14 @@ def case_flags(cases: DataFrame, predictions: DataFrame, change_action: str = "c
     change_ok = F.col("final.change_field").eqNullSafe(F.col("labels.change_field"))
     on_valid = lambda test: F.when(valid, n(test)).otherwise(F.lit(0).cast("long"))
     gold_present, tp = n(present), on_valid(lambda x: present(x) & predicted(x).isNotNull())
-    extra = on_valid(lambda x: ~present(x) & predicted(x).isNotNull())
+    extra = on_valid(lambda x: ~present(x) & predicted(x).isNotNull()) + unasked
     changes = F.col("labels.action") == change_action
     return joined.withColumns(
         {
             "first_pass": flag(first["valid"]),
             "final_pass": flag(valid),
             "retried": flag(F.size("attempts") == 2),
-            "exact": flag(valid & intent_ok & action_ok & change_ok & F.forall("slots", right)),
+            "exact": flag(valid & intent_ok & action_ok & change_ok & F.forall("slots", right) & (unasked == 0)),
             "intent_ok": flag(valid & intent_ok),
             "action_ok": flag(valid & action_ok),
             "tp": tp,
@@ -72,7 +74,7 @@ def case_flags(cases: DataFrame, predictions: DataFrame, change_action: str = "c
             "gold_action": F.col("labels.action"),
             "predicted_action": F.when(valid, F.col("final.action")).otherwise(FAILED),
         }
-    ).drop("final", "slots", "attempts")
+    ).drop("final", "slots", "beyond", "attempts")
 
 
 def summary(flags: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -129,11 +131,28 @@ def macro_f1(flags: DataFrame) -> DataFrame:
     return each.agg(F.count("*").alias("classes"), F.avg("f").alias("macro_f1"))
 
 
-def transitions(before: DataFrame, after: DataFrame) -> DataFrame:
+def transitions(pairs: DataFrame, before: str = "b", after: str = "c") -> DataFrame:
     """One row (both_correct, baseline_only, candidate_only, neither) from the exact flags of two models on the same cases."""
-    pair = before.select("case_id", F.col("exact").alias("b")).join(after.select("case_id", F.col("exact").alias("c")), "case_id")
-    count = lambda b, c: F.count_if((F.col("b") == b) & (F.col("c") == c))
-    return pair.agg(count(1, 1).alias("both_correct"), count(1, 0).alias("baseline_only"), count(0, 1).alias("candidate_only"), count(0, 0).alias("neither"))
+    count = lambda b, c: F.count_if((F.col(before) == b) & (F.col(after) == c))
+    return pairs.agg(count(1, 1).alias("both_correct"), count(1, 0).alias("baseline_only"), count(0, 1).alias("candidate_only"), count(0, 0).alias("neither"))
+
+
+def revalidated(predictions: DataFrame, rules: Column) -> DataFrame:
+    """predictions whose attempts are valid only if the contract says so again: valid and no fault of rules.
+
+    rules is a function of one attempt (a column), giving a fault code or null; a recorded flag alone is not trusted.
+    """
+    checked = F.transform("attempts", lambda a: a.withField("valid", F.coalesce(a["valid"] & rules(a).isNull(), F.lit(False))))
+    return predictions.withColumn("attempts", checked)
+
+
+def two_models(cases: DataFrame, baseline: DataFrame, candidate: DataFrame) -> DataFrame:
+    """(case_id, the cases' other columns but labels, b, c): whether each model is exact, cases read once and both predictions joined by id."""
+    both = baseline.select("case_id", F.lit("b").alias("model"), "attempts").unionByName(candidate.select("case_id", F.lit("c").alias("model"), "attempts"))
+    keep = [x for x in cases.columns if x not in ("case_id", "labels")]
+    flags = case_flags(cases, both)
+    of = lambda model: F.max(F.when(F.col("model") == model, F.col("exact")))
+    return flags.groupBy("case_id", *keep).agg(of("b").alias("b"), of("c").alias("c"))
 
 
 def bootstrap(deltas: DataFrame, stratum: str, delta: str, resamples: int = 2000, seed: int = 0) -> DataFrame:
@@ -164,9 +183,10 @@ def bootstrap(deltas: DataFrame, stratum: str, delta: str, resamples: int = 2000
     return size.crossJoin(F.broadcast(ends)).select("cases", (F.col("moved") / F.col("cases")).alias("difference"), (F.col("a") / F.col("cases")).alias("low"), (F.col("b") / F.col("cases")).alias("high"))
 
 
-def first_gain_order(pairs: DataFrame, key: str) -> DataFrame:
-    """pairs with arm_order: AB for even ordinals of the key's order and BA for odd ones, by a hash so that no global order is made."""
-    return pairs.withColumn("arm_order", F.when(F.pmod(F.col(key), F.lit(2)) == 0, "AB").otherwise("BA"))
+def arm_order(pairs: DataFrame, block: str, key: str) -> DataFrame:
+    """pairs with ordinal (from 0, by key within block) and arm_order: AB for even ordinals and BA for odd ones, so that a block's arms go first equally often."""
+    ordinal = F.row_number().over(Window.partitionBy(block).orderBy(key)) - 1
+    return pairs.withColumn("ordinal", ordinal).withColumn("arm_order", F.when(F.pmod("ordinal", F.lit(2)) == 0, "AB").otherwise("BA"))
 
 
 def ranked_sample(rows: DataFrame, group: str, key: str, n: int, seed: str) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from turnlake.functions.numbers import ratio
 from turnlake.functions.text import letter_words
 
-#: A closed list that stands in for a tagger's interjections.
-FILLERS = ("ah", "eh", "oh", "uh", "um", "the", "le", "el", "der")
+#: Interjections that stand in for a tagger's; every function that uses them takes another list.
+FILLERS = ("ah", "eh", "er", "hm", "oh", "uh", "um")
 
 
 def in_scope(turns: DataFrame, scope: str) -> DataFrame:
@@ -34,7 +34,7 @@ def counts(words: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def top(counted: DataFrame, k: int, keys: list[str] | None = None, minimum: int = 1) -> DataFrame:
-    """The k most frequent words with at least minimum uses, ties by first use: keys, rank, word, cnt.
+    """The k most frequent of counts() with at least minimum uses, ties by first use: keys, rank, word, cnt.
 
     Without keys a limit comes first, so that no task ranks more than k rows.
     """
@@ -46,6 +46,29 @@ def top(counted: DataFrame, k: int, keys: list[str] | None = None, minimum: int
     return ranked.where(F.col("rank") <= k).select(*keys, "rank", "word", "cnt")
 
 
+def most_common(words: DataFrame, k: int, keys: list[str] | None = None, minimum: int = 1) -> DataFrame:
+    """top() of counts() for many words: they are counted by hash, without places.
+
+    Only for those as frequent as the k-th, which ties may make more than k, are the places of first use looked up, in a
+    second pass over the words; with keys each task drops what cannot be among the first k before it hands on.
+    """
+    by = keys or []
+    enough = words.groupBy(*by, "word").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= minimum)
+    if by:
+        kept = enough.withColumn("_r", F.rank().over(Window.partitionBy(*by).orderBy(F.desc("cnt")))).where(F.col("_r") <= k)
+    else:
+        least = enough.orderBy(F.desc("cnt")).limit(k).agg(F.min("cnt").alias("_least"))
+        kept = enough.join(F.broadcast(least), F.col("cnt") >= F.col("_least"))  # one row
+    first = words.join(kept.select(*by, "word"), [*by, "word"], "left_semi")
+    return top(counts(first, by), k, keys)
+
+
+def by_category(words: DataFrame, categories: DataFrame, key: str, k: int) -> DataFrame:
+    """most_common() for each category of a list; a category without a word has one row with null rank and word and a count of 0."""
+    found = categories.select(key).distinct().join(most_common(words, k, [key]), key, "left")
+    return found.withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+
+
 def filler_share(turns: DataFrame, keys: list[str], fillers: tuple = FILLERS) -> DataFrame:
     """For each group of turns: total_messages (blank ones too), total_words, filler_count, filler_ratio (percent, one decimal, 0 for no word)."""
     words = letter_words(F.coalesce("text", F.lit("")))

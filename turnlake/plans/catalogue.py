@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from turnlake.functions.documents import fingerprint
 from turnlake.functions.numbers import sign_test
-from turnlake.functions.text import clauses
-from turnlake.operators import baselines, contracts, integrity, journals, scoring, wordfreq
-from turnlake.operators.wordfreq import FILLERS
+from turnlake.functions.text import clauses, stripped
+from turnlake.operators import baselines, contracts, groups, integrity, journals, scoring, wordfreq
+from turnlake.operators.wordfreq import FILLERS as INTERJECTIONS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 TEXT = "n_chars"
+#: Words that the queries over this prose count apart: interjections, and articles so that there is something to count.
+FILLERS = (*INTERJECTIONS, "the", "le", "el", "der")
 
 
 def query(sql: str | None = None):
@@ -50,13 +52,13 @@ _TOP = "SELECT row_number() OVER (ORDER BY cnt DESC, first)::INT AS rank, word,
 @query(_TURN_WORDS("WHERE d.role = 'user'") + _TOP.format(k=20))
 def wordfreq_user_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = wordfreq.in_scope(table(spark, sf_dir, "conversations"), "user")
-    return wordfreq.top(wordfreq.counts(wordfreq.tokens(turns, ["conv_id", "turn"])), 20)
+    return wordfreq.most_common(wordfreq.tokens(turns, ["conv_id", "turn"]), 20)
 
 
 @query(_TURN_WORDS("") + _TOP.format(k=50))
 def wordfreq_all_scope_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = wordfreq.in_scope(table(spark, sf_dir, "conversations"), "all")
-    return wordfreq.top(wordfreq.counts(wordfreq.tokens(turns, ["conv_id", "turn"])), 50)
+    return wordfreq.most_common(wordfreq.tokens(turns, ["conv_id", "turn"]), 50)
 
 
 _DOC_WORDS = _WORDS.format(keys="source,", order="d.doc_id", table="documents", where="", group="source,", order_row="(doc_id, pos)")
@@ -65,7 +67,7 @@ _DOC_WORDS = _WORDS.format(keys="source,", order="d.doc_id", table="documents",
 @query(_DOC_WORDS + "SELECT source, row_number() OVER (PARTITION BY source ORDER BY cnt DESC, first)::INT AS rank, word, cnt FROM c QUALIFY rank <= 10")
 def wordfreq_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = wordfreq.tokens(table(spark, sf_dir, "documents"), ["doc_id"], ["source"])
-    return wordfreq.top(wordfreq.counts(words, ["source"]), 10, ["source"])
+    return wordfreq.most_common(words, 10, ["source"])
 
 
 @query(_DOC_WORDS + "SELECT source, word, cnt FROM c WHERE cnt >= 100")
@@ -81,7 +83,7 @@ sum(len(list_filter(w, lambda x: x IN {FILLERS})))::BIGINT AS filler_count FROM
 SELECT *, CASE WHEN total_words = 0 THEN 0.0 ELSE round_even(filler_count / total_words * 100, 1) END::DOUBLE AS filler_ratio FROM s"""
 )
 def filler_ratio_by_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordfreq.filler_share(table(spark, sf_dir, "conversations"), ["conv_id"])
+    return wordfreq.filler_share(table(spark, sf_dir, "conversations"), ["conv_id"], FILLERS)
 
 
 # Baselines
@@ -96,13 +98,13 @@ def baseline_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT event_id, user_id, CASE WHEN value_std > 0 THEN round((value - value_mean) / value_std, 6) END AS value_z,
-CASE WHEN value_mean > 0 THEN round((value - value_mean) / value_mean * 100, 6) END AS value_delta_pct FROM events JOIN ({_BASE}) USING (user_id)"""
+    f"""SELECT event_id, user_id, CASE WHEN value_std > 0 THEN round_even((value - value_mean) / value_std, 3) + 0.0 END AS value_z,
+CASE WHEN value_mean > 0 THEN round_even((value - value_mean) / value_mean * 100, 3) + 0.0 END AS value_delta_pct FROM events JOIN ({_BASE}) USING (user_id)"""
 )
 def baseline_zscore_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
     base = baselines.simple_baseline(events, "user_id", ["value"])
-    return baselines.against_baseline(events, base, "user_id", ["value"]).withColumns(rounded("value_z", "value_delta_pct")).drop("value")
+    return baselines.against_baseline(events, base, "user_id", ["value"]).drop("value")
 
 
 @query()
@@ -231,13 +233,18 @@ def confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.confusion(_flags(spark, sf_dir, BASELINE))
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact flags b and c of both models, each table read once but the documents of the predictions."""
+    return scoring.two_models(_cases(spark, sf_dir), _predictions(spark, sf_dir, BASELINE), _predictions(spark, sf_dir, CANDIDATE))
+
+
 _PAIR = f"(SELECT case_id, lang, b.exact AS b, c.exact AS c FROM {_flags_sql(BASELINE)} b JOIN {_flags_sql(CANDIDATE)} c USING (case_id, lang))"
 _CELLS = "count(*) FILTER (b = 1 AND c = 1) AS both_correct, count(*) FILTER (b = 1 AND c = 0) AS baseline_only, count(*) FILTER (b = 0 AND c = 1) AS candidate_only, count(*) FILTER (b = 0 AND c = 0) AS neither"
 
 
 @query(f"SELECT {_CELLS} FROM {_PAIR}")
 def paired_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.transitions(_flags(spark, sf_dir, BASELINE), _flags(spark, sf_dir, CANDIDATE))
+    return scoring.transitions(_pairs(spark, sf_dir))
 
 
 @query(
@@ -246,16 +253,14 @@ lambda i: exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lg
 FROM (SELECT candidate_only AS gains, baseline_only AS losses, candidate_only + baseline_only AS n FROM (SELECT {_CELLS} FROM {_PAIR}))"""
 )
 def mcnemar_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = scoring.transitions(_flags(spark, sf_dir, BASELINE), _flags(spark, sf_dir, CANDIDATE))
+    cells = scoring.transitions(_pairs(spark, sf_dir))
     found = cells.select(F.col("candidate_only").alias("gains"), F.col("baseline_only").alias("losses"))
     return found.withColumn("p_value", F.round(sign_test(F.col("gains"), F.col("losses")), 9))
 
 
 @query()
 def stratified_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = _flags(spark, sf_dir, BASELINE).select("case_id", "lang", F.col("exact").alias("b"))
-    after = _flags(spark, sf_dir, CANDIDATE).select("case_id", F.col("exact").alias("c"))
-    return scoring.bootstrap(before.join(after, "case_id").withColumn("delta", F.col("c") - F.col("b")), "lang", "delta")
+    return scoring.bootstrap(_pairs(spark, sf_dir).withColumn("delta", F.col("c") - F.col("b")), "lang", "delta")
 
 
 @query(
@@ -297,15 +302,15 @@ def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, source, sha256(text) AS h, {_SPLIT} AS split FROM documents), a AS (SELECT * FROM d WHERE split = 'train'), b AS (SELECT * FROM d WHERE split = 'test')
+    rf"""WITH d AS (SELECT doc_id, source, sha256(text) AS h, sha256(regexp_replace(text, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')) AS m, {_SPLIT} AS split FROM documents), a AS (SELECT * FROM d WHERE split = 'train'), b AS (SELECT * FROM d WHERE split = 'test')
 SELECT 'ids' AS what, count(DISTINCT doc_id) AS shared FROM a WHERE doc_id IN (SELECT doc_id FROM b)
 UNION ALL SELECT 'groups', count(DISTINCT source) FROM a WHERE source IN (SELECT source FROM b)
-UNION ALL SELECT 'inputs', count(DISTINCT h) FROM a WHERE h IN (SELECT h FROM b)"""
+UNION ALL SELECT 'inputs', count(DISTINCT h) FROM a WHERE h IN (SELECT h FROM b)
+UNION ALL SELECT 'messages', count(DISTINCT m) FROM a WHERE m IN (SELECT m FROM b)"""
 )
 def cross_split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _split(spark, sf_dir)
-    keys = {"ids": F.col("doc_id").cast("string"), "groups": F.col("source"), "inputs": F.sha2("text", 256)}
-    return integrity.shared_between(rows.where("split = 'train'"), rows.where("split = 'test'"), keys)
+    keys = {"ids": F.col("doc_id"), "groups": F.col("source"), "inputs": F.sha2("text", 256), "messages": F.sha2(stripped(F.col("text")), 256)}
+    return integrity.shared_between(_split(spark, sf_dir), F.col("split") == "train", keys)
 
 
 @query("SELECT count(*) AS items FROM benchmark WHERE trim(text) IN (SELECT trim(text) FROM documents WHERE text IS NOT NULL)")
@@ -384,9 +389,9 @@ def hash_ranked_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.ranked_sample(table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", 5, "7")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'AB' ELSE 'BA' END AS arm_order FROM orders")
+@query("SELECT o_custkey, o_orderkey, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) % 2 = 1 THEN 'AB' ELSE 'BA' END AS arm_order FROM orders")
 def ab_ba_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.first_gain_order(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return scoring.arm_order(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey").drop("ordinal")
 
 
 @query(
@@ -461,17 +466,17 @@ def journal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     error = F.col("event_type") == "error"
     users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.bool_and(~error | (F.col("value") < 100)).alias("ok"), F.count_if(error).alias("e"))
     found = users.agg(F.count("*").alias("cases"), F.sum("n").alias("events"), F.count_if("ok").alias("clean_cases"), F.sum("e").alias("errors"))
-    return found.withColumn("gate", F.col("errors") * 4 < F.col("events"))
+    return groups.gate(found, {"gate": F.col("errors") * 4 < F.col("events")}).drop("passes")
 
 
 @query("SELECT source, list_sort(list(DISTINCT lang)) AS langs FROM documents GROUP BY source")
 def sorted_distinct_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("langs"))
+    return groups.sorted_sets(table(spark, sf_dir, "documents"), "source", "lang")
 
 
 @query("SELECT ((2030 - year(o_orderdate)) // 10 * 10)::INT AS decade, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
 def decade_bucket_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decade = (F.floor((F.lit(2030) - F.year("o_orderdate")) / 10) * 10).cast("int")
+    decade = groups.decade_of(F.lit(2030) - F.year("o_orderdate"))
     return table(spark, sf_dir, "orders").groupBy(decade.alias("decade")).agg(F.count_distinct("o_custkey").alias("customers"))
 
 
