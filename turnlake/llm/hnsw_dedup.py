@@ -24,7 +24,7 @@ from turnlake.llm.shared import connected_components, hot_join, staged, unstaged
 
 THRESHOLD = 0.98
 SHARD_ROWS, BLOCK_ROWS = 8192, 1024
-#: Links of a node on upper layers (twice as many on the lowest), beam while building, first beam of a search.
+#: Links of a node on upper layers (twice as many on the lowest), up to as many more before they are thinned out; beam while building, first beam of a search.
 LINKS, BUILD_BEAM, FIRST_BEAM = 12, 48, 32
 #: Queries of a block that are audited, and the share of their links that must be found.
 AUDITED, RECALL = 48, 1.0
@@ -79,7 +79,7 @@ class Graph:
             most = LINKS * (2 if k == 0 else 1)
             for j in chosen:
                 near = np.append(self.layers[k][j], i)
-                if len(near) > most:
+                if len(near) > most + LINKS:
                     ranked = sorted(zip((self.unit[near] @ self.unit[j]).tolist(), near.tolist(), strict=True), reverse=True)
                     kept = self._spread(ranked, most)
                     if k == 0:  # a node's last link to it stays, so every node can be reached
@@ -134,7 +134,11 @@ class Graph:
             if not len(new):
                 continue
             seen[new] = turn
-            for s, y in zip((self.unit[new] @ query).tolist(), new.tolist(), strict=True):
+            scores = self.unit[new] @ query
+            if len(best) >= width:  # most are worse than all that are kept
+                better = scores >= min(best[0][0], within)
+                scores, new = scores[better], new[better]
+            for s, y in zip(scores.tolist(), new.tolist(), strict=True):
                 if s >= within:
                     hits.append((s, y))
                 if len(best) < width:
