@@ -192,7 +192,8 @@ def _plan(placed: DataFrame, sources: DataFrame, block: int, seed: int) -> DataF
     """The pieces of all documents, with the takes of their blocks (null: none)."""
     uses = mix_slots(sources, block, seed).groupBy("source_no", "block").agg(F.collect_list("take").alias("takes"))
     cut = pieces(placed.select("row", "doc_id", "source_no", "size", "text_hash"), max(1, placed.count()), block)
-    return cut.join(uses, ["source_no", "block"], "left")
+    # as many rows as blocks: shuffled, whatever they compress to (equal takes compress so well that Spark would broadcast them)
+    return cut.join(uses.hint("merge"), ["source_no", "block"], "left")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = SEED) -> DataFrame:
