@@ -53,16 +53,43 @@ def applied(current: Column, new: Column) -> Column:
     return F.map_zip_with(current, new, lambda k, a, b: F.coalesce(b, a))
 
 
+def applied_turn(current: Column, new: Column, action: Column, change_field: Column, reset: str = "reset", change: str = "change") -> Column:
+    """The state's fields after a turn of that action: a reset takes all back, a change sets its one field, even to nothing, and any other turn adds what it sets."""
+    none = F.transform_values(current, lambda k, v: F.lit(None).cast("string"))
+    targeted = F.transform_values(current, lambda k, v: F.when(k == change_field, F.try_element_at(new, k)).otherwise(v))
+    return F.when(action == reset, none).when((action == change) & change_field.isNotNull(), targeted).otherwise(applied(current, new))
+
+
 def delta_relations(current: Column, new: Column) -> Column:
     """field->relation of each field: same, set, changed or cleared; sorted."""
     relation = lambda k, a, b: F.when(a.eqNullSafe(b), "same").when(a.isNull(), "set").when(b.isNull(), "cleared").otherwise("changed")
     return F.array_sort(F.transform(F.map_entries(F.map_zip_with(current, new, relation)), lambda x: F.concat_ws("->", x["key"], x["value"])))
 
 
-def context_class(current: Column) -> Column:
-    """empty, partial or complete: how many of a state's fields are set."""
+def context_class(current: Column, guards: dict[str, str] | None = None) -> Column:
+    """empty, partial or complete: how many of a state's fields are set; guarded_ and the field's name where one of guards has its value."""
+    guarded = [F.when(F.try_element_at(current, F.lit(name)) == value, f"guarded_{name}") for name, value in (guards or {}).items()]
     given = F.size(present_keys(current))
-    return F.when(given == 0, "empty").when(given < F.size(current), "partial").otherwise("complete")
+    return F.coalesce(*guarded, F.when(given == 0, "empty").when(given < F.size(current), "partial").otherwise("complete"))
+
+
+def alternative_relation(offered: Column, selected: Column) -> Column:
+    """no_offers, offers_unselected, selected_offer or selected_other: how a selected value stands to those offered."""
+    return (
+        F.when(selected.isNotNull(), F.when(F.coalesce(F.array_contains(offered, selected), F.lit(False)), "selected_offer").otherwise("selected_other"))
+        .when(F.coalesce(F.size(offered), F.lit(0)) < 1, "no_offers")
+        .otherwise("offers_unselected")
+    )
+
+
+def action_field_keys(rules: DataFrame) -> DataFrame:
+    """(scenario, value) of the fields that actions may set, as action->field."""
+    return rules.select("scenario", "action", F.explode("allowed").alias("field")).select("scenario", F.concat_ws("->", "action", "field").alias("value")).distinct()
+
+
+def union_of(*lists: Column) -> Column:
+    """Distinct values of several lists, in order of first occurrence; null lists count as empty."""
+    return F.array_distinct(F.flatten(F.array(*[F.coalesce(x, F.expr("cast(array() as array<string>)")) for x in lists])))
 
 
 def attempt_fault(attempts: Column) -> Column:

@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnlake.functions import documents
 from turnlake.functions.numbers import epoch_seconds, years_between
-from turnlake.functions.text import clauses, first_given, labelled, options_text, rendered, scenario_key
-from turnlake.operators import baselines, coverage, dialogues, evidence, groups, ledgers, scoring, validation
+from turnlake.functions.text import clauses, first_given, labelled, options_text, overlaps, rendered, scenario_key
+from turnlake.operators import baselines, contracts, coverage, dialogues, drafts, evidence, groups, integrity, ledgers, scoring, validation
 from turnlake.plans.catalogue import BASELINE, CANDIDATE, _cases, _flags_sql, _pairs, _predictions, table
+from turnlake.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -775,3 +777,117 @@ def ordered_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def concatenated_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashed = lambda df: df.select(F.sha2("text", 256).alias("text_hash"))
     return counted(hashed(table(spark, sf_dir, "conversations").where("role = 'user'")).unionByName(hashed(table(spark, sf_dir, "benchmark"))), "text_hash")
+
+
+# Drafts, registries and designs
+
+
+@query(
+    """WITH a AS (SELECT doc_id, lang FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0), c AS (SELECT doc_id FROM labels)
+SELECT sides, count(*) AS cnt FROM (SELECT concat_ws(',', CASE WHEN a.doc_id IS NOT NULL THEN 'label' END, CASE WHEN c.doc_id IS NOT NULL THEN 'owner' END, CASE WHEN b.doc_id IS NOT NULL THEN 'span' END) AS sides
+FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN (SELECT DISTINCT doc_id FROM c) c USING (doc_id)) WHERE sides <> '' AND sides <> 'label,owner,span' GROUP BY 1
+UNION ALL SELECT 'linked', count(*) FROM a JOIN b USING (doc_id) JOIN c USING (doc_id)"""
+)
+def linked_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("event", F.lit(1))
+    owners = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("event"), "quality")
+    whole, lacking = drafts.linked(docs.where("doc_id % 3 <> 0").select("doc_id", "event", "lang"), docs.where("doc_id % 5 <> 0").select("doc_id", "event", "n_chars"), owners, "doc_id", "event")
+    return counted(lacking.select(F.array_join("sides", ",").alias("sides")), "sides").unionByName(whole.agg(F.count("*").alias("cnt")).select(F.lit("linked").alias("sides"), "cnt"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_brand <> 'Brand#1' THEN upper(p_brand) END AS flow FROM part")
+def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    asked = part.select("p_partkey", F.lit("Shop").alias("category"), F.concat(F.lit("* "), F.upper("p_brand")).alias("title"))
+    registry = part.where("p_brand <> 'Brand#1'").select(F.lit("shop ").alias("category"), F.concat("p_brand", F.lit("  ")).alias("title"), F.upper("p_brand").alias("flow"))
+    return drafts.registered(asked, registry, "category", "title", "flow").select("p_partkey", "flow")
+
+
+@query(
+    """SELECT fault, count(*) AS cnt FROM (SELECT 'missing' AS fault FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT 'known' FROM documents WHERE doc_id % 2 = 0 AND text IN (SELECT text FROM documents WHERE source = 'src2') UNION ALL SELECT 'unused' FROM documents WHERE doc_id % 2 <> 0 AND doc_id % 4 <> 0 UNION ALL SELECT 'invalid' FROM documents WHERE doc_id % 4 <> 0 AND n_chars % 10 = 0) GROUP BY 1"""
+)
+def draft_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = docs.where("source = 'src2'").select(F.sha2("text", 256).alias("digest"))
+    return counted(drafts.draft_faults(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 4 <> 0"), "doc_id", F.col("text"), known, F.col("n_chars") % 10 != 0), "fault")
+
+
+@query("SELECT o_orderpriority, count(*) AS found, 100 AS expected FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND l_suppkey % 2 = 0 GROUP BY 1 HAVING count(*) <> 100")
+def event_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    event = F.struct(F.when(F.col("l_suppkey") % 2 == 0, F.col("l_suppkey")).alias("owner"), F.col("l_returnflag").alias("flag"))
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(event).alias("events"))
+    cases = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").join(items, "o_orderkey")
+    found = drafts.eligible_events(cases, "events", F.col("e.flag") == "R")
+    expected = table(spark, sf_dir, "orders").select("o_orderpriority").distinct().withColumn("expected", F.lit(100))
+    return drafts.tally_faults(found, ["o_orderpriority"], expected)
+
+
+@query(
+    """WITH h AS (SELECT lang, source, count(*) AS cases FROM documents GROUP BY ALL), r AS (SELECT lang, source FROM (SELECT DISTINCT lang FROM documents), (SELECT DISTINCT source FROM documents WHERE source <> 'src0'))
+SELECT coalesce(h.lang, r.lang) AS lang, coalesce(h.source, r.source) AS source, coalesce(cases, 0) AS cases, CASE WHEN r.lang IS NULL THEN 'unplanned' WHEN cases IS NULL THEN 'missing' ELSE 'repeated' END AS fault FROM h FULL JOIN r USING (lang, source) WHERE r.lang IS NULL OR cases IS NULL OR cases > 1"""
+)
+def design_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "source")
+    required = integrity.grid(docs.select("lang").distinct(), docs.where("source <> 'src0'").select("source").distinct())
+    return drafts.slot_faults(docs, ["lang", "source"], required)
+
+
+@query(
+    """SELECT gold, count(*) AS n, count(*) FILTER (hit) AS direct, count(*) FILTER (hit AND gold = 'user') AS true_direct, count(*) FILTER (hit AND gold <> 'user') AS false_direct FROM (SELECT role AS gold, regexp_matches(text, '(?i)\\bthe\\b') AS hit FROM conversations) GROUP BY 1"""
+)
+def guard_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit, gold = validation.has_hazard(F.col("text"), (r"(?i)\bthe\b",)), F.col("gold")
+    turns = table(spark, sf_dir, "conversations").withColumn("gold", F.col("role"))
+    return groups.conditional_counts(turns, ["gold"], {"direct": hit, "true_direct": hit & (gold == "user"), "false_direct": hit & (gold != "user")})
+
+
+@query(
+    """SELECT l_returnflag, count(*) AS n, count(*) FILTER (same AND a <= b AND b + 5 <= a + 20) AS contained, count(*) FILTER (same AND greatest(a, b) < least(a + 20, b + 5)) AS overlapping, count(*) FILTER (same AND a = b) AS exact
+FROM (SELECT *, l_linenumber % 2 = 0 AS same, l_quantity::INT AS a, (l_partkey % 60)::INT AS b FROM lineitem) GROUP BY 1"""
+)
+def atomic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("l_quantity").cast("int"), (F.col("l_partkey") % 60).cast("int")
+    clause = F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(2)
+    same = clause == 1
+    tests = {"contained": evidence.contains(a, a + 20, b, b + 5, F.lit(1), clause), "overlapping": overlaps(a, a + 20, b, b + 5) & same, "exact": same & (a == b)}
+    return groups.conditional_counts(table(spark, sf_dir, "lineitem"), ["l_returnflag"], tests)
+
+
+@query(
+    """SELECT relation, context, count(*) AS cnt, count(size) AS sized, count(color) AS colored FROM (SELECT CASE WHEN sel IS NOT NULL THEN CASE WHEN n > 0 AND sel = '10' THEN 'selected_offer' ELSE 'selected_other' END WHEN n = 0 THEN 'no_offers' ELSE 'offers_unselected' END AS relation,
+CASE WHEN color = 'red' THEN 'guarded_color' WHEN size0 IS NULL AND color IS NULL THEN 'empty' WHEN size0 IS NULL OR color IS NULL THEN 'partial' ELSE 'complete' END AS context, CASE a WHEN 'reset' THEN NULL WHEN 'change' THEN NULL ELSE coalesce('XL', size0) END AS size, CASE a WHEN 'reset' THEN NULL ELSE color END AS color
+FROM (SELECT CASE p_size % 3 WHEN 0 THEN '10' WHEN 1 THEN '12' END AS sel, p_partkey % 2 AS n, CASE WHEN p_partkey % 3 = 0 THEN 'L' END AS size0, CASE p_partkey % 4 WHEN 0 THEN 'red' WHEN 1 THEN 'blue' END AS color, CASE p_partkey % 5 WHEN 0 THEN 'reset' WHEN 1 THEN 'change' ELSE 'tell' END AS a FROM part)) GROUP BY ALL"""
+)
+def turns_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    current = F.create_map(F.lit("size"), F.when(k % 3 == 0, "L"), F.lit("color"), pick("p_partkey", 4, F.lit("red"), F.lit("blue")))
+    action = F.coalesce(pick("p_partkey", 5, F.lit("reset"), F.lit("change")), F.lit("tell"))
+    new = F.create_map(F.lit("size"), F.when(action == "tell", "XL"), F.lit("color"), F.lit(None).cast("string"))
+    after = contracts.applied_turn(current, new, action, F.when(action == "change", "size"))
+    offered = F.when(k % 2 == 1, F.array(F.lit("10"))).otherwise(F.expr("cast(array() as array<string>)"))
+    rows = table(spark, sf_dir, "part").select(
+        contracts.alternative_relation(offered, pick("p_size", 3, F.lit("10"), F.lit("12"))).alias("relation"), contracts.context_class(current, {"color": "red"}).alias("context"), after["size"].alias("size"), after["color"].alias("color")
+    )
+    return rows.groupBy("relation", "context").agg(F.count("*").alias("cnt"), F.count("size").alias("sized"), F.count("color").alias("colored"))
+
+
+@query("SELECT s_suppkey, '{\"a\":[{\"b\":' || s_nationkey || ',\"c\":\"café\"}],\"n\":null}' AS canonical FROM supplier")
+def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit('{ "n": null, "a": [ {"c": "café", "b": '), F.col("s_nationkey"), F.lit("} ] }"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", documents.canonical_json(text).alias("canonical"))
+
+
+@query("SELECT c_name AS value, sha256(c_name) AS digest FROM (SELECT DISTINCT c_name FROM customer UNION SELECT DISTINCT c_mktsegment FROM customer)")
+def walked_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inner = F.to_json(F.struct(F.col("c_name").alias("message")))
+    line = F.concat(F.lit('{"turns": [{"text": "x", "deep": ['), inner, F.lit(']}], "message": "'), F.col("c_mktsegment"), F.lit(' "}'))
+    texts = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 2 == 0, line).otherwise(F.concat_ws("\n", line, F.lit("no json"))).alias("t"))
+    return files.walked(texts, "t", "message")
+
+
+@query("SELECT 'action' AS what, list_sort(['change', 'drop', 'keep']) AS vals UNION ALL SELECT 'state', ['done', 'open']")
+def union_of_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    actions = _contract(spark)[0]
+    gathered = actions.agg(F.collect_set("action").alias("a"), F.collect_set("state").alias("s"))
+    both = F.array(*[F.struct(F.lit(what).alias("what"), F.array_sort(contracts.union_of(F.col(x), F.col(x))).alias("vals")) for what, x in (("action", "a"), ("state", "s"))])
+    return gathered.select(F.explode(both).alias("x")).select("x.*")

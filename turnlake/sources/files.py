@@ -1,9 +1,19 @@
-"""Readers and write-once sinks: labelled cases, journals, tables in Markdown, authoring folders."""
+"""Readers and write-once sinks: labelled cases, journals, tables in Markdown, authoring folders, prompts, catalogues, recordings."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import configparser
+import io
+import json
+import unicodedata
+import wave
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+from turnlake.functions.documents import strict_json
 
 CASES = """version string, cases array<struct<id string, conversation_group_id string, split string, scenario_key string,
 conversation_state string, current_fields map<string,string>, offered_alternative_times array<string>, user_message string,
@@ -23,7 +33,7 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
     entry is a variant, null where the line is not strict JSON (repeated keys and NaN are not); fault says so.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
-    parsed = lines.withColumn("entry", F.try_parse_json("value"))
+    parsed = lines.withColumn("entry", strict_json(F.col("value")))
     return parsed.select("file", F.try_variant_get("entry", "$.seq", "long").alias("seq"), "entry", F.when(F.col("entry").isNull(), "malformed").alias("fault"))
 
 
@@ -36,10 +46,137 @@ def read_pipe_table(spark: SparkSession, path: str, id_pattern: str) -> DataFram
 
 def read_folder(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """One row (file, digest, text) for each file of a folder and those below it."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("file"), F.sha2("value", 256).alias("digest"), F.col("value").alias("text"))
 
 
 def write_once(rows: DataFrame, path: str) -> None:
     """Write Parquet to a place where nothing is yet; an existing one is an error and stays as it is."""
     rows.write.mode("errorifexists").parquet(path)
+
+
+def folder_faults(files: DataFrame, manifest: str | None = None) -> DataFrame:
+    """(file, fault) of a folder read by read_folder: empty (one row without a file), manifest_inside, and repeated (two files of equal content)."""
+    count = files.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast("string").alias("file"), F.lit("empty").alias("fault"))
+    again = files.groupBy("digest").agg(F.collect_list("file").alias("f")).where(F.size("f") > 1).select(F.explode("f").alias("file"), F.lit("repeated").alias("fault"))
+    faults = count.unionByName(again)
+    return faults if manifest is None else faults.unionByName(files.where(F.col("file").endswith("/" + manifest)).select("file", F.lit("manifest_inside").alias("fault")))
+
+
+def journal_faults(journal: DataFrame, rows: int) -> DataFrame:
+    """(file, seq, fault) of journals read by read_journal that should hold the entries 0 to rows - 1 once each: malformed, no_seq, repeated, beyond, missing (seq null: how many is the file's gap)."""
+    counted = journal.groupBy("file", "seq").agg(F.count("*").alias("n"), F.max("fault").alias("bad"))
+    fault = F.when(F.col("bad").isNotNull(), "malformed").when(F.col("seq").isNull(), "no_seq").when(F.col("n") > 1, "repeated").when((F.col("seq") < 0) | (F.col("seq") >= rows), "beyond")
+    found = counted.select("file", "seq", fault.alias("fault")).where("fault is not null")
+    held = journal.groupBy("file").agg(F.count_distinct(F.when(F.col("seq").between(0, rows - 1), F.col("seq"))).alias("held"))
+    return found.unionByName(held.where(F.col("held") < rows).select("file", F.lit(None).cast("long").alias("seq"), F.lit("missing").alias("fault")))
+
+
+def _sections(text: str) -> list[dict]:
+    """Options of an INI text, section by section, names as they are written."""
+    config = configparser.ConfigParser(interpolation=None)
+    config.optionxform = str
+    config.read_string(text)
+    return [{"section": section, "name": name, "value": value.strip()} for section in config.sections() for name, value in config.items(section)]
+
+
+def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """One row (file, section, name, value, lines) for each option of INI files; an unreadable file fails the read.
+
+    lines are the value's lines without blank ones; one line alone is cut at its commas.
+    """
+    option = ArrayType(StructType([StructField(x, StringType()) for x in ("section", "name", "value")]))
+
+    @F.pandas_udf(option)
+    def parsed(texts: pd.Series) -> pd.Series:
+        return texts.map(_sections)
+
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), parsed("value").alias("o"))
+    each = whole.select("file", F.explode("o").alias("o")).select("file", "o.*")
+    clean = lambda parts: F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+    lines = clean(F.split("value", r"\r?\n"))
+    return each.withColumn("lines", F.when((F.size(lines) == 1) & F.contains("value", F.lit(",")), clean(F.split("value", ","))).otherwise(lines))
+
+
+CATALOG = "struct<schema_version: string, scenarios: map<string, string>>"
+
+
+def read_availability(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """One row (file, scenario, request, slot, fault) for each request of availability catalogues (JSON), names trimmed; fault: version, empty, entry (other keys than the requests), blank."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", CATALOG).alias("c"))
+    each = whole.select("file", "c", F.explode_outer("c.scenarios").alias("scenario", "entry"))
+    requests = F.from_json("entry", "struct<available_requests: map<string, string>>")["available_requests"]
+    spread = each.select("file", "c", F.trim("scenario").alias("scenario"), F.json_object_keys("entry").alias("keys"), F.explode_outer(requests).alias("request", "slot"))
+    blank = lambda x: F.coalesce(F.trim(x) == "", F.lit(True))
+    fault = (
+        F.when(~F.col("c.schema_version").eqNullSafe(F.lit(version)), "version")
+        .when(F.col("scenario").isNull(), "empty")
+        .when(F.col("keys").isNull() | (F.array_join("keys", ",") != "available_requests"), "entry")
+        .when(blank("scenario") | blank("request") | blank("slot"), "blank")
+    )
+    return spread.select("file", "scenario", F.trim("request").alias("request"), F.trim("slot").alias("slot"), fault.alias("fault"))
+
+
+WAV = StructType([StructField("rate", IntegerType()), StructField("channels", IntegerType()), StructField("bits", IntegerType()), StructField("frames", LongType()), StructField("duration_ms", LongType())])
+
+
+def read_recordings(spark: SparkSession, path: str) -> DataFrame:
+    """One row (file, stem, digest, rate, channels, bits, frames, duration_ms, fault) for each WAV file of a folder and those below it; fault: unreadable, not_mono, not_16_bit."""
+
+    @F.pandas_udf(WAV)
+    def header(contents: pd.Series) -> pd.DataFrame:
+        out = []
+        for content in contents:
+            try:
+                with wave.open(io.BytesIO(content)) as sound:
+                    rate, frames = sound.getframerate(), sound.getnframes()
+                    out.append((rate, sound.getnchannels(), 8 * sound.getsampwidth(), frames, round(1000 * frames / rate) if rate else None))
+            except (wave.Error, EOFError):
+                out.append((None,) * 5)
+        return pd.DataFrame(out, columns=[x.name for x in WAV], dtype=object)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(path)
+    found = files.select(F.col("path").alias("file"), stem(F.col("path")).alias("stem"), F.sha2("content", 256).alias("digest"), header("content").alias("h")).select("file", "stem", "digest", "h.*")
+    return found.withColumn("fault", F.when(F.col("rate").isNull(), "unreadable").when(F.col("channels") != 1, "not_mono").when(F.col("bits") != 16, "not_16_bit"))
+
+
+def stem(path: Column) -> Column:
+    """A file's name without folders and ending."""
+    return F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
+
+
+def with_recordings(labels: DataFrame, recordings: DataFrame, key: str = "stem") -> tuple[DataFrame, DataFrame]:
+    """(labels with their recordings, labels without one); a stem that several recordings share pairs with none."""
+    single = recordings.groupBy(key).agg(F.count("*").alias("_n"), F.min_by("file", "file").alias("file"), F.min_by("duration_ms", "file").alias("duration_ms")).where("_n = 1").drop("_n")
+    return labels.join(single, key), labels.join(single.select(key), key, "left_anti")
+
+
+def walked(texts: DataFrame, text: str, name: str) -> DataFrame:
+    """Distinct (value, digest) of all strings under a key of that name at any depth of JSON texts, or of the lines of JSON-lines texts: NFC, stripped, not empty.
+
+    A text that does not parse gives nothing.
+    """
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def found(values: pd.Series) -> pd.Series:
+        def below(node):
+            if isinstance(node, dict):
+                for key, value in node.items():
+                    if key == name and isinstance(value, str):
+                        yield unicodedata.normalize("NFC", value).strip()
+                    yield from below(value)
+            elif isinstance(node, list):
+                for value in node:
+                    yield from below(value)
+
+        def of(value: str | None) -> list[str]:
+            try:
+                return list(below(json.loads(value or "null")))
+            except ValueError:
+                lines = value.split("\n")
+                return [x for line in lines for x in of(line)] if len(lines) > 1 else []
+
+        return values.map(of)
+
+    each = texts.select(F.explode(found(text)).alias("value")).where("value <> ''").distinct()
+    return each.select("value", F.sha2("value", 256).alias("digest"))
