@@ -26,6 +26,8 @@ THRESHOLD = 0.98
 SHARD_ROWS, BLOCK_ROWS = 8192, 1024
 #: Links of a node on upper layers (twice as many on the lowest), up to as many more before they are thinned out; beam while building, first beam of a search.
 LINKS, BUILD_BEAM, FIRST_BEAM = 12, 48, 32
+#: Nearest neighbours of a node that link to it at last.
+BACK = 3
 #: Queries of a block that are audited, and the share of their links that must be found.
 AUDITED, RECALL = 48, 1.0
 #: The graph is walked in single precision; what comes this near to the threshold is verified. Angles are trusted to SLACK.
@@ -50,6 +52,7 @@ class Graph:
         self.near, self.members = near, {}
         for i in range(n):
             self._insert(i, int(levels[i]))
+        self._connect()
         exact = vectors / np.linalg.norm(vectors, axis=1)[:, None]
         self.centre, self.radius, self.reach = {}, {}, 0.0
         for i, own in self.members.items():
@@ -97,6 +100,28 @@ class Graph:
         if level > self.top or not i:
             self.entry, self.top = i, level
 
+    def _connect(self) -> None:
+        """Link each node from the BACK nearest of its neighbours, so that a search within a dense region meets it there, and
+        the nodes that no way from the entry reaches from the nearest one that is reached."""
+        near, reached, todo = self.layers[0], {self.entry}, [self.entry]
+        back: dict[int, list[int]] = {}
+        for i in self.members:
+            for j in near[i][np.argsort(-(self.unit[near[i]] @ self.unit[i]), kind="stable")[:BACK]].tolist():
+                if i not in near[j]:
+                    back.setdefault(j, []).append(i)
+        for j, more in back.items():
+            near[j] = np.append(near[j], np.array(more, np.int64))
+        for i in [None, *self.members]:
+            if i is not None and i not in reached:
+                node = self._beam(self.unit[i], [self.entry], 0, FIRST_BEAM)[0][1]
+                near[node] = np.append(near[node], i)
+                reached.add(i)
+                todo.append(i)
+            while todo:
+                new = [x for x in near[todo.pop()].tolist() if x not in reached]
+                reached.update(new)
+                todo += new
+
     def _spread(self, ranked: list[tuple[float, int]], most: int) -> list[int]:
         """Up to most of the ranked (similarity, node), first those that are nearer to the centre than to one taken before."""
         if len(ranked) <= most:
