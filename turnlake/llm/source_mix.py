@@ -206,7 +206,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     _, sources, placed = _prepared(docs, id_col, text_col, source_col, [])
     takes = _plan(placed, sources, block, seed)
     taken = takes.groupBy("row").agg(F.sum(F.coalesce(taken_in(F.col("at"), F.col("n"), F.col("takes")), F.lit(0))).alias("taken"))
-    return placed.join(taken, "row").select("doc_id", "size", "source_size", "target", "taken")
+    # merged by row, so that reruns give the rows in the same order too
+    return placed.join(taken.hint("merge"), "row").select("doc_id", "size", "source_size", "target", "taken")
 
 
 @F.pandas_udf(ArrayType(StringType()))
