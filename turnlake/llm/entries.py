@@ -12,6 +12,7 @@ from turnlake.llm.secret_scan import op4_secret_scan
 from turnlake.llm.simhash_dedup import op1_simhash_dedup
 from turnlake.llm.source_mix import op5_source_mix
 from turnlake.llm.url_templates import op7_url_templates
+from turnlake.llm.warc_zip import OP13_SQL, op13_warc_zip
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
@@ -24,7 +25,8 @@ QUERIES = {
     "op8_pii_transducer": op8_pii_transducer,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_hnsw_dedup": op10_hnsw_dedup,
+    "op13_warc_zip": op13_warc_zip,
 }
 
 #: The others hash by XXH64, scan with look-around, permute, train or search approximately; tests hold them against plain versions.
-ORACLE_SQL: dict[str, str] = {"op10_hnsw_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_hnsw_dedup": OP10_SQL, "op13_warc_zip": OP13_SQL}
