@@ -11,6 +11,7 @@ from turnlake.llm.quality_crf import op3_quality_crf
 from turnlake.llm.secret_scan import op4_secret_scan
 from turnlake.llm.simhash_dedup import op1_simhash_dedup
 from turnlake.llm.source_mix import op5_source_mix
+from turnlake.llm.token_align import op11_token_align
 from turnlake.llm.url_templates import op7_url_templates
 from turnlake.llm.warc_zip import OP13_SQL, op13_warc_zip
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_pii_transducer": op8_pii_transducer,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_hnsw_dedup": op10_hnsw_dedup,
+    "op11_token_align": op11_token_align,
     "op13_warc_zip": op13_warc_zip,
 }
 
