@@ -6,6 +6,7 @@ from turnlake.llm.bpe_codec import op9_bpe_codec
 from turnlake.llm.chain_dedup import op6_chain_dedup
 from turnlake.llm.hnsw_dedup import OP10_SQL, op10_hnsw_dedup
 from turnlake.llm.nn_descent import op2_nn_descent
+from turnlake.llm.phrase_mine import OP12_SQL, op12_phrase_mine
 from turnlake.llm.pii_transducer import op8_pii_transducer
 from turnlake.llm.quality_crf import op3_quality_crf
 from turnlake.llm.secret_scan import op4_secret_scan
@@ -27,8 +28,9 @@ QUERIES = {
     "op9_bpe_codec": op9_bpe_codec,
     "op10_hnsw_dedup": op10_hnsw_dedup,
     "op11_token_align": op11_token_align,
+    "op12_phrase_mine": op12_phrase_mine,
     "op13_warc_zip": op13_warc_zip,
 }
 
 #: The others hash by XXH64, scan with look-around, permute, train or search approximately; tests hold them against plain versions.
-ORACLE_SQL: dict[str, str] = {"op10_hnsw_dedup": OP10_SQL, "op13_warc_zip": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_hnsw_dedup": OP10_SQL, "op12_phrase_mine": OP12_SQL, "op13_warc_zip": OP13_SQL}
