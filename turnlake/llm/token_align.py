@@ -24,13 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm.shared import hot_join, small_batches, staged, unstaged
+from turnlake.llm.shared import small_batches, staged, unstaged
 
 #: Characters of a chunk's texts, and its documents, after which another begins; a longer text is a chunk of its own.
 CHUNK_CHARS, CHUNK_DOCS = 4 << 20, 4_000
 #: Segments that a task aligns at once.
 SEGMENTS = 5_000
 SPACE = "▁"
+#: What follows an id in a list of groups.
+SEPARATORS = ",|;"
 
 
 class Pair:
@@ -51,6 +53,10 @@ class Pair:
         self.b = SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(pieces)]
+        self.kind = "<u2" if max(len(self.a_bytes), len(pieces)) <= 1 << 16 else "<u4"
+        self.a_length, self.b_length = (np.array([len(x) for x in y]) for y in (self.a_bytes, self.b_bytes))
+        #: An id with what follows it in a group list, by id and place in SEPARATORS.
+        self.shown = [f"{i}{x}" for x in SEPARATORS for i in range(max(len(self.a_bytes), len(pieces)))]
         #: Characters that some piece has before a space inside it: after these a text is not split.
         self.joined = "".join(sorted({x for piece in pieces for x, y in zip(piece, piece[1:], strict=False) if y == SPACE}))
         plain = self.b.encode("  a   ÅÅﬁ  ") if pieces else []
@@ -62,16 +68,12 @@ class Pair:
         """The segments of a text; a space stands before each, the first included."""
         return [text] if self.whole else self.border.split(text)
 
-    def aligned(self, segments: list[str]) -> Iterator[tuple]:
-        """(a_ids, b_ids, ends of groups in a and in b, whether both spell the segment) for each segment with its space."""
+    def codes(self, segments: list[str]) -> Iterator[bytes | None]:
+        """Each segment's tokens with its space: the number of A's as 32 bits, then the ids of A and of B; null where a side does not spell it."""
         for segment, a, b in zip(segments, self.a.encode_batch_fast([" " + x for x in segments], add_special_tokens=False), self.b.encode(segments, num_threads=1), strict=True):
-            a_ids = a.ids
-            a_tokens, b_tokens = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b]
-            own = (" " + segment).encode()
-            if b"".join(a_tokens) != own or b"".join(b_tokens) != own:
-                yield [], [], [], [], False
-                continue
-            yield a_ids, b, *common_ends(a_tokens, b_tokens), True
+            ids, own = a.ids, (" " + segment).encode()
+            fits = b"".join([self.a_bytes[i] for i in ids]) == own == b"".join([self.b_bytes[i] for i in b])
+            yield np.uint32(len(ids)).tobytes() + np.array(ids + b, dtype=self.kind).tobytes() if fits else None
 
 
 @lru_cache(maxsize=1)
@@ -82,50 +84,6 @@ def byte_letters() -> str:
     return "".join(chr(others.get(x, x)) for x in range(256))
 
 
-def common_ends(a: list[bytes], b: list[bytes]) -> tuple[list[int], list[int]]:
-    """Numbers of tokens of a and of b up to each byte offset at which both end."""
-    of_a, of_b, i, j, left, right = [], [], 0, 0, 0, 0
-    while i < len(a):
-        if left <= right:
-            left += len(a[i])
-            i += 1
-        while right < left:
-            right += len(b[j])
-            j += 1
-        if left == right:
-            of_a.append(i)
-            of_b.append(j)
-    return of_a, of_b
-
-
-def links(a_ids: list[int], b_ids: list[int], of_a: list[int], of_b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> list[int]:
-    """All pairs of tokens whose byte ranges overlap, in order, as a's id << 32 | b's id."""
-    found, at, to = [], 0, 0
-    for end_a, end_b in zip(of_a, of_b, strict=True):
-        i, j = at, to
-        left, right = len(a_bytes[a_ids[i]]), len(b_bytes[b_ids[j]])
-        found.append(a_ids[i] << 32 | b_ids[j])
-        while i + 1 < end_a or j + 1 < end_b:
-            if left < right:
-                i += 1
-                left += len(a_bytes[a_ids[i]])
-            else:
-                j += 1
-                right += len(b_bytes[b_ids[j]])
-            found.append(a_ids[i] << 32 | b_ids[j])
-        at, to = end_a, end_b
-    return found
-
-
-def shown(a_ids: list[int], b_ids: list[int], of_a: list[int], of_b: list[int]) -> str:
-    """Groups as a1,a2|b1;a3|b2,b3."""
-    out, at, to = [], 0, 0
-    for end_a, end_b in zip(of_a, of_b, strict=True):
-        out.append(f"{','.join(map(str, a_ids[at:end_a]))}|{','.join(map(str, b_ids[to:end_b]))}")
-        at, to = end_a, end_b
-    return ";".join(out)
-
-
 @lru_cache(maxsize=2)
 def pair(a_path: str, b_path: str) -> Pair:
     """One pair for each Python worker."""
@@ -160,73 +118,124 @@ def chunks(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(split, "chunk long, ids array<long>, lengths array<int>, order binary, segments array<string>")
 
 
-ALIGNED = "segment string, fits boolean, n_a int, n_b int, n_groups int, groups string, links binary"
-
-
-def segment_alignments(segments: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """segments (segment), distinct, with both tokenizers' alignment: columns as in ALIGNED; links holds a 64-bit number for each."""
-    schema = pa.schema([("segment", pa.string()), ("fits", pa.bool_()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("n_groups", pa.int32()), ("groups", pa.string()), ("links", pa.binary())])
+def segment_codes(segments: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """segments (segment), distinct, with their tokens by both (segment, code), as in Pair.codes."""
+    schema = pa.schema([("segment", pa.string()), ("code", pa.binary())])
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pair(a_path, b_path)
         for batch in batches:
             for at in range(0, batch.num_rows, SEGMENTS):
-                texts, rows = batch.column(0).slice(at, SEGMENTS).to_pylist(), []
-                for text, (a, b, of_a, of_b, fits) in zip(texts, own.aligned(texts), strict=True):
-                    found = links(a, b, of_a, of_b, own.a_bytes, own.b_bytes)
-                    rows.append((text, fits, len(a), len(b), len(of_a), shown(a, b, of_a, of_b), np.array(found, dtype="<i8").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind.type) for x, kind in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    return segments.select("segment").mapInArrow(align, ALIGNED)
+                part = batch.column(0).slice(at, SEGMENTS)
+                yield pa.RecordBatch.from_arrays([part, pa.array(own.codes(part.to_pylist()), pa.binary())], schema=schema)
+
+    return segments.select("segment").mapInArrow(encode, "segment string, code binary")
+
+
+FULL = "chunk long, ids array<long>, lengths array<int>, order binary, n_a binary, n_b binary, a binary, b binary"
+PAIRS = "chunk long, pair long, docs long"
+DOCS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+
+
+def filled(row: pd.DataFrame, joined: pd.DataFrame, kind: str) -> pd.DataFrame:
+    """A chunk's row with the tokens of its segments, in the order of its list; a segment that does not fit has none."""
+    codes = [b""] * len(joined)
+    for place, code in zip(joined["place"].tolist(), joined["code"].tolist(), strict=True):
+        codes[place] = code or b"\0\0\0\0"
+    width = np.dtype(kind).itemsize
+    n_a = [int.from_bytes(x[:4], "little") for x in codes]
+    middle = [4 + n * width for n in n_a]
+    return row[["chunk", "ids", "lengths", "order"]].assign(
+        n_a=np.array(n_a, dtype="<i4").tobytes(),
+        n_b=np.array([(len(x) - m) // width for x, m in zip(codes, middle, strict=True)], dtype="<i4").tobytes(),
+        a=b"".join([x[4:m] for x, m in zip(codes, middle, strict=True)]),
+        b=b"".join([x[m:] for x, m in zip(codes, middle, strict=True)]),
+    )
 
 
 class Chunk:
-    """A chunk's row with what was joined to its segments, put in the order of its list."""
+    """A chunk with the alignment of all its segments, one after the other.
+
+    Both tokenizers spell the same bytes, so in the union of the offsets at which their tokens end every stretch between
+    two offsets is one link, that of the tokens which cover it; where both end, a group ends, and so does every segment.
+    """
 
-    def __init__(self, row: pd.DataFrame, joined: pd.DataFrame, columns: list[str]):
-        self.chunk, self.ids, self.lengths = row["chunk"].iloc[0], row["ids"].iloc[0], np.asarray(row["lengths"].iloc[0], dtype=np.int64)
-        self.order = np.frombuffer(row["order"].iloc[0], "<i4")
+    def __init__(self, row: dict, own: Pair):
+        self.own, self.ids, self.lengths = own, row["ids"], np.asarray(row["lengths"], dtype=np.int64)
+        self.order = np.frombuffer(row["order"], "<i4")
+        self.a, self.b = (np.frombuffer(row[x], own.kind).astype(np.int64) for x in ("a", "b"))
+        self.n_a, self.n_b = (np.frombuffer(row[x], "<i4").astype(np.int64) for x in ("n_a", "n_b"))
+        self.ends_a, self.ends_b = np.cumsum(own.a_length[self.a]), np.cumsum(own.b_length[self.b])
+        cuts = np.union1d(self.ends_a, self.ends_b)
+        of_a, of_b = np.searchsorted(self.ends_a, cuts), np.searchsorted(self.ends_b, cuts)
+        self.links = self.a[of_a] << 32 | self.b[of_b]
+        both = (self.ends_a[of_a] == cuts) & (self.ends_b[of_b] == cuts)
+        self.groups = cuts[both]
+        last = np.concatenate([[0], self.ends_a])[np.cumsum(self.n_a)]
+        self.link_ends = np.searchsorted(cuts, last, side="right")
+        self.n_links = np.diff(self.link_ends, prepend=0)
+        self.n_groups = np.diff(np.searchsorted(self.groups, last, side="right"), prepend=0)
         self.ends = np.cumsum(self.lengths)
-        at = joined["place"].to_numpy()
-        back = np.empty(len(joined), dtype=np.int64)
-        back[at] = np.arange(len(joined))
-        self.of = {x: joined[x].to_numpy()[back] for x in columns}
-
-    def docs(self) -> Iterator[tuple[int | None, np.ndarray]]:
-        for doc_id, length, end in zip(self.ids, self.lengths, self.ends, strict=True):
-            yield None if pd.isna(doc_id) else int(doc_id), self.order[end - length : end]
-
-
-def composed(row: pd.DataFrame, joined: pd.DataFrame) -> pd.DataFrame:
-    """Per document of a chunk its counts and groups, and per id pair of the chunk the number of documents that hold it linked (rows with a pair)."""
-    own = Chunk(row, joined, ["fits", "n_a", "n_b", "n_groups", "groups", "links"])
-    pairs = [np.unique(np.frombuffer(x, "<i8")) for x in own.of["links"]]
-    docs, held = [], []
-    for place, (doc_id, order) in enumerate(own.docs()):
-        if not len(order) or not own.of["fits"][order].all():
-            docs.append((place, doc_id, 0, 0, 0, ""))
-            continue
-        text = ";".join(own.of["groups"][order])
-        docs.append((place, doc_id, *(int(own.of[x][order].sum()) for x in ("n_a", "n_b", "n_groups")), hashlib.sha256(text.encode()).hexdigest()))
-        held.append(np.unique(np.concatenate([pairs[x] for x in np.unique(order)])))
-    found, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.array([], dtype=np.int64), np.array([], dtype=np.int64))
-    out = pd.DataFrame(docs, columns=["place", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256"]).astype({"doc_id": "Int64"})
-    out = pd.concat([out, pd.DataFrame({"pair": pd.array(found, dtype="Int64"), "docs": pd.array(counts, dtype="Int64")})])
-    return out.assign(chunk=own.chunk)[["chunk", *(x.split()[0] for x in COMPOSED.split(", ")[1:])]]
-
-
-COMPOSED = "chunk long, place int, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, pair long, docs long"
-SCORED = "chunk long, place int, n_best long, count_sum long"
-
-
-def scored(row: pd.DataFrame, joined: pd.DataFrame) -> pd.DataFrame:
-    """Per document of a chunk the sums over its segments."""
-    own = Chunk(row, joined, ["fits", "n_best", "count_sum"])
-    out = []
-    for place, (_, order) in enumerate(own.docs()):
-        fits = len(order) and own.of["fits"][order].all()
-        out.append((own.chunk, place, *(int(own.of[x][order].sum()) if fits else 0 for x in ("n_best", "count_sum"))))
-    return pd.DataFrame(out, columns=["chunk", "place", "n_best", "count_sum"])
+        self.fits = (self.lengths > 0) & (self.over_docs(self.n_a == 0) == 0)
+
+    def over_docs(self, of_segment: np.ndarray) -> np.ndarray:
+        """Sums of a segment's values over the segments of each document."""
+        total = np.concatenate([[0], np.cumsum(of_segment[self.order].astype(np.int64))])
+        return total[self.ends] - total[self.ends - self.lengths]
+
+    def docs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Place and segments of each document that fits."""
+        for i in np.flatnonzero(self.fits):
+            yield i, self.order[self.ends[i] - self.lengths[i] : self.ends[i]]
+
+    def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The id pairs of the chunk and the number of its documents that hold each linked."""
+        pairs, number = np.unique(self.links, return_inverse=True)
+        counts = np.zeros(len(pairs), dtype=np.int64)
+        for _, order in self.docs():
+            held = np.unique(order)
+            n = self.n_links[held]
+            at = np.repeat(self.link_ends[held] - np.cumsum(n), n) + np.arange(n.sum())
+            counts[np.unique(number[at])] += 1
+        some = counts > 0
+        return pairs[some], counts[some]
+
+    def shown(self) -> list[str]:
+        """The groups of each segment as a1,a2|b1;a3|b2,b3; with an end to each group."""
+        of_a, of_b = np.searchsorted(self.groups, self.ends_a), np.searchsorted(self.groups, self.ends_b)
+        sign_a, sign_b = np.isin(self.ends_a, self.groups).astype(np.int64), 2 * np.isin(self.ends_b, self.groups).astype(np.int64)
+        many = len(self.own.shown) // len(SEPARATORS)
+        place = np.concatenate([sign_a * many + self.a, sign_b * many + self.b])
+        order = np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")
+        tokens = [self.own.shown[i] for i in place[order].tolist()]
+        ends = np.cumsum(self.n_a + self.n_b)
+        return ["".join(tokens[i:j]) for i, j in zip((ends - self.n_a - self.n_b).tolist(), ends.tolist(), strict=True)]
+
+    def documents(self, pairs: np.ndarray, docs: np.ndarray, best: np.ndarray) -> pd.DataFrame:
+        """The documents' rows, given the corpus-wide counts of the chunk's pairs, sorted."""
+        at = np.searchsorted(pairs, self.links)
+        at[at == len(pairs)] = 0
+        known = (pairs[at] == self.links) if len(pairs) else np.zeros(len(self.links), dtype=bool)
+        summed = lambda x: np.diff(np.concatenate([[0], np.cumsum(np.where(known, x[at], 0) if len(pairs) else known)])[self.link_ends], prepend=0)
+        of = {"n_a": self.n_a, "n_b": self.n_b, "n_groups": self.n_groups, "n_links": self.n_links, "n_best": summed(best), "count_sum": summed(docs)}
+        texts, hashes = self.shown(), [""] * len(self.ids)
+        for i, order in self.docs():
+            hashes[i] = hashlib.sha256("".join([texts[x] for x in order.tolist()])[:-1].encode()).hexdigest()
+        sums = {k: np.where(self.fits, self.over_docs(x), 0) for k, x in of.items()}
+        return pd.DataFrame({"doc_id": pd.array([None if x is None or x != x else int(x) for x in self.ids], dtype="Int64")} | sums | {"groups_sha256": hashes})
+
+
+def chunk_pairs(full: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """One row (chunk, pair, docs) for each id pair that documents of a chunk hold linked; pair is A's id << 32 | B's id."""
+    schema = pa.schema([("chunk", pa.int64()), ("pair", pa.int64()), ("docs", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                pairs, docs = Chunk(row, pair(a_path, b_path)).pair_counts()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), row["chunk"])), pa.array(pairs), pa.array(docs)], schema=schema)
+
+    return full.mapInArrow(count, PAIRS)
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,44 +244,32 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     n_links: pairs of an A and a B token whose byte ranges overlap; n_best: those whose pair is held linked by as many
     documents as any pair of its A id; count_sum: documents that hold the pair, over the links. Null and empty texts, and
     texts that the tokens of either side do not spell, have zeros and ''. A null id stays null, repeated rows are
-    documents of their own, an empty table gives an empty one; other columns are not read, so their names cannot clash.
+    documents of their own, a very long text is a chunk of its own, an empty table gives an empty one; other columns are
+    not read, so their names cannot clash.
     """
     small_batches(docs.sparkSession)
     split = staged(chunks(docs, a_path, b_path, id_col, text_col))
     own = split.select(F.col("chunk").alias("of"), F.posexplode("segments").alias("place", "segment"))
-    aligned = staged(segment_alignments(own.select("segment").distinct(), a_path, b_path))
+    codes = staged(segment_codes(own.select("segment").distinct(), a_path, b_path))
+    joined = own.join(codes, "segment").select("of", "place", "code")
+    kind = pair(a_path, b_path).kind
     heads = split.select("chunk", "ids", "lengths", "order")
-    joined = own.join(aligned, "segment").select("of", "place", "fits", "n_a", "n_b", "n_groups", "groups", "links")
-    made = staged(heads.groupBy("chunk").cogroup(joined.groupBy("of")).applyInPandas(composed, COMPOSED))
-    counts = staged(made.where("pair is not null").groupBy("pair").agg(F.sum("docs").alias("docs")))
-    best = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("docs").alias("most"))
-    judged = staged(counts.withColumn("a", F.shiftright("pair", 32)).join(best, "a").select("pair", "docs", (F.col("docs") == F.col("most")).cast("long").alias("best")))
-    sums = link_sums(aligned, judged)
-    scores = own.join(sums, "segment").select("of", "place", "fits", "n_best", "count_sum")
-    per_doc = heads.groupBy("chunk").cogroup(scores.groupBy("of")).applyInPandas(scored, SCORED)
-    out = staged(
-        made.where("pair is null")
-        .join(per_doc, ["chunk", "place"])
-        .select("doc_id", "n_a", "n_b", "n_groups", (F.col("n_a") + F.col("n_b") - F.col("n_groups")).alias("n_links"), "n_best", "count_sum", "groups_sha256")
-    )
-    unstaged(split, aligned, made, counts, judged)
+    full = staged(heads.groupBy("chunk").cogroup(joined.groupBy("of")).applyInPandas(lambda row, segments: filled(row, segments, kind), FULL))
+    unstaged(split, codes)
+    held = staged(chunk_pairs(full, a_path, b_path))
+    counts = staged(held.groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a", F.shiftright("pair", 32)))
+    judged = counts.join(counts.groupBy("a").agg(F.max("docs").alias("most")), "a").select("pair", "docs", (F.col("docs") == F.col("most")).cast("long").alias("best"))
+    known = held.select(F.col("chunk").alias("of"), "pair").join(judged, "pair")
+
+    def finished(row: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values("pair")
+        return Chunk(row.iloc[0].to_dict(), pair(a_path, b_path)).documents(*(known[x].to_numpy(dtype=np.int64) for x in ("pair", "docs", "best")))
+
+    out = staged(full.groupBy("chunk").cogroup(known.groupBy("of")).applyInPandas(finished, DOCS))
+    unstaged(full, held, counts)
     return out
 
 
-def link_sums(aligned: DataFrame, judged: DataFrame) -> DataFrame:
-    """aligned's segments (segment, fits, n_best, count_sum): judged (pair, docs, best) joined to their links and summed for each segment.
-
-    A pair with many segments is dealt over tasks by its own number of segments, which is looked for in a sample.
-    """
-    @F.pandas_udf("array<long>")
-    def numbers(held: pd.Series) -> pd.Series:
-        return held.map(lambda x: np.frombuffer(x, "<i8"))
-
-    each = aligned.select("segment", F.explode(numbers("links")).alias("pair"))
-    summed = hot_join(each, judged, ["pair"], F.xxhash64("segment")).groupBy("segment").agg(F.sum("best").alias("n_best"), F.sum("docs").alias("count_sum"))
-    return aligned.select("segment", "fits").join(summed, "segment", "left").select("segment", "fits", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"))
-
-
 def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
