@@ -6,8 +6,8 @@ neighbours' neighbours become its new links; rounds end when few links change. F
 which nodes are sorted and cut into blocks. Queries walk the graph of every shard greedily: a beam of the best nodes met is
 kept and the best one not yet left is left next. A shard's graph is read once for each QUERY_ROWS queries, so that the
 copies of graphs are no more bytes than the queries. A recall audit compares AUDITED queries of each block with all of
-the shard, and the beam and the places where walks begin are doubled until it passes. Scores are inner products in double
-precision.
+the shard, and the beam and the places where walks begin are doubled until it passes; what it scans only sets the beam, and
+the answers of all queries are those of walks. Scores are inner products in double precision.
 """
 
 from __future__ import annotations
@@ -233,7 +233,7 @@ def audited_walk(q: np.ndarray, vectors: np.ndarray, graph: np.ndarray, most: in
     """Rows of the most nearest nodes found for each query of a block, best first (-1: none).
 
     Up to AUDITED queries are compared with all vectors; the beam and the places of walks are doubled until these find
-    RECALL of their most nearest, and then serve all others. The audited keep their exact answers.
+    RECALL of their most nearest, and then serve all queries, the audited as well.
     """
     n = len(vectors)
     audited = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDITED)).astype(np.int64))
@@ -248,11 +248,9 @@ def audited_walk(q: np.ndarray, vectors: np.ndarray, graph: np.ndarray, most: in
             break
         width, places = 2 * width, 2 * places
     found = np.full((len(q), exact.shape[1]), -1)
-    found[audited] = exact
-    rest = np.setdiff1d(np.arange(len(q)), audited)
-    for at in range(0, len(rest), TOGETHER):
-        own = walk(q[rest[at : at + TOGETHER]], vectors, graph, most, min(width, max(n, most)), places)
-        found[rest[at : at + TOGETHER], : own.shape[1]] = own[:, : found.shape[1]]
+    for at in range(0, len(q), TOGETHER):
+        own = walk(q[at : at + TOGETHER], vectors, graph, most, min(width, max(n, most)), places)
+        found[at : at + TOGETHER, : own.shape[1]] = own[:, : found.shape[1]]
     return found
 
 
