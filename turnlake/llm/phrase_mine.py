@@ -24,8 +24,8 @@ from turnlake.llm.shared import SALTS, hot_join, small_batches, staged, unstaged
 SUPPORT, LONGEST, ABSORBED, TOP = 100, 5, 100, 2000
 #: Bits of a bitmap: as many as give a bucket SPARE-th of the support on average, within these bounds; bitmaps are at most 8 MB.
 SPARE, LEAST_BITS, MOST_BITS = 8, 1 << 18, 1 << 26
-#: Buckets in a row of counts, and words that a task holds before it sums them up.
-BLOCK, WORDS_AT_ONCE = 1 << 13, 2_000_000
+#: Buckets in a row of counts, words that a task holds before it sums them up, and sums that it holds before it hands them on.
+BLOCK, WORDS_AT_ONCE, SUMS_AT_ONCE = 1 << 13, 1_000_000, 1_000_000
 #: What parts pieces, and what parts the words of one.
 PIECES, WORD = r"[.,;:!?\x0A-\x0D]", r"[^\x20\x09]+"
 UNKNOWN = "und"
@@ -148,6 +148,46 @@ def summed(blocks: DataFrame, column: str, kind: type, add: Callable, finish: Ca
     return blocks.select("block", column).repartition("block").mapInArrow(together, "block int, bits binary")
 
 
+class Sums:
+    """Counts of phrases of k words that a task holds, in parts that are each summed up by hash, language and words."""
+
+    def __init__(self, k: int):
+        self.k, self.langs, self.parts, self.size = k, [], [], 0
+
+    def codes(self, langs: list[str]) -> np.ndarray:
+        """Numbers of languages, from 0 in the order of their coming."""
+        for x in langs:
+            if x not in self.langs:
+                self.langs.append(x)
+        return np.array([self.langs.index(x) for x in langs], dtype=np.int32)
+
+    def add(self, hashes: np.ndarray, langs: np.ndarray, words: np.ndarray, counts: np.ndarray) -> None:
+        """Equal hashes lie side by side after sorting; rows that differ in a word all the same begin another sum."""
+        order = np.argsort(hashes, kind="stable")
+        hashes, langs, words = hashes[order], langs[order], words[:, order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (langs[1:] != langs[:-1]) | (words[:, 1:] != words[:, :-1]).any(axis=0)
+        first = np.flatnonzero(new)
+        if len(first):
+            self.parts.append((hashes[first], langs[first], words[:, first], np.add.reduceat(counts[order], first)))
+            self.size += len(first)
+
+    def merged(self) -> Sums:
+        if len(self.parts) > 1:
+            hashes, langs, words, counts = (np.concatenate(x, axis=-1) for x in zip(*self.parts, strict=True))
+            self.parts, self.size = [], 0
+            self.add(hashes, langs, words, counts)
+        return self
+
+    def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        langs = pa.array(self.langs, pa.string())
+        for _, of, words, counts in self.parts:
+            for i in range(0, len(of), 100_000):
+                n = len(of[i : i + 100_000])
+                own = [langs.take(pa.array(of[i : i + n])), *[pa.array(words[j, i : i + n].view(np.int64)) for j in range(self.k)], pa.array(counts[i : i + n])]
+                yield pa.RecordBatch.from_arrays([*own, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+
+
 def one_pass(texts: DataFrame, k: int, support: int, size: int, below: bytes, buckets: bytes | None, last: bool) -> DataFrame:
     """One pass over texts: rows (lang, w1..wk, n) with counts of phrases of k words, and rows (block, counts) of the buckets of k + 1 words.
 
@@ -163,28 +203,30 @@ def one_pass(texts: DataFrame, k: int, support: int, size: int, below: bytes, bu
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         under, own = (x and Bits(x) for x in sent.value)
         counts = np.zeros(0 if last else size, dtype=narrow(support))
-        held, n = [], 0
+        sums, held, n = Sums(k), [], 0
         for batch in batches:
             held.append(batch)
             n += len(batch.column(1).values) if batch.num_rows else 0
             if n >= WORDS_AT_ONCE:
-                yield from flush(held, under, own, counts)
+                flush(held, under, own, counts, sums)
                 held, n = [], 0
+                if sums.size >= SUMS_AT_ONCE and sums.merged().size >= SUMS_AT_ONCE // 2:
+                    yield from sums.batches(schema)
+                    sums = Sums(k)
         if n:
-            yield from flush(held, under, own, counts)
+            flush(held, under, own, counts, sums)
+        yield from sums.merged().batches(schema)
         blocks = counts.reshape(-1, BLOCK)
         for i in np.flatnonzero(blocks.any(axis=1)):
             yield pa.RecordBatch.from_pylist([{"block": int(i), "counts": blocks[i].tobytes()}], schema=schema)
 
-    def flush(held: list[pa.RecordBatch], under: Bits, own: Bits | None, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def flush(held: list[pa.RecordBatch], under: Bits, own: Bits | None, counts: np.ndarray, sums: Sums) -> None:
         table = pa.Table.from_batches(held).combine_chunks()
         lists = table.column(1).combine_chunks()
         words = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        sizes = np.diff(lists.offsets.to_numpy())
         codes = table.column(0).combine_chunks().dictionary_encode()
-        of_row = codes.indices.to_numpy(zero_copy_only=False)
-        lang_of = np.repeat(of_row, sizes)
-        langs = np.array([lang_hash(x) for x in codes.dictionary.to_pylist()], dtype=np.uint64)[lang_of]
+        lang_of = np.repeat(sums.codes(codes.dictionary.to_pylist())[codes.indices.to_numpy(zero_copy_only=False)], np.diff(lists.offsets.to_numpy()))
+        langs = np.array([lang_hash(x) for x in sums.langs], dtype=np.uint64)[lang_of]
         if k == 1:
             live = (words != 0) & under[phrase_hashes(words, langs, 1)]
         else:
@@ -196,28 +238,12 @@ def one_pass(texts: DataFrame, k: int, support: int, size: int, below: bytes, bu
             hashes = phrase_hashes(words, langs, k)
             live &= own[hashes]
             at = np.flatnonzero(live)
-            yield from counted(words, lang_of, codes.dictionary, hashes[at], at)
+            sums.add(hashes[at], lang_of[at], np.stack([words[at + i] for i in range(k)]), np.ones(len(at), dtype=np.int64))
         if not last:
             both = np.flatnonzero(live[:-1] & live[1:])
             found, times = np.unique(phrase_hashes(words, langs, k + 1)[both] & np.uint64(size - 1), return_counts=True)
             counts[found] = np.minimum(counts[found] + times, support)
 
-    def counted(words: np.ndarray, lang_of: np.ndarray, langs: pa.Array, hashes: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(hashes, kind="stable")
-        at, hashes = at[order], hashes[order]
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = hashes[1:] != hashes[:-1]
-        for i in range(k):
-            new[1:] |= words[at[1:] + i] != words[at[:-1] + i]
-        new[1:] |= lang_of[at[1:]] != lang_of[at[:-1]]
-        first = np.flatnonzero(new)
-        times = np.diff(np.append(first, len(at)))
-        where = at[first]
-        for i in range(0, len(where), 100_000):
-            x = where[i : i + 100_000]
-            own = [langs.take(pa.array(lang_of[x])), *[pa.array(words[x + j].view(np.int64)) for j in range(k)], pa.array(times[i : i + 100_000])]
-            yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.binary())], schema=schema)
-
     return texts.mapInArrow(scan, f"lang string, {', '.join(f'{x} long' for x in names)}, n long, block int, counts binary")
 
 
@@ -333,7 +359,8 @@ def op12_phrase_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP12_SQL = r"""
 with pieces as (
     select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) as piece
+-
+]')) as piece
     from documents
 ),
 rows as (select lang, regexp_extract_all(piece, '[^ 	]+') as w from pieces),
