@@ -3,9 +3,10 @@
 A text is split before single spaces between two words, where no token of either vocabulary can cross: the byte-level
 splitting pattern never goes from a word on into white space, and no piece of the other vocabulary holds the character
 before the space followed by a space (this is read off the vocabulary, and characters for which it is not so do not end a
-segment). So a text's tokens are those of its segments in order. Each chunk of documents lists its distinct segments; over
-all chunks every distinct segment is tokenised and aligned once; alignments are joined back to the chunks, whose documents
-are composed of them. Counts of linked id pairs by documents are sums over chunks.
+segment). So a text's tokens are those of its segments in order. Each chunk of documents lists its distinct segments; all
+lists are dealt by segment, so that every distinct one is tokenised once, and the tokens go back to the chunks that list it,
+packed by chunk. There all segments are aligned at once and documents composed of them. Counts of linked id pairs by
+documents are sums over chunks.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +29,9 @@ from pyspark.sql import functions as F
 from turnlake.llm.shared import small_batches, staged, unstaged
 
 #: Characters of a chunk's texts, and its documents, after which another begins; a longer text is a chunk of its own.
-CHUNK_CHARS, CHUNK_DOCS = 4 << 20, 4_000
-#: Segments that a task aligns at once.
-SEGMENTS = 5_000
+CHUNK_CHARS, CHUNK_DOCS = 8 << 20, 8_000
+#: Segments that a task tokenises at once, and those whose tokens it holds before it hands them on.
+SEGMENTS, HELD = 5_000, 500_000
 SPACE = "▁"
 #: What follows an id in a list of groups.
 SEPARATORS = ",|;"
@@ -68,12 +70,12 @@ class Pair:
         """The segments of a text; a space stands before each, the first included."""
         return [text] if self.whole else self.border.split(text)
 
-    def codes(self, segments: list[str]) -> Iterator[bytes | None]:
-        """Each segment's tokens with its space: the number of A's as 32 bits, then the ids of A and of B; null where a side does not spell it."""
+    def codes(self, segments: list[str]) -> Iterator[bytes]:
+        """Each segment's tokens with its space: the number of A's as 32 bits, then the ids of A and of B; no token where a side does not spell it."""
         for segment, a, b in zip(segments, self.a.encode_batch_fast([" " + x for x in segments], add_special_tokens=False), self.b.encode(segments, num_threads=1), strict=True):
             ids, own = a.ids, (" " + segment).encode()
             fits = b"".join([self.a_bytes[i] for i in ids]) == own == b"".join([self.b_bytes[i] for i in b])
-            yield np.uint32(len(ids)).tobytes() + np.array(ids + b, dtype=self.kind).tobytes() if fits else None
+            yield np.uint32(len(ids)).tobytes() + np.array(ids + b, dtype=self.kind).tobytes() if fits else bytes(4)
 
 
 @lru_cache(maxsize=1)
@@ -99,7 +101,7 @@ def chunks(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str
         ids, lengths, order, numbers, chars = [], [], [], {}, 0
 
         def chunk() -> pa.RecordBatch:
-            row = {"chunk": base + n, "ids": ids, "lengths": lengths, "order": np.concatenate(order).tobytes() if order else b"", "segments": list(numbers)}
+            row = {"chunk": base + n, "ids": ids, "lengths": lengths, "order": squeezed(np.concatenate(order)), "segments": list(numbers)}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
@@ -118,18 +120,72 @@ def chunks(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(split, "chunk long, ids array<long>, lengths array<int>, order binary, segments array<string>")
 
 
-def segment_codes(segments: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """segments (segment), distinct, with their tokens by both (segment, code), as in Pair.codes."""
-    schema = pa.schema([("segment", pa.string()), ("code", pa.binary())])
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers as bytes, all lowest bytes first, compressed: most numbers are small."""
+    width = numbers.dtype.itemsize
+    return bytes([width]) + zstandard.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, width).T).tobytes(), 3)
+
+
+def unsqueezed(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+PACKED = "of long, places binary, sizes binary, codes binary"
+
+
+def packed_codes(listed: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """Tokens of the segments that chunks list (of, place, segment), packed: rows (of, places, sizes, codes), several for each chunk.
+
+    Rows are dealt by segment and sorted, so each distinct segment is tokenised once. A chunk lists it once, so a segment
+    has at most as many rows as there are chunks.
+    """
+    schema = pa.schema([("of", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pair(a_path, b_path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SEGMENTS):
-                part = batch.column(0).slice(at, SEGMENTS)
-                yield pa.RecordBatch.from_arrays([part, pa.array(own.codes(part.to_pylist()), pa.binary())], schema=schema)
+        own, last, code = pair(a_path, b_path), None, b""
+        of, places, held, codes, n = [], [], [], [], 0
+
+        def flush() -> None:
+            nonlocal last, code
+            segments = pa.chunked_array(held).to_pylist()
+            fresh = [x for x, before in zip(segments, [last, *segments], strict=False) if x != before]
+            made = own.codes(fresh)
+            for x in segments:
+                if x != last:
+                    last, code = x, next(made)
+                codes.append(code)
+            held.clear()
+
+        def packs() -> Iterator[pa.RecordBatch]:
+            chunk, place = np.concatenate(of), np.concatenate(places).astype("<i4")
+            order = np.argsort(chunk, kind="stable")
+            cuts = [0, *(np.flatnonzero(np.diff(chunk[order])) + 1).tolist(), len(order)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                some = [codes[x] for x in order[i:j].tolist()]
+                sizes = np.array([len(x) for x in some], dtype="<i4")
+                row = [[int(chunk[order[i]])], [squeezed(place[order[i:j]])], [squeezed(sizes)], [zstandard.compress(b"".join(some), 3)]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
-    return segments.select("segment").mapInArrow(encode, "segment string, code binary")
+        for batch in batches:
+            if batch.num_rows:
+                of.append(batch.column(0).to_numpy())
+                places.append(batch.column(1).to_numpy())
+                held.append(batch.column(2))
+                n += batch.num_rows
+                if sum(len(x) for x in held) >= SEGMENTS:
+                    flush()
+                if n >= HELD:
+                    if held:
+                        flush()
+                    yield from packs()
+                    of, places, codes, n = [], [], [], 0
+        if n:
+            if held:
+                flush()
+            yield from packs()
+
+    return listed.select("of", "place", "segment").repartition("segment").sortWithinPartitions("segment").mapInArrow(encode, PACKED)
 
 
 FULL = "chunk long, ids array<long>, lengths array<int>, order binary, n_a binary, n_b binary, a binary, b binary"
@@ -137,19 +193,23 @@ PAIRS = "chunk long, pair long, docs long"
 DOCS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def filled(row: pd.DataFrame, joined: pd.DataFrame, kind: str) -> pd.DataFrame:
+def filled(row: pd.DataFrame, packs: pd.DataFrame, kind: str) -> pd.DataFrame:
     """A chunk's row with the tokens of its segments, in the order of its list; a segment that does not fit has none."""
-    codes = [b""] * len(joined)
-    for place, code in zip(joined["place"].tolist(), joined["code"].tolist(), strict=True):
-        codes[place] = code or b"\0\0\0\0"
+    codes = [b""] * sum(len(unsqueezed(x, "<i4")) for x in packs["places"])
+    for places, sizes, data in zip(packs["places"], packs["sizes"], packs["codes"], strict=True):
+        whole, end = zstandard.decompress(data), 0
+        for place, size in zip(unsqueezed(places, "<i4").tolist(), unsqueezed(sizes, "<i4").tolist(), strict=True):
+            codes[place] = whole[end : end + size]
+            end += size
     width = np.dtype(kind).itemsize
     n_a = [int.from_bytes(x[:4], "little") for x in codes]
     middle = [4 + n * width for n in n_a]
+    packed = lambda x, of=kind: squeezed(np.frombuffer(x, of) if isinstance(x, bytes) else np.array(x, dtype=of))
     return row[["chunk", "ids", "lengths", "order"]].assign(
-        n_a=np.array(n_a, dtype="<i4").tobytes(),
-        n_b=np.array([(len(x) - m) // width for x, m in zip(codes, middle, strict=True)], dtype="<i4").tobytes(),
-        a=b"".join([x[4:m] for x, m in zip(codes, middle, strict=True)]),
-        b=b"".join([x[m:] for x, m in zip(codes, middle, strict=True)]),
+        n_a=packed(n_a, "<i4"),
+        n_b=packed([(len(x) - m) // width for x, m in zip(codes, middle, strict=True)], "<i4"),
+        a=packed(b"".join([x[4:m] for x, m in zip(codes, middle, strict=True)])),
+        b=packed(b"".join([x[m:] for x, m in zip(codes, middle, strict=True)])),
     )
 
 
@@ -162,9 +222,9 @@ class Chunk:
 
     def __init__(self, row: dict, own: Pair):
         self.own, self.ids, self.lengths = own, row["ids"], np.asarray(row["lengths"], dtype=np.int64)
-        self.order = np.frombuffer(row["order"], "<i4")
-        self.a, self.b = (np.frombuffer(row[x], own.kind).astype(np.int64) for x in ("a", "b"))
-        self.n_a, self.n_b = (np.frombuffer(row[x], "<i4").astype(np.int64) for x in ("n_a", "n_b"))
+        self.order = unsqueezed(row["order"], "<i4")
+        self.a, self.b = (unsqueezed(row[x], own.kind).astype(np.int64) for x in ("a", "b"))
+        self.n_a, self.n_b = (unsqueezed(row[x], "<i4").astype(np.int64) for x in ("n_a", "n_b"))
         self.ends_a, self.ends_b = np.cumsum(own.a_length[self.a]), np.cumsum(own.b_length[self.b])
         cuts = np.union1d(self.ends_a, self.ends_b)
         of_a, of_b = np.searchsorted(self.ends_a, cuts), np.searchsorted(self.ends_b, cuts)
@@ -250,12 +310,10 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     small_batches(docs.sparkSession)
     split = staged(chunks(docs, a_path, b_path, id_col, text_col))
     own = split.select(F.col("chunk").alias("of"), F.posexplode("segments").alias("place", "segment"))
-    codes = staged(segment_codes(own.select("segment").distinct(), a_path, b_path))
-    joined = own.join(codes, "segment").select("of", "place", "code")
     kind = pair(a_path, b_path).kind
     heads = split.select("chunk", "ids", "lengths", "order")
-    full = staged(heads.groupBy("chunk").cogroup(joined.groupBy("of")).applyInPandas(lambda row, segments: filled(row, segments, kind), FULL))
-    unstaged(split, codes)
+    full = staged(heads.groupBy("chunk").cogroup(packed_codes(own, a_path, b_path).groupBy("of")).applyInPandas(lambda row, packs: filled(row, packs, kind), FULL))
+    unstaged(split)
     held = staged(chunk_pairs(full, a_path, b_path))
     counts = staged(held.groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a", F.shiftright("pair", 32)))
     judged = counts.join(counts.groupBy("a").agg(F.max("docs").alias("most")), "a").select("pair", "docs", (F.col("docs") == F.col("most")).cast("long").alias("best"))
