@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions.text import nfc
+from turnlake.operators import scans
 
 
 def review_faults(cases: DataFrame, ledger: DataFrame, key: str, digest: str, status: str = "status", done: str = "adjudicated") -> DataFrame:
@@ -35,13 +36,18 @@ def lineage_faults(records: DataFrame, line: str, revision: str, digest: str, pr
     return marked.select(line, revision, fault.alias("fault")).where("fault is not null")
 
 
-def restart_faults(boundaries: DataFrame, run: str, order: list[str], identity: str, started: str, is_restart: Column) -> DataFrame:
-    """(run, order, fault) of a run's boundaries: the identity never changes, and the start changes exactly at a restart."""
-    over = Window.partitionBy(run).orderBy(*order)
-    first, before = F.first(identity).over(over), F.lag(started).over(over)
-    moved = before.isNotNull() & ~before.eqNullSafe(F.col(started))
-    fault = F.when(~F.col(identity).eqNullSafe(first), "identity_changed").when(before.isNotNull() & is_restart & ~moved, "restart_without_new_start").when(moved & ~is_restart, "start_changed")
-    return boundaries.select(run, *order, fault.alias("fault")).where("fault is not null")
+def restart_faults(boundaries: DataFrame, run: str, order: list[str], identity: str, started: str, is_restart: Column, by: Column | None = None) -> DataFrame:
+    """(run, order, fault) of a run's boundaries: the identity never changes, and the start changes exactly at a restart.
+
+    by: a number that rises with order (default: the first order column); a run with most of the rows is looked at in
+    blocks of it.
+    """
+    marked = boundaries.select(run, *order, F.col(identity).alias("_identity"), F.col(started).alias("_started"), is_restart.alias("_restart"), (F.col(order[0]) if by is None else by).alias("_by"))
+    placed = scans.with_first(scans.in_blocks(marked, run, F.col("_by")), run, order, "_first", F.col("_identity"))
+    placed = scans.with_previous(placed, run, order, "_before", F.col("_started"))
+    moved = F.col("_before").isNotNull() & ~F.col("_before").eqNullSafe(F.col("_started"))
+    fault = F.when(~F.col("_identity").eqNullSafe(F.col("_first")), "identity_changed").when(F.col("_before").isNotNull() & F.col("_restart") & ~moved, "restart_without_new_start").when(moved & ~F.col("_restart"), "start_changed")
+    return placed.select(run, *order, fault.alias("fault")).where("fault is not null")
 
 
 def multiset_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

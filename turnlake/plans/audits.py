@@ -354,7 +354,7 @@ def restart_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(
         "user_id", "ts", "event_id", F.when(e % 500 == 3, "c9").otherwise(F.concat(F.lit("c"), F.col("user_id"))).alias("ident"), (F.col("user_id") * 100 + F.sum((signup | (e % 97 == 0)).cast("int")).over(over)).alias("started"), (signup | (e % 89 == 0)).alias("restart")
     )
-    return counted(ledgers.restart_faults(rows, "user_id", ["ts", "event_id"], "ident", "started", F.col("restart")), "fault")
+    return counted(ledgers.restart_faults(rows, "user_id", ["ts", "event_id"], "ident", "started", F.col("restart"), F.unix_micros(F.col("ts").cast("timestamp"))), "fault")
 
 
 @query(

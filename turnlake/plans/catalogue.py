@@ -400,7 +400,7 @@ r AS (SELECT *, sum((i AND NOT coalesce(p, false))::INT) OVER (PARTITION BY user
 SELECT user_id, run::BIGINT AS run, count(*) AS n FROM r WHERE i GROUP BY ALL HAVING count(*) >= 3"""
 )
 def gaps_islands_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return journals.runs(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("value") < 40, 3)
+    return journals.runs(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("value") < 40, 3, F.unix_micros(F.col("ts").cast("timestamp")))
 
 
 @query(
@@ -410,7 +410,7 @@ lag((l_quantity + 5)::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumbe
 def span_order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.col("l_quantity").cast("long")
     spans = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("ord"), start.alias("s"), (start + 5).alias("e"))
-    return journals.order_violations(spans, "l_orderkey", "ord", "s", "e").select("l_orderkey", "l_linenumber", "previous_end")
+    return journals.order_violations(spans, "l_orderkey", "ord", "s", "e", F.col("l_linenumber")).select("l_orderkey", "l_linenumber", "previous_end")
 
 
 @query(

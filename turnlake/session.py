@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -23,3 +25,17 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     spark = builder.config("spark.sql.shuffle.partitions", str(partitions)).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """rows written to the shared folder of spark.checkpoint.dir and read from there: cuts lineage and outlives executors.
+
+    A session on this machine that names none, as in tests, gets a temporary folder; a cluster must name one.
+    """
+    context = rows.sparkSession.sparkContext
+    folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if folder is None and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="turnlake-checkpoint-"))
+    return rows.checkpoint()
