@@ -6,11 +6,12 @@ import hashlib
 import json
 import struct
 import wave
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from turnlake.functions import documents, text
-from turnlake.operators import baselines, contracts, dialogues, evidence, groups, journals, validation, wordfreq
+from turnlake.operators import baselines, contracts, evidence, groups, journals, machines, validation, wordfreq
 from turnlake.sources import files
 from turnlake.streaming import baselines as streams
 
@@ -100,13 +101,15 @@ def test_hazards_of_the_fixed_patterns(spark):
 
 
 def test_token_windows(spark):
-    lists = spark.createDataFrame([(["I saw the dog.", "the end"],)], "c array<string>")
-    found = lists.select(F.explode(evidence.token_windows(2, ".", ("og",), 1)("c")).alias("x")).select("x.*")
+    lists = spark.createDataFrame([(1, ["I saw the dog.", "the end"]), (2, None), (3, [])], "d int, c array<string>")
+    found = evidence.token_windows(lists, ["d"], "c", 2, ".", ("og",), 1).orderBy("rank").drop("d", "rank")
     got = [tuple(r) for r in found.collect()]
     assert got[:5] == [(1, 0, 1, "I"), (1, 2, 5, "saw"), (1, 6, 9, "the"), (1, 10, 13, "dog"), (1, 10, 11, "d")]
     assert got[5:] == [(2, 0, 3, "the"), (2, 4, 7, "end"), (1, 0, 5, "I saw"), (1, 2, 9, "saw the"), (1, 6, 13, "the dog"), (1, 6, 11, "the d"), (2, 0, 7, "the end")]
-    repeated = spark.createDataFrame([(["a b a"],)], "c array<string>")
-    assert [r.x.quote for r in repeated.select(F.explode(evidence.token_windows(1)("c")).alias("x")).collect()] == ["b"]
+    repeated = spark.createDataFrame([(1, ["a b a"])], "d int, c array<string>")
+    assert [r.quote for r in evidence.token_windows(repeated, ["d"], "c", 1).collect()] == ["b"]
+    marks = spark.createDataFrame([(1, ["“dog” … !!"])], "d int, c array<string>")
+    assert [(r.start, r.end, r.quote) for r in evidence.token_windows(marks, ["d"], "c", 3, "“”!…").collect()] == [(1, 4, "dog")]
 
 
 def test_anchors_elsewhere(spark):
@@ -122,8 +125,17 @@ def test_two_clusters(spark):
 
 def test_dialogue_states(spark):
     turns = [(1, 0, "tell", "size", None), (1, 1, "tell", "color", None), (1, 2, "confirm", None, None), (1, 3, "confirm", None, None), (1, 4, "tell", "size", None), (2, 0, "tell", "size", "danger"), (2, 1, "change", "size", None), (2, 2, "cancel", None, None), (2, 3, "end", None, None)]
-    found = dialogues.folded_turns(spark.createDataFrame(turns, "d long, n long, action string, field string, guard string"), "d", "n", 2)
-    states = [(d, n, f, s) for d, n, f, s in values(found, "d", "n", "filled", "state")]
+    machine = replace(machines.DIALOGUE, fields=("size", "color"), maps={})
+    given = F.array_compact(F.array("field"))
+    rows = spark.createDataFrame(turns, "d long, n long, action string, field string, guard string")
+    rows = rows.select("d", "n", *machines.symbol(F.col("action"), F.when(F.col("action") != "change", given), F.when(F.col("action") == "change", given), F.col("guard")))
+    for hot in ((), (1, 3)):
+        found = machines.folded(rows, machine, "d", "n", *hot).withColumn("filled", F.size("filled"))
+        states = [(d, n, f, s) for d, n, f, s in values(found, "d", "n", "filled", "state")]
+        assert_dialogue_states(states)
+
+
+def assert_dialogue_states(states):
     assert states == [(1, 0, 1, "collecting"), (1, 1, 2, "confirming"), (1, 2, 2, "ready"), (1, 3, 2, "completed"), (1, 4, 2, "completed"), (2, 0, 1, "danger"), (2, 1, 0, "collecting"), (2, 2, 0, "cancelled"), (2, 3, 0, "ended")]
 
 

@@ -11,20 +11,25 @@ from pyspark.sql import functions as F
 
 from turnlake.functions.documents import present_keys
 
+#: Rows from which a contract is joined by shuffle and not sent to every task.
+MOST_RULES = 100_000
+
 
 def violations(outputs: DataFrame, fields: DataFrame, actions: DataFrame, rules: DataFrame) -> DataFrame:
     """(case_id, rule, detail) for each rule that an output breaks.
 
     outputs: case_id, scenario, state, action, fields map<string, string>. Rules: unknown_scenario, field_set (keys that are
     missing or not in the contract), option (a value outside its field's options), action (not allowed in the state),
-    not_allowed, required and require_any (fields that the action may or must set).
+    not_allowed, required and require_any (fields that the action may or must set). A contract of fewer than MOST_RULES rows
+    goes to the outputs, which are not shuffled.
     """
     # distinct first: declared twice is declared once
     listed = fields.groupBy("scenario", "field").agg(F.collect_set("option").alias("options"))
     of_fields = listed.groupBy("scenario").agg(F.map_from_entries(F.collect_list(F.struct("field", "options"))).alias("options"))
     of_actions = actions.groupBy("scenario", "state").agg(F.collect_set("action").alias("actions"))
     of_rules = rules.select("scenario", "action", "allowed", "required", "require_any")
-    joined = outputs.join(of_fields, "scenario", "left").join(of_actions, ["scenario", "state"], "left").join(of_rules, ["scenario", "action"], "left")
+    small = F.broadcast if sum(x.limit(MOST_RULES).count() for x in (fields, actions, rules)) < MOST_RULES else lambda x: x
+    joined = outputs.join(small(of_fields), "scenario", "left").join(small(of_actions), ["scenario", "state"], "left").join(small(of_rules), ["scenario", "action"], "left")
     names, keys, present = F.map_keys("options"), F.map_keys("fields"), present_keys(F.col("fields"))
     bad_option = F.filter(
         present, lambda k: (F.size(F.try_element_at(F.col("options"), k)) > 0) & ~F.array_contains(F.try_element_at(F.col("options"), k), F.try_element_at(F.col("fields"), k))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,34 +28,6 @@ def next_state(state: str, action: str, filled: int, wanted: int, guard: str | N
     return "confirming" if filled >= wanted else "collecting"
 
 
-def folded_turns(turns: DataFrame, key: str, order: str, wanted: int) -> DataFrame:
-    """(key, order, filled, state) after each turn of each dialogue.
-
-    turns: key (long), order, action, field (the one that the turn sets, or null), guard (a state that the turn demands, or
-    null). Fields stay set; a change of a field without a new one takes it back. Rows are dealt by key and sorted, and one
-    pass carries the state of the dialogue at hand only, so dialogues of any length are folded.
-    """
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state, fields = None, "greeting", set()
-        for frame in frames:
-            filled, states = [], []
-            for k, action, field, guard in zip(frame[key], frame["action"], frame["field"], frame["guard"], strict=True):
-                if k != now:
-                    now, state, fields = k, "greeting", set()
-                if field is not None and action != "change":
-                    fields.add(field)
-                elif field is not None:
-                    fields.discard(field)
-                state = next_state(state, action, len(fields), wanted, guard)
-                filled.append(len(fields))
-                states.append(state)
-            yield pd.DataFrame({key: frame[key], order: frame[order], "filled": filled, "state": states})
-
-    slim = turns.select(F.col(key).cast("long").alias(key), F.col(order).cast("long").alias(order), "action", "field", "guard")
-    return slim.repartition(key).sortWithinPartitions(key, order).mapInPandas(fold, f"{key} long, {order} long, filled int, state string")
-
-
 def fields_after(turns: DataFrame, key: str, order: str, fields: str) -> DataFrame:
     """(key, order, collected): the map of fields collected up to each turn; of each field the last value that is not null."""
     names = turns.select(key, order, F.explode(fields).alias("name", "value")).where("value is not null")

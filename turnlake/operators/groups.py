@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions.numbers import ratio
+from turnlake.session import checkpointed
 
 
 def balance_faults(cases: DataFrame, scenario: str, in_scope: Column, later: Column, least: int) -> DataFrame:
@@ -88,38 +86,35 @@ def gate(summary: DataFrame, tests: dict[str, Column]) -> DataFrame:
     return summary.withColumns(sure).withColumn("passes", whole)
 
 
-def two_clusters(rows: DataFrame, key: str, value: str, most: int = 100) -> DataFrame:
+def two_clusters(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, low, high, threshold): two means of a key's values, begun at the least and the greatest and moved until they stay; the threshold lies between.
 
-    A key's values are first counted, so what one task holds of a key is its distinct values: rounded measures such as
-    intensities have few. A key with one distinct value has low and high equal.
+    Each distinct value is a possible cut: running sums give the means on both sides of it, and these the next cut, which
+    is one lookup. So the steps are a chain from cut to cut, whose end is found by following it one, two, four, ... steps
+    at a time. Nothing is gathered; null values do not count, and a key with one distinct value has low and high equal.
     """
-
-    def moved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The means of each key by its (value, n) lists."""
-        import numpy as np
-
-        for frame in frames:
-            out = []
-            for k, pairs in zip(frame[key], frame["pairs"], strict=True):
-                v, n = np.array([x["v"] for x in pairs], float), np.array([x["n"] for x in pairs], float)
-                low, high = float(v.min()), float(v.max())
-                for _ in range(most):
-                    upper = np.abs(v - high) < np.abs(v - low)
-                    new = ((v * n)[~upper].sum() / n[~upper].sum(), (v * n)[upper].sum() / n[upper].sum() if upper.any() else high)
-                    if np.allclose(new, (low, high)):
-                        break
-                    low, high = new
-                out.append((k, low, high, (low + high) / 2))
-            yield pd.DataFrame(out, columns=[key, "low", "high", "threshold"])
-
-    counted = rows.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    lists = counted.groupBy(key).agg(F.collect_list(F.struct("v", "n")).alias("pairs"))
-    kind = rows.select(key).schema[0].dataType.simpleString()
-    return lists.mapInPandas(moved, f"{key} {kind}, low double, high double, threshold double")
-
-
-# Two models on the same cases
+    v = F.col(value).cast("double")
+    counted = rows.where(v.isNotNull() & ~F.isnan(v)).groupBy(key, v.alias("v")).agg(F.count("*").alias("n"))
+    up, whole = Window.partitionBy(key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(key)
+    sums = counted.withColumns({"s": F.sum(F.col("v") * F.col("n")).over(up), "c": F.sum("n").over(up), "s_all": F.sum(F.col("v") * F.col("n")).over(whole), "c_all": F.sum("n").over(whole), "least": F.min("v").over(whole), "most": F.max("v").over(whole)})
+    low, high = F.col("s") / F.col("c"), F.coalesce(F.try_divide(F.col("s_all") - F.col("s"), F.col("c_all") - F.col("c")), F.col("most"))
+    cuts = checkpointed(sums.select(key, "v", low.alias("low"), high.alias("high"), "least", "most"))
+    # what lies no farther from low than from high: the greatest value up to their middle
+    marks = cuts.select(key, F.col("v").alias("at"), F.col("v").alias("cut"), F.lit(None).cast("double").alias("of"))
+    asks = cuts.select(key, ((F.col("low") + F.col("high")) / 2).alias("at"), F.lit(None).cast("double").alias("cut"), F.col("v").alias("of"))
+    begins = cuts.select(key, ((F.col("least") + F.col("most")) / 2).alias("at"), F.lit(None).cast("double").alias("cut"), F.lit(float("nan")).alias("of")).distinct()
+    upto = Window.partitionBy(key).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    chain = marks.unionByName(asks).unionByName(begins).withColumn("next", F.max("cut").over(upto)).where("of is not null")
+    begun = checkpointed(chain.where(F.isnan("of")).select(key, F.col("next").alias("cut")))
+    steps = checkpointed(chain.where(~F.isnan("of")).select(key, F.col("of").alias("cut"), "next"))
+    while True:
+        over = steps.select(F.col(key), F.col("cut").alias("next"), F.col("next").alias("after"))
+        begun = checkpointed(begun.join(steps, [key, "cut"]).select(key, F.col("next").alias("cut")))
+        if not begun.join(steps, [key, "cut"]).where("cut <> next").limit(1).count():
+            break
+        steps = checkpointed(steps.join(over, [key, "next"]).select(key, "cut", F.col("after").alias("next")))
+    ends = begun.join(cuts.select(key, F.col("v").alias("cut"), "low", "high"), [key, "cut"])
+    return ends.select(key, "low", "high", ((F.col("low") + F.col("high")) / 2).alias("threshold"))
 
 
 def paired_sets(pairs: DataFrame, keys: list[str], case: str, before: str, after: str) -> DataFrame:

@@ -20,12 +20,15 @@ def in_blocks(rows: DataFrame, key: str, by: Column, hot_rows: int = HOT_ROWS, b
     """rows with the number of their block, from 0: rows of one key lie in blocks in the order of by, equal ones in the same.
 
     by is a number that never falls where the order of the rows rises. Rows with a null key are one block, as is a null by.
+    The result has the attribute in_one_block where no key is cut.
     """
     counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
     total = rows.count()
     hot = [x[0] for x in counts.where((F.col("_n") > max(hot_rows, HOT_SHARE * total)) & F.col(key).isNotNull()).select(key).limit(int(1 / HOT_SHARE)).collect()]
     if not hot:
-        return rows.withColumn(BLOCK, F.lit(0))
+        whole = rows.withColumn(BLOCK, F.lit(0))
+        whole.in_one_block = True
+        return whole
     shares = [i / blocks for i in range(1, blocks)]
     cuts = rows.where(F.col(key).isin(hot)).groupBy(key).agg(F.percentile_approx(by.cast("double"), shares, 10_000).alias("_cuts"))
     block = F.size(F.filter(F.coalesce("_cuts", F.expr("cast(array() as array<double>)")), lambda x: x < by.cast("double")))

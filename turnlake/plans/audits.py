@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from turnlake.functions import documents
 from turnlake.functions.numbers import epoch_seconds, years_between
 from turnlake.functions.text import clauses, first_given, labelled, options_text, overlaps, rendered, scenario_key
-from turnlake.operators import baselines, contracts, coverage, dialogues, drafts, evidence, groups, integrity, ledgers, scoring, validation
+from turnlake.operators import baselines, contracts, coverage, dialogues, drafts, evidence, groups, integrity, ledgers, machines, scoring, validation
 from turnlake.plans.catalogue import BASELINE, CANDIDATE, _cases, _flags_sql, _pairs, _predictions, table
 from turnlake.sources import files
 
@@ -251,17 +251,28 @@ def evidence_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(rows.select(evidence.evidence_fault(text, fields, spans).alias("fault")), "fault")
 
 
-_WINDOWS_SQL = r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[^\s\p{Z}]+') AS w FROM conversations WHERE role = 'system'),
-g AS (SELECT conv_id, turn, unnest(list_concat(w, list_transform(range(1, len(w)::BIGINT), lambda i: w[i] || ' ' || w[i + 1]))) AS quote FROM t)
-SELECT conv_id, turn, count(DISTINCT quote) AS quotes FROM g GROUP BY ALL"""
+_CLAUSES_SQL = r"""SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(text, '([.!?。])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '') AS c FROM conversations"""
+_ENDINGS = ("ing", "en", "s", "e")
 
 
-@query(_WINDOWS_SQL)
+@query(
+    rf"""WITH c AS (SELECT conv_id, turn, unnest(c) AS text, generate_subscripts(c, 1) AS clause FROM ({_CLAUSES_SQL})),
+w AS (SELECT *, unnest(regexp_extract_all(text, '[^\s\p{{Z}}]+')) AS tok, unnest(regexp_split_to_array(text, '[^\s\p{{Z}}]+')[1 : len(regexp_extract_all(text, '[^\s\p{{Z}}]+'))]) AS gap, unnest(range(1, len(regexp_extract_all(text, '[^\s\p{{Z}}]+')) + 1)) AS pos FROM c),
+p AS (SELECT *, sum(length(gap) + length(tok)) OVER (PARTITION BY conv_id, turn, clause ORDER BY pos) - length(tok) AS b FROM w),
+e AS (SELECT *, b + length(tok) - length(ltrim(tok, '.,!?')) AS s, b + length(rtrim(tok, '.,!?')) AS t, trim(tok, '.,!?') <> '' AS ok FROM p),
+x AS (SELECT a.conv_id, a.turn, a.clause, a.text, z.pos - a.pos + 1 AS width, a.s, z.t, substring(a.text, z.b::INT + 1, (z.t - z.b)::INT) AS tail FROM e a JOIN e z ON a.conv_id = z.conv_id AND a.turn = z.turn AND a.clause = z.clause AND z.pos BETWEEN a.pos AND a.pos + 2 WHERE a.ok AND z.ok),
+n AS (SELECT *, CASE WHEN ends_with(tail, 'ing') AND length(tail) >= 5 THEN 3 WHEN ends_with(tail, 'en') AND length(tail) >= 4 THEN 2 WHEN ends_with(tail, 's') AND length(tail) >= 3 THEN 1 WHEN ends_with(tail, 'e') AND length(tail) >= 3 THEN 1 ELSE 0 END AS k FROM x),
+v AS (SELECT *, unnest(CASE WHEN k > 0 THEN [0, k] ELSE [0] END) AS cut FROM n),
+q AS (SELECT *, substring(text, s::INT + 1, (t - cut - s)::INT) AS quote FROM v WHERE s < t - cut),
+u AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY width, clause, s, cut) AS rank FROM q WHERE instr(substring(text, instr(text, quote) + 1), quote) = 0)
+SELECT conv_id, turn, count(*) AS candidates, count(DISTINCT quote) AS quotes, sum(rank * (s + 1))::BIGINT AS places, max(CASE WHEN rank = 7 THEN quote END) AS seventh FROM u GROUP BY ALL"""
+)
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = table(spark, sf_dir, "conversations").where("role = 'system'")
-    plain = F.array(F.concat_ws(" ", F.regexp_extract_all("text", F.lit(r"[^\s\p{Z}]+"), F.lit(0))))
-    found = said.select("conv_id", "turn", F.explode(evidence.token_windows(2, unique=False)(plain)).alias("x"))
-    return found.groupBy("conv_id", "turn").agg(F.count_distinct("x.quote").alias("quotes"))
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", clauses(F.col("text")).alias("c"))
+    found = evidence.token_windows(said, ["conv_id", "turn"], "c", 3, ".,!?", _ENDINGS)
+    return found.groupBy("conv_id", "turn").agg(
+        F.count("*").alias("candidates"), F.count_distinct("quote").alias("quotes"), F.sum(F.col("rank") * (F.col("start") + 1)).alias("places"), F.max(F.when(F.col("rank") == 7, F.col("quote"))).alias("seventh")
+    )
 
 
 @query(
@@ -491,9 +502,16 @@ def medians_of_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("decade", "speakers", *[F.round(x, 4).alias(x) for x in ("p25", "p50", "p75")])
 
 
-@query()
+@query(
+    """WITH RECURSIVE d AS (SELECT event_type, value AS v, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL),
+c AS (SELECT event_type, v, sum(v * n) OVER w AS s, sum(n) OVER w AS c, sum(v * n) OVER a AS s_all, sum(n) OVER a AS c_all, min(v) OVER a AS least, max(v) OVER a AS most FROM d WINDOW w AS (PARTITION BY event_type ORDER BY v), a AS (PARTITION BY event_type)),
+m AS (SELECT event_type, v, s / c AS low, CASE WHEN c_all > c THEN (s_all - s) / (c_all - c) ELSE most END AS high, least, most FROM c),
+n AS (SELECT a.event_type, a.v, b.v AS next FROM m a ASOF JOIN m b ON a.event_type = b.event_type AND (a.low + a.high) / 2 >= b.v),
+f AS (SELECT event_type, max(v) AS v FROM m WHERE v <= (least + most) / 2 GROUP BY 1 UNION SELECT f.event_type, n.next FROM f JOIN n USING (event_type, v))
+SELECT event_type, round(low, 9) AS low, round(high, 9) AS high, round((low + high) / 2, 9) AS threshold FROM f JOIN n USING (event_type, v) JOIN m USING (event_type, v) WHERE n.next = v"""
+)
 def two_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.two_clusters(table(spark, sf_dir, "events"), "event_type", "value")
+    return groups.two_clusters(table(spark, sf_dir, "events"), "event_type", "value").select("event_type", *[F.round(x, 9).alias(x) for x in ("low", "high", "threshold")])
 
 
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (value BETWEEN 5 AND 20) AS inside FROM events GROUP BY 1")
@@ -673,12 +691,58 @@ def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Dialogues and baselines
 
 
-@query()
+def _folded_sql(machine: machines.Machine, turns: str) -> str:
+    """turns (user_id, event_id, action, gives, takes, outcome; gives and takes as bits) one after the other through the machine's rules, which are written out as rows."""
+    text = lambda x: "NULL" if x is None else f"'{x}'"
+    rules = [f"({i}, {text(s)}, {text(a)}, {'NULL' if r.full is None else str(r.full).upper()}, {text(r.outcome)}, {text(r.then)}, {machine.mask(r.clears)})" for i, r in enumerate(machine.rules) for s in r.states or (None,) for a in r.actions or (None,)]
+    states, all_of = ", ".join(f"('{x}')" for x in machine.states), (1 << len(machine.fields)) - 1
+    named = ", ".join(f"CASE WHEN filled & {1 << i} > 0 THEN '{x}' END" for i, x in enumerate(machine.fields))
+    return f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM ({turns})),
+r AS (SELECT * FROM (VALUES {", ".join(rules)}) AS r(place, of_state, of_action, is_full, of_outcome, then_state, clears)),
+c AS (SELECT s.state, a.action, o.outcome, b.whole FROM (VALUES {states}) AS s(state), (SELECT DISTINCT action FROM t) a, (SELECT DISTINCT outcome FROM t) o, (VALUES (TRUE), (FALSE)) AS b(whole)),
+p AS (SELECT c.*, min(r.place) AS place FROM c LEFT JOIN r ON (of_state IS NULL OR of_state = state) AND (of_action IS NULL OR of_action = action) AND (is_full IS NULL OR is_full = whole) AND (of_outcome IS NULL OR of_outcome = outcome) GROUP BY ALL),
+m AS (SELECT DISTINCT state, action, outcome, whole, coalesce(then_state, state) AS next, coalesce(clears, 0) AS clears FROM p LEFT JOIN r USING (place)),
+f AS (SELECT DISTINCT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS n, '{machine.states[0]}' AS state, 0 AS filled FROM t
+UNION ALL SELECT t.user_id, t.event_id, t.n, m.next, (((f.filled | t.gives) & ({all_of} - t.takes)) & ({all_of} - m.clears))::INT FROM f JOIN t ON t.user_id = f.user_id AND t.n = f.n + 1
+JOIN m ON m.state = f.state AND m.action IS NOT DISTINCT FROM t.action AND m.outcome IS NOT DISTINCT FROM t.outcome AND m.whole = (((f.filled | t.gives) & ({all_of} - t.takes)) = {all_of}))
+SELECT user_id, event_id, state, concat_ws(',', {named}) AS filled FROM f WHERE n > 0"""
+
+
+def _folded(spark: SparkSession, sf_dir: str, machine: machines.Machine, action: Column, gives: Column, takes: Column | None = None, outcome: Column | None = None) -> DataFrame:
+    none = F.lit(None).cast("string")
+    one = lambda x: F.array_compact(F.array(none if x is None else x))
+    turns = table(spark, sf_dir, "events").select("user_id", "event_id", *machines.symbol(action, one(gives), one(takes), outcome))
+    return machines.folded(turns, machine, "user_id", "event_id").withColumn("filled", F.array_join("filled", ","))
+
+
+_PLAIN = "CASE event_type WHEN 'purchase' THEN 'confirm' WHEN 'error' THEN 'cancel' WHEN 'signup' THEN 'change' ELSE 'tell' END"
+
+
+@query(_folded_sql(machines.DIALOGUE, f"SELECT user_id, event_id, {_PLAIN} AS action, CASE WHEN event_type = 'signup' THEN 0 ELSE [1, 2, 4, 0][event_id % 4 + 1] END AS gives, CASE WHEN event_type = 'signup' THEN [1, 2, 4, 0][event_id % 4 + 1] ELSE 0 END AS takes, CASE WHEN event_id % 97 = 0 THEN 'danger' END AS outcome FROM events"))
 def folded_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    action = F.when(kind == "purchase", "confirm").when(kind == "error", "cancel").when(kind == "signup", "change").otherwise("tell")
+    named = pick("event_id", 4, F.lit("size"), F.lit("color"), F.lit("place"))
+    return _folded(spark, sf_dir, machines.DIALOGUE, action, F.when(action != "change", named), F.when(action == "change", named), F.when(F.col("event_id") % 97 == 0, "danger"))
+
+
+_BOOKED = ("confirm", "change_date", "confirm_reservation", "ask_other_time", "select_alternative_time", "change_info", "go_closing", "tell", "tell")
+_MET = ("confirm_info", "change_time", "tell", "go_closing", "tell")
+
+
+@query(_folded_sql(machines.RESTAURANT, f"SELECT user_id, event_id, CASE WHEN event_id % 61 = 0 THEN 'end_call' ELSE {list(_BOOKED)}[event_id % 9 + 1] END AS action, [1, 2, 4, 8, 0][event_id % 5 + 1] AS gives, CASE WHEN event_id % 9 = 1 AND event_id % 2 = 0 THEN 1 ELSE 0 END AS takes, ['available', 'unavailable', 'offered'][event_id % 3 + 1] AS outcome FROM events"))
+def restaurant_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    action = F.when(e % 61 == 0, "end_call").otherwise(pick("event_id", 9, *[F.lit(x) for x in _BOOKED]))
+    gives = pick("event_id", 5, *[F.lit(x) for x in machines.RESTAURANT.fields])
+    return _folded(spark, sf_dir, machines.RESTAURANT, action, gives, F.when((e % 9 == 1) & (e % 2 == 0), "date"), pick("event_id", 3, F.lit("available"), F.lit("unavailable"), F.lit("offered")))
+
+
+@query(_folded_sql(machines.APPOINTMENT, f"SELECT user_id, event_id, CASE WHEN event_id % 41 = 0 THEN 'end_call' ELSE {list(_MET)}[event_id % 5 + 1] END AS action, [1, 2, 4, 8, 0, 0][event_id % 6 + 1] AS gives, CASE WHEN event_id % 5 = 1 THEN 4 ELSE 0 END AS takes, NULL AS outcome FROM events"))
+def appointment_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    action = F.when(F.col("event_type") == "purchase", "confirm").when(F.col("event_type") == "error", "cancel").when(F.col("event_type") == "signup", "change").otherwise("tell")
-    turns = table(spark, sf_dir, "events").select("user_id", "event_id", action.alias("action"), pick("event_id", 4, F.lit("size"), F.lit("color"), F.lit("place")).alias("field"), F.when(e % 97 == 0, "danger").alias("guard"))
-    return dialogues.folded_turns(turns, "user_id", "event_id", 3)
+    action = F.when(e % 41 == 0, "end_call").otherwise(pick("event_id", 5, *[F.lit(x) for x in _MET]))
+    return _folded(spark, sf_dir, machines.APPOINTMENT, action, pick("event_id", 6, *[F.lit(x) for x in machines.APPOINTMENT.fields]), F.when(e % 5 == 1, "time"))
 
 
 @query(
