@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from turnlake.functions.documents import fingerprint
 from turnlake.functions.numbers import sign_test
 from turnlake.functions.text import clauses, stripped
-from turnlake.operators import baselines, contracts, groups, integrity, journals, scoring, wordfreq
+from turnlake.operators import baselines, contracts, groups, integrity, journals, morphemes, scoring, wordfreq
 from turnlake.operators.wordfreq import FILLERS as INTERJECTIONS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,13 @@ def min_count_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordfreq.counts(words, ["source"]).where("cnt >= 100").select("source", "word", "cnt")
 
 
+@query()
+def morpheme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems and endings of all documents, by a lexicon fitted on them; the fit is iterative, so there is no SQL."""
+    docs = table(spark, sf_dir, "documents")
+    return morphemes.form_counts(docs, "text", morphemes.fit(docs, "text", morphemes.EUROPEAN_ENDINGS, INTERJECTIONS))
+
+
 @query(
     rf"""WITH e AS (SELECT conv_id, list_transform(regexp_extract_all(coalesce(text, ''), '\p{{L}}+'), lambda x: lower(x)) AS w FROM conversations),
 s AS (SELECT conv_id, count(*) AS total_messages, sum(len(w))::BIGINT AS total_words,
