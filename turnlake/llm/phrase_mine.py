@@ -15,6 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ SUPPORT, LONGEST, ABSORBED, TOP = 100, 5, 100, 2000
 SPARE, LEAST_BITS, MOST_BITS = 8, 1 << 18, 1 << 26
 #: Buckets in a row of counts, words that a task holds before it sums them up, and sums that it holds before it hands them on.
 BLOCK, WORDS_AT_ONCE, SUMS_AT_ONCE = 1 << 13, 1_000_000, 1_000_000
+#: Parts, for each shuffle partition, in which tasks hand their sums on.
+PARTS = 2
 #: What parts pieces, and what parts the words of one.
 PIECES, WORD = r"[.,;:!?\x0A-\x0D]", r"[^\x20\x09]+"
 UNKNOWN = "und"
@@ -162,8 +165,11 @@ class Sums:
         return np.array([self.langs.index(x) for x in langs], dtype=np.int32)
 
     def add(self, hashes: np.ndarray, langs: np.ndarray, words: np.ndarray, counts: np.ndarray) -> None:
-        """Equal hashes lie side by side after sorting; rows that differ in a word all the same begin another sum."""
+        """Equal phrases lie side by side after sorting by hash; where two phrases share a hash, words and languages decide as well."""
         order = np.argsort(hashes, kind="stable")
+        differ = (langs[order][1:] != langs[order][:-1]) | (words[:, order][:, 1:] != words[:, order][:, :-1]).any(axis=0)
+        if (differ & (hashes[order][1:] == hashes[order][:-1])).any():
+            order = np.lexsort((langs, *words, hashes))
         hashes, langs, words = hashes[order], langs[order], words[:, order]
         new = np.ones(len(order), dtype=bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (langs[1:] != langs[:-1]) | (words[:, 1:] != words[:, :-1]).any(axis=0)
@@ -179,17 +185,47 @@ class Sums:
             self.add(hashes, langs, words, counts)
         return self
 
-    def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        langs = pa.array(self.langs, pa.string())
-        for _, of, words, counts in self.parts:
-            for i in range(0, len(of), 100_000):
-                n = len(of[i : i + 100_000])
-                own = [langs.take(pa.array(of[i : i + n])), *[pa.array(words[j, i : i + n].view(np.int64)) for j in range(self.k)], pa.array(counts[i : i + n])]
-                yield pa.RecordBatch.from_arrays([*own, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+    def packed(self, parts: int) -> Iterator[dict]:
+        """Rows (part, langs, data) by the phrases' hashes, which are the same in every task: a row holds all sums of a part, compressed."""
+        for hashes, langs, words, counts in self.parts:
+            own = ((hashes >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(own, kind="stable")
+            cuts = [0, *(np.flatnonzero(np.diff(own[order])) + 1).tolist(), len(order)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                some = order[i:j]
+                whole = np.vstack([hashes[some], langs[some].astype(np.uint64), words[:, some], counts[some].astype(np.uint64)])
+                yield {"part": int(own[some[0]]), "langs": self.langs, "data": zstandard.compress(whole.tobytes(), 1)}
+
+    def unpack(self, langs: list[str], data: bytes) -> None:
+        """Add what packed() gave of another task."""
+        whole = np.frombuffer(zstandard.decompress(data), np.uint64).reshape(self.k + 3, -1)
+        self.add(whole[0], self.codes(langs)[whole[1].astype(np.int64)], whole[2:-1], whole[-1].astype(np.int64))
+
+
+def phrase_counts(passed: DataFrame, k: int, support: int) -> DataFrame:
+    """The phrases (lang, w1..wk, f) that the tasks of one_pass() counted support times or more together; parts are dealt over tasks and put together as they come."""
+    schema = pa.schema([("lang", pa.string()), *[(f"w{i + 1}", pa.int64()) for i in range(k)], ("f", pa.int64())])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Sums] = {}
+        for batch in batches:
+            for part, langs, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own = held.setdefault(part, Sums(k))
+                own.unpack(langs, data)
+                if len(own.parts) >= 16:
+                    own.merged()
+        for own in held.values():
+            names = pa.array(own.langs, pa.string())
+            for _, langs, words, counts in own.merged().parts:
+                some = np.flatnonzero(counts >= support)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(langs[some])), *[pa.array(words[i][some].view(np.int64)) for i in range(k)], pa.array(counts[some])], schema=schema)
+
+    packs = passed.where("part is not null").select("part", "langs", "data")
+    return packs.repartition("part").mapInArrow(together, f"lang string, {', '.join(f'w{i + 1} long' for i in range(k))}, f long")
 
 
 def one_pass(texts: DataFrame, k: int, support: int, size: int, below: bytes, buckets: bytes | None, last: bool) -> DataFrame:
-    """One pass over texts: rows (lang, w1..wk, n) with counts of phrases of k words, and rows (block, counts) of the buckets of k + 1 words.
+    """One pass over texts: rows (part, langs, data) with packed counts of phrases of k words, and rows (block, counts) of the buckets of k + 1 words.
 
     below: bitmap of the frequent phrases of k - 1 words (of single words for k = 1, where nothing is counted exactly);
     buckets: that of the frequent buckets of k words. Counts of a bucket stop at the support: a bucket whose sum of such
@@ -197,8 +233,8 @@ def one_pass(texts: DataFrame, k: int, support: int, size: int, below: bytes, bu
     """
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast((below, buckets))
-    names = [f"w{i + 1}" for i in range(k)]
-    schema = pa.schema([("lang", pa.string()), *[(x, pa.int64()) for x in names], ("n", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = pa.schema([("part", pa.int32()), ("langs", pa.list_(pa.string())), ("data", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         under, own = (x and Bits(x) for x in sent.value)
@@ -211,11 +247,11 @@ def one_pass(texts: DataFrame, k: int, support: int, size: int, below: bytes, bu
                 flush(held, under, own, counts, sums)
                 held, n = [], 0
                 if sums.size >= SUMS_AT_ONCE and sums.merged().size >= SUMS_AT_ONCE // 2:
-                    yield from sums.batches(schema)
+                    yield from (pa.RecordBatch.from_pylist([x], schema=schema) for x in sums.packed(parts))
                     sums = Sums(k)
         if n:
             flush(held, under, own, counts, sums)
-        yield from sums.merged().batches(schema)
+        yield from (pa.RecordBatch.from_pylist([x], schema=schema) for x in sums.merged().packed(parts))
         blocks = counts.reshape(-1, BLOCK)
         for i in np.flatnonzero(blocks.any(axis=1)):
             yield pa.RecordBatch.from_pylist([{"block": int(i), "counts": blocks[i].tobytes()}], schema=schema)
@@ -244,7 +280,7 @@ def one_pass(texts: DataFrame, k: int, support: int, size: int, below: bytes, bu
             found, times = np.unique(phrase_hashes(words, langs, k + 1)[both] & np.uint64(size - 1), return_counts=True)
             counts[found] = np.minimum(counts[found] + times, support)
 
-    return texts.mapInArrow(scan, f"lang string, {', '.join(f'{x} long' for x in names)}, n long, block int, counts binary")
+    return texts.mapInArrow(scan, "part int, langs array<string>, data binary, block int, counts binary")
 
 
 def frequent_phrases(docs: DataFrame, support: int, longest: int, size: int | None = None) -> tuple[dict[int, DataFrame], DataFrame, list[DataFrame]]:
@@ -258,10 +294,9 @@ def frequent_phrases(docs: DataFrame, support: int, longest: int, size: int | No
     found = {1: staged(words.where(F.col("n") >= support).select("lang", F.col("h").alias("w1"), F.col("n").alias("f")))}
     below, buckets, kept = frequent_bits(found[1], 1, size), None, [counts, texts, found[1]]
     for k in range(1, longest + 1):
-        names = [f"w{i + 1}" for i in range(k)]
         passed = staged(one_pass(texts, k, support, size, below, buckets, k == longest))
         if k > 1:
-            found[k] = staged(passed.where("block is null").groupBy("lang", *names).agg(F.sum("n").alias("f")).where(F.col("f") >= support))
+            found[k] = staged(phrase_counts(passed, k, support))
             kept.append(found[k])
         if k < longest:
             buckets = frequent_buckets(passed.where("block is not null"), support, size)
