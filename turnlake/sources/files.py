@@ -8,11 +8,13 @@ import json
 import unicodedata
 import wave
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from turnlake.functions import voice
 from turnlake.functions.documents import strict_json
 
 CASES = """version string, cases array<struct<id string, conversation_group_id string, split string, scenario_key string,
@@ -140,6 +142,38 @@ def read_recordings(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("fault", F.when(F.col("rate").isNull(), "unreadable").when(F.col("channels") != 1, "not_mono").when(F.col("bits") != 16, "not_16_bit"))
 
 
+MEASURES = StructType([StructField(x, DoubleType()) for x in ("pitch_mean", "pitch_median", "jitter", "shimmer")] + [StructField("voiced", LongType()), StructField("fault", StringType())])
+
+
+def measured_recordings(spark: SparkSession, path: str) -> DataFrame:
+    """One row (file, stem, pitch_mean, pitch_median, jitter, shimmer, voiced, fault) for each WAV file of a folder and those below it.
+
+    A file is read and measured in one task; fault: unreadable, not_mono, not_16_bit, or no_voice and no_periods, where
+    the measures that need them are null.
+    """
+
+    @F.pandas_udf(MEASURES)
+    def measured(contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_measured(x) for x in contents], columns=[x.name for x in MEASURES], dtype=object)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(path)
+    return files.select(F.col("path").alias("file"), stem(F.col("path")).alias("stem"), measured("content").alias("m")).select("file", "stem", "m.*")
+
+
+def _measured(content: bytes) -> tuple:
+    try:
+        with wave.open(io.BytesIO(content)) as sound:
+            if sound.getnchannels() != 1:
+                return (*(None,) * 5, "not_mono")
+            if sound.getsampwidth() != 2:
+                return (*(None,) * 5, "not_16_bit")
+            found = voice.measures(np.frombuffer(sound.readframes(sound.getnframes()), "<i2") / 32768, sound.getframerate())
+    except (wave.Error, EOFError):
+        return (*(None,) * 5, "unreadable")
+    fault = "no_voice" if not found["voiced"] else "no_periods" if found["jitter"] is None else None
+    return (*found.values(), fault)
+
+
 def stem(path: Column) -> Column:
     """A file's name without folders and ending."""
     return F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
