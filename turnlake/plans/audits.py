@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from turnlake.functions import documents
 from turnlake.functions.numbers import epoch_seconds, years_between
 from turnlake.functions.text import clauses, first_given, labelled, options_text, overlaps, rendered, scenario_key
-from turnlake.operators import baselines, contracts, coverage, dialogues, drafts, evidence, groups, integrity, ledgers, machines, scoring, validation
+from turnlake.operators import baselines, contracts, coverage, dialogues, drafts, evidence, graphs, groups, integrity, ledgers, machines, quotes, scoring, validation
 from turnlake.plans.catalogue import BASELINE, CANDIDATE, _cases, _flags_sql, _pairs, _predictions, table
 from turnlake.sources import files
 
@@ -310,6 +310,47 @@ def edge_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(table(spark, sf_dir, "lineitem").select(evidence.edge_fault(event, owner, relation, ("same", "other")).alias("fault")), "fault")
 
 
+_EDGES_SQL = """WITH RECURSIVE o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS s, row_number() OVER w AS n, lag(o_orderkey) OVER w AS before, lag(o_orderkey, 2) OVER w AS earlier, max(o_orderkey) OVER (PARTITION BY o_custkey) AS last FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+e AS (SELECT c, k, CASE WHEN k % 17 = 0 THEN -1 WHEN n > 1 THEN before WHEN c % 11 = 0 THEN last END AS w, ['same_entity', 'part_of', 'located_at', 'coreference', 'distinct', 'unresolved'][k % 6 + 1] AS kind FROM o
+UNION ALL SELECT c, k, earlier, 'part_of' FROM o WHERE k % 13 = 0)"""
+
+
+@query(
+    _EDGES_SQL
+    + """, g AS (SELECT * FROM e WHERE w IS NOT NULL),
+f AS (SELECT c, k, min(f) AS f FROM (SELECT c, k, 'several_owners' AS f FROM g GROUP BY ALL HAVING count(DISTINCT w) > 1 UNION ALL SELECT c, k, 'edge_to_itself' FROM g WHERE k = w UNION ALL SELECT c, k, 'owner_missing' FROM g WHERE w = -1) GROUP BY ALL),
+s AS (SELECT c, k, min((w, kind)) AS x, count(*) OVER (PARTITION BY c) AS size FROM g GROUP BY c, k),
+h AS (SELECT c, k, x[1] AS pos, x[2] AS kind, 1 AS len, size, f FROM s LEFT JOIN f USING (c, k)
+UNION ALL SELECT h.c, h.k, s.x[1], s.x[2], len + 1, h.size, least(h.f, f.f) FROM h JOIN s ON h.c = s.c AND h.pos = s.k LEFT JOIN f ON f.c = s.c AND f.k = s.k WHERE len <= h.size),
+z AS (SELECT c, k, arg_max(pos, len) AS root, arg_max(kind, len) AS kind, max(len) > any_value(size) AS circle, arg_max(coalesce(f, 'zz'), len) AS f FROM h GROUP BY c, k),
+r AS (SELECT s, CASE WHEN circle THEN 'circle' WHEN circle IS NULL THEN 'no_owner' WHEN f <> 'zz' THEN f END AS fault, kind, root, o.c FROM o LEFT JOIN z USING (c, k)),
+q AS (SELECT s, fault, CASE WHEN fault IS NOT NULL THEN 'unknown' WHEN kind = 'distinct' THEN 'other' WHEN kind <> 'unresolved' AND c % 3 <> 0 THEN 'current' ELSE 'unknown' END AS relation FROM r)
+SELECT relation, fault, CASE WHEN relation = 'other' THEN 'collecting_service_request' WHEN relation = 'current' AND s = 'F' THEN 'safety_action_required' ELSE 'confirming_safety_status' END AS route, count(*) AS cnt FROM q GROUP BY ALL"""
+)
+def evidence_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as a graph: each order belongs to the one before it, with circles, second owners and owners that do not exist."""
+    over = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    k, c = F.col("node"), F.col("case")
+    marked = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case"), F.col("o_orderkey").alias("node"), "o_orderstatus", F.row_number().over(over).alias("n"), F.lag("o_orderkey").over(over).alias("before"), F.lag("o_orderkey", 2).over(over).alias("earlier"), F.max("o_orderkey").over(Window.partitionBy("o_custkey")).alias("last"))
+    owner = F.when(k % 17 == 0, -1).when(F.col("n") > 1, F.col("before")).when(c % 11 == 0, F.col("last"))
+    kind = pick("node", 6, *[F.lit(x) for x in (*graphs.CURRENT, *graphs.OTHER, "unresolved")])
+    edges = marked.select("case", "node", owner.cast("long").alias("owner"), kind.alias("kind")).unionByName(marked.where(k % 13 == 0).select("case", "node", F.col("earlier").alias("owner"), F.lit("part_of").alias("kind"))).where("owner is not null")
+    events = marked.select("case", "node", F.when(F.col("o_orderstatus") == "F", "observed").otherwise("possible").alias("occurrence"))
+    targets = marked.where((F.col("n") == 1) & (c % 3 != 0)).select("case", "node")
+    found = graphs.event_relations(events, edges, marked.select("case", "node"), targets)
+    return counted(found, "relation", "fault", "route")
+
+
+@query(
+    """WITH h AS (SELECT b.item_id, d.doc_id, d.text, b.text AS q FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)),
+p AS (SELECT item_id, doc_id, unnest(list_filter(range(0, length(text) - length(q) + 1), lambda i: substring(text, i + 1, length(q)) = q)) AS start, length(q) AS n FROM h)
+SELECT item_id, doc_id, start::INT AS start, (start + n)::INT AS "end" FROM p"""
+)
+def located_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of every benchmark passage in all documents."""
+    return quotes.located(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
 @query("SELECT count(*) FILTER (o_orderkey % 4 <> 0 AND o_orderkey % 2 = 0 AND o_custkey % 3 <> 0) AS passed, count(*) AS cases FROM orders")
 def evidence_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
