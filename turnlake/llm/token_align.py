@@ -164,7 +164,7 @@ def packed_codes(listed: DataFrame, a_path: str, b_path: str) -> DataFrame:
             for i, j in zip(cuts, cuts[1:], strict=False):
                 some = [codes[x] for x in order[i:j].tolist()]
                 sizes = np.array([len(x) for x in some], dtype="<i4")
-                row = [[int(chunk[order[i]])], [squeezed(place[order[i:j]])], [squeezed(sizes)], [zstandard.compress(b"".join(some), 3)]]
+                row = [[int(chunk[order[i]])], [squeezed(place[order[i:j]])], [squeezed(sizes)], [squeezed(np.frombuffer(b"".join(some), own.kind))]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
@@ -197,7 +197,7 @@ def filled(row: pd.DataFrame, packs: pd.DataFrame, kind: str) -> pd.DataFrame:
     """A chunk's row with the tokens of its segments, in the order of its list; a segment that does not fit has none."""
     codes = [b""] * sum(len(unsqueezed(x, "<i4")) for x in packs["places"])
     for places, sizes, data in zip(packs["places"], packs["sizes"], packs["codes"], strict=True):
-        whole, end = zstandard.decompress(data), 0
+        whole, end = unsqueezed(data, kind).tobytes(), 0
         for place, size in zip(unsqueezed(places, "<i4").tolist(), unsqueezed(sizes, "<i4").tolist(), strict=True):
             codes[place] = whole[end : end + size]
             end += size
