@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -190,6 +191,29 @@ def test_copies_of_a_text_do_not_make_its_secret_an_example(spark):
     assert {r.doc_id for r in scanned if r.live} == {1, 2, 3, 60, 61}
 
 
+def test_copies_in_many_sources_are_an_example_and_in_few_are_not(spark):
+    wide, narrow = "Zx81kQpLm20vBnT7aWqE", "Qp93mZtRw81xLcVb55Ks"
+    rows = [(i, f"my key {wide} is here", "en", f"s{i}") for i in range(60)] + [(100 + i, f"my key {narrow} is here", "en", f"s{i}") for i in range(2)]
+    scanned = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id for r in scanned if r.live} == {100, 101}
+    assert all(r.n_shared == 1 for r in scanned if r.doc_id < 100)
+
+
+def test_ownership_is_the_brute_force(spark):
+    r = random.Random(8)
+    keys = [f"Zx{i}1kQpLm20vBnT7aWqE" for i in range(6)]
+    rows = [(i, f"{r.choice('abcdef')} {r.choice(keys)} {r.choice(keys)}", r.choice(["en", "de"]), r.choice(["s1", "s2", "s3", "s4", "s5", None])) for i in range(25)]
+    found = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), live_owners=4, live_repos=5, live_texts=6).collect()
+
+    def live(key):
+        held = [x for x in rows if key in x[1]]
+        return len({x[3] for x in held}) <= 4 and len({(x[3], x[2]) for x in held}) <= 5 and len({frozenset(x[1].lower().split()) for x in held}) <= 6
+
+    want = {i: [(m.start(), m.end()) for m in re.finditer(r"Zx\S+", text) if live(m[0])] for i, text, *_ in rows}
+    assert {x.doc_id: [(s.start, s.end) for s in x.live] for x in found} == want
+    assert 0 < sum(map(len, want.values())) < 50
+
+
 def base_pii(text):
     text, found = text or "", []
     luhn = lambda d: sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(d[::-1])) % 10 == 0
@@ -356,6 +380,31 @@ def found_passages(spark, texts):
     return {r.doc_id: [(x.start, x.end) for x in r.spans] for r in chain_dedup.shared_passages(df).collect()}
 
 
+@pytest.mark.parametrize(("size", "gap"), [(300, 200), (60, 40), (100, 60), (500, 300)])
+def test_two_passages_of_one_pair_are_both_shared(spark, size, gap):
+    r = random.Random(size)
+    fresh = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    fuzzy = lambda words: [x if i % 14 else f"z{r.randrange(10**6)}" for i, x in enumerate(words)]
+    a, b = fresh(size), fresh(size)
+    texts = [fresh(100) + a + fresh(gap) + b + fresh(80), fresh(50) + fuzzy(a) + fresh(gap) + fuzzy(b) + fresh(10)]
+    found = {x.doc_id: [(s.start, s.end) for s in x.spans] for x in chain_dedup.shared_passages(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")).collect()}
+    for doc, at in ((0, 100), (1, 50)):
+        first, second = found[doc]
+        assert at <= first[0] <= at + 3 and at + size - 3 <= first[1] <= at + size + 1
+        assert at + size + gap - 1 <= second[0] <= at + size + gap + 3 and at + 2 * size + gap - 3 <= second[1] <= at + 2 * size + gap + 1
+
+
+def test_common_words_are_the_longest_common_subsequence():
+    r = random.Random(4)
+    for _ in range(150):
+        x, y = (np.array([r.randrange(5) for _ in range(r.randrange(40))], dtype=np.uint32) for _ in range(2))
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x)):
+            for j in range(len(y)):
+                table[i + 1][j + 1] = table[i][j] + 1 if x[i] == y[j] else max(table[i][j + 1], table[i + 1][j])
+        assert chain_dedup.common(x, y) == table[-1][-1]
+
+
 def test_short_fuzzy_passages_are_shared(spark):
     rng = np.random.default_rng(4)
     words = lambda n: [f"w{x}" for x in rng.integers(0, 10_000_000, n)]
