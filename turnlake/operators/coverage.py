@@ -8,11 +8,12 @@ names to accepted values, null where the field must be absent), current (map of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions.documents import canonical_map
-from turnlake.operators.contracts import context_class
+from turnlake.operators.contracts import context_class, delta_relations
+from turnlake.session import checkpointed
 
 KEYS = ["scenario", "dimension", "value"]
 NO_INTENT = "<null>"
@@ -44,24 +45,79 @@ def obligations(actions: DataFrame, fields: DataFrame, intents: DataFrame, delta
     return whole.distinct()
 
 
-def covered(cases: DataFrame) -> DataFrame:
-    """Distinct keys that cases cover, in one pass: each case gives an array of (dimension, value)."""
+_NO_KEYS = "cast(array() as array<struct<dimension:string,value:string>>)"
+
+
+def _case_keys(more: bool = False) -> Column:
+    """All (dimension, value) of a case as one array; with more also what an action does to which field, what becomes of each field, and the class of the context."""
     key = lambda dimension, value: F.struct(F.lit(dimension).alias("dimension"), value.alias("value"))
     one = lambda dimension, value: F.array(key(dimension, value))
     names = lambda test: F.map_keys(F.map_filter("fields", test))
     pairs = F.flatten(F.transform(F.map_entries("fields"), lambda x: F.transform(F.coalesce(x["value"], F.expr("cast(array() as array<string>)")), lambda v: F.concat_ws("=", x["key"], v))))
-    found = F.concat(
+    present, absent = names(lambda k, v: v.isNotNull()), names(lambda k, v: v.isNull())
+    found = [
         one("state", F.col("state")),
         one("action", F.col("action")),
         one("state_action", F.concat_ws("->", "state", "action")),
         one("intent", F.coalesce("intent", F.lit(NO_INTENT))),
-        F.transform(names(lambda k, v: v.isNotNull()), lambda k: key("field_present", k)),
-        F.transform(names(lambda k, v: v.isNull()), lambda k: key("field_absent", k)),
+        F.transform(present, lambda k: key("field_present", k)),
+        F.transform(absent, lambda k: key("field_absent", k)),
         F.transform(pairs, lambda v: key("field_option", v)),
-        F.when(F.col("change_field").isNotNull(), one("change_field", F.col("change_field"))).otherwise(F.expr("cast(array() as array<struct<dimension:string,value:string>>)")),
+        F.when(F.col("change_field").isNotNull(), one("change_field", F.col("change_field"))).otherwise(F.expr(_NO_KEYS)),
         F.transform(F.coalesce("tags", F.expr("cast(array() as array<string>)")), lambda t: key("tag", t)),
+    ]
+    if more:
+        new = F.transform_values("fields", lambda k, v: F.try_element_at(v, F.lit(1)))
+        dropped = F.when(F.col("change_field").isNotNull() & F.try_element_at("fields", "change_field").isNull(), one("action_field_absent", F.concat_ws("->", "action", "change_field")))
+        found += [
+            F.transform(present, lambda k: key("action_field_present", F.concat_ws("->", F.col("action"), k))),
+            F.coalesce(dropped, F.expr(_NO_KEYS)),
+            F.transform(delta_relations(F.col("current"), new), lambda v: key("delta", v)),
+            one("state_context", F.concat_ws("->", "state", context_class(F.col("current")))),
+            one("context_action", F.concat_ws("->", context_class(F.col("current")), "action")),
+        ]
+    return F.concat(*found)
+
+
+def covered(cases: DataFrame) -> DataFrame:
+    """Distinct keys that cases cover, in one pass: each case gives an array of (dimension, value)."""
+    return cases.select("scenario", F.explode(_case_keys()).alias("x")).select("scenario", "x.*").distinct()
+
+
+#: Obligations from which they are joined to cases by shuffle and not sent to every task.
+MOST_OBLIGATIONS = 1_000_000
+
+
+def coverage_cube(required: DataFrame, cases: DataFrame, split: str = "split") -> DataFrame:
+    """(all_splits, split, all_scenarios, scenario, dimension, required, covered, missing) for every combination of a split or all, a scenario or all, and a dimension or all (null).
+
+    Obligations (KEYS; a null scenario is asked of all scenarios together) are numbered once. Each split's cases are read
+    once into a bitmap of the numbers that they cover, so all that leaves a task is a bit for each obligation and split;
+    the bitmap of all splits is the union of theirs. missing is sorted; null where a whole is summed up. A split without a
+    covered obligation is listed too, as are scenarios without a case.
+    """
+    numbered = checkpointed(required.distinct().withColumn("_n", F.row_number().over(Window.orderBy(*KEYS)).cast("long")))
+    found = cases.select(F.col(split).alias("_split"), "scenario", F.explode(_case_keys(more=True)).alias("x")).select("_split", "scenario", "x.*")
+    small = F.broadcast if numbered.limit(MOST_OBLIGATIONS).count() < MOST_OBLIGATIONS else lambda x: x
+    of_scenario = found.join(small(numbered.where("scenario is not null")), KEYS).select("_split", "_n")
+    of_all = found.join(small(numbered.where("scenario is null").drop("scenario")), ["dimension", "value"]).select("_split", "_n")
+    bits = of_scenario.unionByName(of_all).groupBy("_split", F.bitmap_bucket_number("_n").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_n")).alias("_bits"))
+    bits = checkpointed(bits)
+    splits = cases.select(F.col(split).alias("_split")).distinct()
+    wholes = bits.groupBy("_b").agg(F.bitmap_or_agg("_bits").alias("_bits")).select(F.lit(True).alias("_all"), F.lit(None).cast(dict(splits.dtypes)["_split"]).alias("_split"), "_b", "_bits")
+    each = bits.select(F.lit(False).alias("_all"), "_split", "_b", "_bits").unionByName(wholes)
+    asked = splits.select(F.lit(False).alias("_all"), "_split").unionByName(wholes.select("_all", "_split").distinct()).join(F.broadcast(numbered.withColumn("_b", F.bitmap_bucket_number("_n"))))
+    same = asked["_split"].eqNullSafe(each["_split"]) & (asked["_all"] == each["_all"]) & (asked["_b"] == each["_b"])
+    place = F.bitmap_bit_position("_n")
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    seen = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    told = asked.join(each, same, "left").select(asked["_all"], asked["_split"], *KEYS, seen.alias("seen"))
+    packed = told.select("_all", F.col("_split").alias("split"), F.struct("scenario").alias("s"), F.struct("dimension").alias("d"), "value", "seen")
+    sets = packed.groupingSets([["_all", "split", "s", "d"], ["_all", "split", "s"], ["_all", "split", "d"], ["_all", "split"]], "_all", "split", "s", "d")
+    whole = (F.grouping("s") == 1) | (F.grouping("d") == 1)
+    return sets.agg(F.count("*").alias("required"), F.count_if("seen").alias("covered"), F.when(~whole, F.array_sort(F.collect_list(F.when(~F.col("seen"), F.col("value"))))).alias("missing")).select(
+        F.col("_all").alias("all_splits"), "split", F.col("s")["scenario"].alias("scenario"), F.col("s").isNull().alias("all_scenarios"), F.col("d")["dimension"].alias("dimension"), "required", "covered", "missing"
     )
-    return cases.select("scenario", F.explode(found).alias("x")).select("scenario", "x.*").distinct()
 
 
 def issues(required: DataFrame, cases: DataFrame) -> DataFrame:

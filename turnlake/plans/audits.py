@@ -17,6 +17,7 @@ from turnlake.functions.text import clauses, first_given, labelled, options_text
 from turnlake.operators import baselines, contracts, coverage, dialogues, drafts, evidence, graphs, groups, integrity, ledgers, machines, quotes, scoring, validation
 from turnlake.plans.catalogue import BASELINE, CANDIDATE, _cases, _flags_sql, _pairs, _predictions, table
 from turnlake.sources import files
+from turnlake.streaming import calibration
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -681,9 +682,54 @@ UNION ALL SELECT scenario, 'field_present', 'lang' FROM d UNION ALL SELECT scena
 UNION ALL SELECT scenario, 'field_option', 'size=' || size FROM d WHERE size IS NOT NULL UNION ALL SELECT scenario, 'field_option', 'lang=' || lang FROM d UNION ALL SELECT scenario, 'change_field', change FROM d WHERE change IS NOT NULL UNION ALL SELECT scenario, 'tag', source FROM d))"""
 
 
-@query(f"SELECT * FROM {_OBLIGED}")
+_ASKED = """(WITH c AS (SELECT c_mktsegment AS scenario, ['open', 'done', 'wait'][c_nationkey % 3 + 1] AS state, ['keep', 'drop', 'change'][c_custkey % 3 + 1] AS action, c_acctbal AS bal, c_nationkey AS n FROM customer),
+a AS (SELECT DISTINCT scenario, state, action FROM c WHERE bal > 5000), f AS (SELECT DISTINCT scenario, 'nation' AS field, n::VARCHAR AS option FROM c WHERE bal < 500 UNION SELECT DISTINCT scenario, 'phone', NULL FROM c WHERE bal > 9000), i AS (SELECT DISTINCT scenario, CASE WHEN bal > 0 THEN 'good' END AS intent FROM c)
+SELECT DISTINCT * FROM (SELECT scenario, 'state' AS dimension, state AS value FROM a UNION ALL SELECT scenario, 'action', action FROM a UNION ALL SELECT scenario, 'state_action', state || '->' || action FROM a UNION ALL SELECT scenario, 'intent', coalesce(intent, '<null>') FROM i
+UNION ALL SELECT scenario, 'field_present', field FROM f UNION ALL SELECT scenario, 'field_absent', field FROM f UNION ALL SELECT scenario, 'field_option', field || '=' || option FROM f WHERE option IS NOT NULL UNION ALL SELECT scenario, 'change_field', field FROM f
+UNION ALL SELECT scenario, 'delta', field || '->' || r FROM (SELECT DISTINCT scenario, field FROM f), (VALUES ('set'), ('changed'), ('cleared')) AS v(r) UNION ALL SELECT NULL, 'contrast_role', state FROM a))"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Obligations of contracts that the customers stand for: a market segment is a scenario."""
+    c = table(spark, sf_dir, "customer").withColumns({"scenario": F.col("c_mktsegment"), "state": pick("c_nationkey", 3, F.lit("open"), F.lit("done"), F.lit("wait")), "action": pick("c_custkey", 3, F.lit("keep"), F.lit("drop"), F.lit("change"))})
+    named = lambda name, option, test: c.where(test).select("scenario", F.lit(name).alias("field"), option.alias("option")).distinct()
+    fields = named("nation", F.col("c_nationkey").cast("string"), F.col("c_acctbal") < 500).unionByName(named("phone", F.lit(None).cast("string"), F.col("c_acctbal") > 9000))
+    actions = c.where("c_acctbal > 5000").select("scenario", "state", "action").distinct()
+    deltas = fields.select("scenario", "field", F.explode(F.array(*[F.lit(x) for x in ("set", "changed", "cleared")])).alias("relation")).distinct()
+    return coverage.obligations(actions, fields, c.select("scenario", F.when(F.col("c_acctbal") > 0, "good").alias("intent")).distinct(), deltas, roles=actions.select(F.col("state").alias("role")).distinct())
+
+
+@query(f"SELECT * FROM {_ASKED}")
 def obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.obligations(*_contract(spark))
+    return _asked(spark, sf_dir)
+
+
+@query(
+    f"""WITH q AS {_ASKED}, c AS (SELECT c_mktsegment AS scenario, o_orderkey % 3 AS split, ['open', 'done', 'wait'][o_orderkey % 3 + 1] AS state, ['keep', 'drop', 'change'][o_custkey % 3 + 1] AS action, CASE WHEN o_orderkey % 5 = 0 THEN 'good' END AS intent,
+CASE WHEN o_orderkey % 4 = 0 THEN 'nation' END AS change, CASE WHEN o_orderkey % 7 < 3 THEN c_nationkey::VARCHAR END AS nation, CASE WHEN o_orderkey % 11 = 0 THEN c_nationkey::VARCHAR WHEN o_orderkey % 11 < 6 THEN 'x' END AS held FROM orders JOIN customer ON o_custkey = c_custkey),
+k AS (SELECT DISTINCT scenario, split, unnest([('state', state), ('action', action), ('state_action', state || '->' || action), ('intent', coalesce(intent, '<null>')), CASE WHEN nation IS NOT NULL THEN ('field_present', 'nation') ELSE ('field_absent', 'nation') END,
+CASE WHEN nation IS NOT NULL THEN ('field_option', 'nation=' || nation) END, CASE WHEN change IS NOT NULL THEN ('change_field', change) END, ('delta', 'nation->' || CASE WHEN nation IS NOT DISTINCT FROM held THEN 'same' WHEN held IS NULL THEN 'set' WHEN nation IS NULL THEN 'cleared' ELSE 'changed' END)]) AS x FROM c),
+s AS (SELECT DISTINCT split FROM c), z AS (SELECT FALSE AS all_splits, split FROM s UNION ALL SELECT TRUE, NULL),
+t AS (SELECT z.all_splits, z.split, q.*, EXISTS (SELECT 1 FROM k WHERE k.scenario = q.scenario AND x[1] = q.dimension AND x[2] = q.value AND (z.all_splits OR k.split = z.split)) AS seen FROM z, q)
+SELECT all_splits, split, scenario, grouping(scenario) = 1 AS all_scenarios, dimension, count(*) AS required, count(*) FILTER (seen) AS covered, CASE WHEN grouping(scenario) + grouping(dimension) = 0 THEN coalesce(list_sort(list(value) FILTER (NOT seen)), []) END AS missing
+FROM t GROUP BY GROUPING SETS ((all_splits, split, scenario, dimension), (all_splits, split, scenario), (all_splits, split, dimension), (all_splits, split))"""
+)
+def coverage_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What orders, as labelled cases in three splits, cover of what the customers ask for."""
+    o, nation = F.col("o_orderkey"), F.col("c_nationkey").cast("string")
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    cases = rows.select(
+        F.col("c_mktsegment").alias("scenario"),
+        (o % 3).alias("split"),
+        pick("o_orderkey", 3, F.lit("open"), F.lit("done"), F.lit("wait")).alias("state"),
+        pick("o_custkey", 3, F.lit("keep"), F.lit("drop"), F.lit("change")).alias("action"),
+        F.when(o % 5 == 0, "good").alias("intent"),
+        F.when(o % 4 == 0, "nation").alias("change_field"),
+        F.create_map(F.lit("nation"), F.when(o % 7 < 3, F.array(nation))).alias("fields"),
+        F.create_map(F.lit("nation"), F.when(o % 11 == 0, nation).when(o % 11 < 6, "x")).alias("current"),
+        F.lit(None).cast("array<string>").alias("tags"),
+    )
+    return coverage.coverage_cube(_asked(spark, sf_dir), cases)
 
 
 @query(
@@ -823,6 +869,20 @@ def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.join(both, "user_id", "left").groupBy("user_id").agg(F.count_if(F.col("d") == 1).alias("finalised"), F.count_if(F.col("d") == 0).alias("open"))
 
 
+@query(
+    """WITH e AS (SELECT user_id::VARCHAR AS user_key, event_id AS seq, CASE WHEN event_type <> 'purchase' THEN 'sample' WHEN event_id % 3 = 0 THEN 'clear' ELSE 'finalize' END AS kind, value AS v FROM events),
+n AS (SELECT *, sum((kind <> 'sample')::INT) OVER (PARTITION BY user_key ORDER BY seq) AS m FROM e), s AS (SELECT user_key, m + 1 AS m, count(*) AS samples, avg(v) AS a, coalesce(stddev_samp(v), 0) AS d FROM n WHERE kind = 'sample' GROUP BY ALL)
+SELECT user_key, seq, samples, round(round(a, 9), 6) AS mean, round(round(d, 9), 6) AS std FROM n JOIN s USING (user_key, m) WHERE kind = 'finalize'"""
+)
+def calibration_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finalize of every user, purchases being the marks."""
+    v = F.col("value")
+    kind = F.when(F.col("event_type") != "purchase", "sample").when(F.col("event_id") % 3 == 0, "clear").otherwise("finalize")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user_key"), F.col("event_id").alias("seq"), kind.alias("kind"), v.alias("pitch"), v.alias("jitter"), v.alias("shimmer"))
+    found = calibration.calibrations(events)
+    return found.select("user_key", "seq", "samples", F.round("pitch_mean", 6).alias("mean"), F.round("pitch_std", 6).alias("std"))
+
+
 @query(
     """SELECT fault, count(*) AS cnt, sum(samples)::BIGINT AS samples FROM (SELECT CASE WHEN k IS NULL THEN 'key' WHEN s IS NULL OR s < 1 THEN 'samples' WHEN v IS NULL OR v <= 0 OR coalesce(m2, 0) < 0 THEN 'pitch' END AS fault, s AS samples
 FROM (SELECT CASE WHEN c_custkey % 17 <> 0 THEN c_custkey END AS k, CASE WHEN c_custkey % 5 = 0 THEN c_nationkey ELSE c_nationkey - 1 END AS s, c_acctbal AS v, CASE WHEN c_custkey % 7 = 0 THEN -1.0 WHEN c_custkey % 2 = 0 THEN 1.0 END AS m2 FROM customer)) GROUP BY fault"""
