@@ -64,6 +64,13 @@ def test_published_paired_figures(spark):
     assert [p(6, 1), p(5, 0), p(0, 0), p(2, 2)] == [0.125, 0.0625, 1.0, 1.0]
 
 
+def test_bootstrap_gives_the_published_interval(spark):
+    """32 strata of two cases, ten gains in as many strata: difference 0.15625, interval 0.09375 to 0.21875 over 20,000 resamples."""
+    rows = spark.createDataFrame([(f"s{i}", int(i < 10 and j == 0)) for i in range(32) for j in range(2)], "s string, d int")
+    found = scoring.bootstrap(rows, "s", "d", 20_000).first()
+    assert (found.cases, found.difference, found.low, found.high) == (64, 0.15625, 0.09375, 0.21875)
+
+
 def test_bootstrap_of_one_gain(spark):
     rows = spark.range(64).select((F.col("id") / 2).cast("int").alias("s"), (F.col("id") == 0).cast("int").alias("delta"))
     a, b = (scoring.bootstrap(rows, "s", "delta", 500).first() for _ in range(2))

@@ -152,6 +152,16 @@ def test_streamed_dialogues_end_where_the_fold_does(spark, tmp_path):
     assert last == {"1": (3, 2, "ready"), "2": (3, 0, "cancelled")}
 
 
+def test_dialogue_prompts(spark, tmp_path):
+    files_of = {"a": [{"role": "User", "text": " hi "}, {"role": "assistant", "content": "ho"}, {"role": "judge", "text": "x"}, {"role": "user", "text": " "}, "x"], "b": {"role": "user"}, "c": []}
+    for name, content in files_of.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(content))
+    (tmp_path / "d.json").write_text("not json")
+    found = files.read_dialogue_prompts(spark, str(tmp_path))
+    got = sorted((r.file[-6], -1 if r.at is None else r.at, r.example, r.fault) for r in found.collect())
+    assert got == [("a", 0, "user: hi", None), ("a", 1, "assistant: ho", None), ("a", 2, None, "role"), ("a", 3, None, "text"), ("a", 4, None, "not_an_object"), ("b", -1, None, "not_a_list"), ("d", -1, None, "not_a_list")]
+
+
 def test_categories_without_words_have_a_row(spark):
     words = wordfreq.tokens(spark.createDataFrame([(1, "x", "a b a"), (2, "y", "b")], "i int, k string, text string"), ["i"], ["k"])
     found = wordfreq.by_category(words, spark.createDataFrame([("x",), ("z",)], "k string"), "k", 1)

@@ -5,6 +5,8 @@ Each returns the rows that break a rule, so an empty result means that it holds.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,3 +152,19 @@ def compiled(table: DataFrame, key: str, order: str, cells: dict[str, tuple[Colu
     each = table.select(key, F.struct(F.col(order), *[value.alias(name) for name, (value, _) in cells.items()]).alias("e"), wrong.alias("w"))
     found = each.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("events"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("w"))
     return found.select(key, "events", F.when(F.size("w") > 0, F.array_join("w", ",")).alias("fault"))
+
+
+def promotion_faults(cases: DataFrame, prefixes: tuple[str, ...], generated: DataFrame, required: str = "human_authored") -> DataFrame:
+    """(group_id, case_id, fault) for cases that must not become human-authored source: provenance, group_prefix, case_prefix, verbatim_text, repeated_case.
+
+    cases: group_id, case_id, provenance, text; generated: text, what a model wrote. Prefixes mark ids of generated cases;
+    texts are the same if their canonical composed forms are. Generated texts are joined by digest, so their list may be
+    of any length. A null text is no generated one; a null provenance is not the required one.
+    """
+    digest = lambda text: F.sha2(nfc(text), 256)
+    known = generated.where("text is not null").select(digest(F.col("text")).alias("_digest")).distinct().withColumn("_known", F.lit(True))
+    marked = cases.withColumn("_digest", digest(F.col("text"))).join(known, "_digest", "left")
+    marked = marked.withColumn("_again", F.count("*").over(Window.partitionBy("group_id", "case_id")) > 1)
+    begins = lambda name: reduce(lambda a, x: a | F.col(name).startswith(x), prefixes, F.lit(False))
+    tests = ((~F.col("provenance").eqNullSafe(F.lit(required)), "provenance"), (begins("group_id"), "group_prefix"), (begins("case_id"), "case_prefix"), (F.col("_known"), "verbatim_text"), (F.col("_again"), "repeated_case"))
+    return marked.select("group_id", "case_id", F.explode(F.array_compact(F.array(*[F.when(test, code) for test, code in tests]))).alias("fault")).distinct()

@@ -494,6 +494,20 @@ def compiled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Groups of cases, calls and speakers
 
 
+@query(
+    """WITH c AS (SELECT source AS g, CASE WHEN doc_id % 25 = 0 THEN 'ai-' ELSE 'case-' END || doc_id // 2 AS c, CASE WHEN doc_id % 10 = 3 THEN 'generated' WHEN doc_id % 10 <> 4 THEN 'human_authored' END AS p, text FROM documents WHERE source <> 'src3'),
+k AS (SELECT DISTINCT nfc_normalize(text) AS t FROM documents WHERE source = 'src3'), m AS (SELECT g, c, p IS DISTINCT FROM 'human_authored' AS a, starts_with(g, 'src19') AS b, starts_with(c, 'ai-') AS d, nfc_normalize(text) IN (SELECT t FROM k) AS e, count(*) OVER (PARTITION BY g, c) > 1 AS f FROM c)
+SELECT fault, count(DISTINCT (g, c)) AS cases FROM (SELECT g, c, unnest(list_filter([CASE WHEN a THEN 'provenance' END, CASE WHEN b THEN 'group_prefix' END, CASE WHEN d THEN 'case_prefix' END, CASE WHEN e THEN 'verbatim_text' END, CASE WHEN f THEN 'repeated_case' END], lambda x: x IS NOT NULL)) AS fault FROM m) GROUP BY 1"""
+)
+def promotion_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, docs = F.col("doc_id"), table(spark, sf_dir, "documents")
+    name = F.concat(F.when(d % 25 == 0, "ai-").otherwise("case-"), F.floor(d / 2))
+    provenance = F.when(d % 10 == 3, "generated").when(d % 10 != 4, "human_authored")
+    cases = docs.where("source <> 'src3'").select(F.col("source").alias("group_id"), name.alias("case_id"), provenance.alias("provenance"), "text")
+    found = ledgers.promotion_faults(cases, ("ai-", "src19"), docs.where("source = 'src3'").select("text"))
+    return found.groupBy("fault").agg(F.count("*").alias("cases"))
+
+
 @query(
     """WITH s AS (SELECT source, count(*) AS n, count(*) FILTER (n_chars > 1000) AS i, max((doc_id % 50 = 0)::INT) AS l FROM documents GROUP BY source), a AS (SELECT min_by(n, source) AS agreed FROM s)
 SELECT source, unnest(list_filter([CASE WHEN n <> agreed THEN 'count' END, CASE WHEN n < 40 OR n % 2 <> 0 THEN 'size' END, CASE WHEN 2 * i <> n THEN 'scope' END, CASE WHEN l = 0 THEN 'no_later_state' END], lambda x: x IS NOT NULL)) AS fault FROM s, a"""

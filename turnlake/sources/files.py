@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 
 from turnlake.functions import voice
 from turnlake.functions.documents import strict_json
+from turnlake.functions.text import stripped
 
 CASES = """version string, cases array<struct<id string, conversation_group_id string, split string, scenario_key string,
 conversation_state string, current_fields map<string,string>, offered_alternative_times array<string>, user_message string,
@@ -100,6 +101,28 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     return each.withColumn("lines", F.when((F.size(lines) == 1) & F.contains("value", F.lit(",")), clean(F.split("value", ","))).otherwise(lines))
 
 
+def read_dialogue_prompts(spark: SparkSession, path: str, user: str = "user", other: str = "assistant") -> DataFrame:
+    """One row (file, at, role, text, example, fault) for each item of JSON prompt files, a list of objects with role and text (or content).
+
+    example is the item as a line of dialogue, speaker and text. fault: not_a_list (one row for the file), not_an_object,
+    role (another than user, system or assistant), text (missing or blank). A file that is no JSON has not_a_list.
+    """
+    item = "struct<role: string, text: string, content: string>"
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<string>").alias("items"))
+    each = whole.select("file", "items", F.posexplode_outer("items").alias("at", "raw")).withColumn("x", F.from_json("raw", item))
+    role, text = F.lower(F.col("x.role")), stripped(F.coalesce(F.when(F.col("x.text") != "", F.col("x.text")), F.col("x.content"), F.lit("")))
+    rows = each.select("file", "items", "at", "raw", F.col("x").alias("x"), role.alias("role"), text.alias("text"))
+    fault = (
+        F.when(F.col("items").isNull(), "not_a_list")
+        .when(F.col("at").isNotNull() & F.coalesce(F.json_object_keys("raw").isNull(), F.lit(True)), "not_an_object")
+        .when(F.col("at").isNotNull() & ~F.coalesce(F.col("role").isin("user", "system", "assistant"), F.lit(False)), "role")
+        .when(F.col("at").isNotNull() & (F.col("text") == ""), "text")
+    )
+    rows = rows.withColumn("fault", fault).where(F.col("at").isNotNull() | F.col("fault").isNotNull())
+    speaker = F.when(F.col("role") == "user", user).otherwise(other)
+    return rows.select("file", "at", "role", "text", F.when(F.col("fault").isNull(), F.concat_ws(": ", speaker, "text")).alias("example"), "fault")
+
+
 CATALOG = "struct<schema_version: string, scenarios: map<string, string>>"
 
 
