@@ -432,6 +432,18 @@ def test_templates_are_those_of_a_plain_tree(spark):
     assert {r.page_id: (r.template, round(r.purity, 9)) for r in found.collect()} == brute_templates(urls, bad)
 
 
+def test_very_long_paths_add_no_rounds(spark, monkeypatch):
+    word = lambda i, j: "".join(chr(97 + (7 * j + 3 * i + k) % 26) for k in range(3))
+    deep = [(10_000 + i, f"http://trap.example/{'/'.join(word(i, j) for j in range(500))}/{10_000 + i}") for i in range(2)]
+    urls = [(i, f"http://h.example/{'ab'[i % 2]}/x{i % 60}/p-{i}") for i in range(240)] + deep
+    bad = {i: i % 2 for i in range(240)} | {10_000: 1, 10_001: 0}
+    written = []
+    monkeypatch.setattr(url_templates, "staged", lambda df: written.append(1) or staged(df))
+    found = url_templates.judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(list(bad.items()), "label_id long, bad int"))
+    assert {r.page_id: (r.template, round(r.purity, 9)) for r in found.collect()} == brute_templates(urls, bad)
+    assert len(written) < 40
+
+
 def test_paths_are_told_apart_below_six_segments(spark):
     urls = [(i, f"http://h.io/a/b/c/d/e/f/g/{'evil' if i % 2 else 'good'}/{i}") for i in range(100)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "label_id long, bad int")

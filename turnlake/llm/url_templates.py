@@ -2,16 +2,19 @@
 
 Each host's paths form a tree of segments. Segments that vary are generalised: numbers and hexadecimal runs by their form,
 others where a node has more children than FANOUT and few pages for each. From the leaves up, children of a node whose
-labelled pages do not differ significantly from those of their siblings are merged. The tree is as deep as the deepest
-level at which paths of one host differ. A template is rejected when the
+labelled pages do not differ significantly from those of their siblings are merged. Levels are settled in rounds, and a host
+takes part in those only at which it can change: no node has more than FANOUT children where no more forms of the host are
+that long, and no child differs significantly where the host has no more than Z ^ 2 labelled pages. So a few very long
+paths add no round. A template is rejected when the
 smoothed share of bad pages among its labelled ones reaches REJECT. Rules come before templates.
 """
 
 from __future__ import annotations
 
 import string
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnlake.llm.shared import hot_join, staged, unstaged
@@ -71,29 +74,62 @@ def _told_apart(templates: DataFrame) -> int:
     return (differ.agg(F.max("depth")).first()[0] or 0) + 1
 
 
-def generalised(templates: DataFrame, levels: int) -> DataFrame:
-    """templates (host, forms, template, pages, labelled, bad), staged, with wildcards for children that vary, from the root down."""
-    total = templates.count()
-    for depth in range(levels):
-        below = _by_parent(templates, depth)
+def with_levels(templates: DataFrame) -> DataFrame:
+    """templates, staged, with the levels of their host at which wildcards can arise (wild_levels) and children can differ (own_levels), from the root down.
+
+    A score for two proportions is at most the root of the number of labelled pages, so Z ^ 2 of them never differ.
+    """
+    sizes = templates.groupBy("host", F.size("template").alias("size")).agg(F.count("*").alias("n"), F.sum("labelled").alias("m"))
+    longer = Window.partitionBy("host").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
+    reach = sizes.withColumns({"n_up": F.sum("n").over(longer), "m_up": F.sum("m").over(longer)})
+    deepest = lambda test: F.coalesce(F.max(F.when(test, F.col("size"))), F.lit(0))
+    hosts = reach.groupBy("host").agg(deepest(F.col("n_up") > FANOUT).alias("wild_levels"), deepest(F.col("m_up") > Z * Z).alias("own_levels"), F.sum("n").alias("rows"))
+    return staged(hot_join(templates, hosts, ["host"], F.xxhash64("host", "forms"), count="rows", total=templates.count()).drop("rows"))
+
+
+def _all_of(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def generalised(templates: DataFrame) -> list[DataFrame]:
+    """templates of with_levels() with wildcards for children that vary, from the root down, as staged parts; a host leaves the rounds at its last level."""
+    total, ends = templates.count(), {r[0] for r in templates.select("wild_levels").distinct().collect()}
+    settled, open_ones = [staged(templates.where("wild_levels = 0"))], staged(templates.where("wild_levels > 0"))
+    unstaged(templates)
+    for depth in range(max(ends, default=0)):
+        below = _by_parent(open_ones, depth)
         nodes = below.groupBy("parent", "child").agg(F.sum("pages").alias("pages"), F.count("*").alias("rows"))
         nodes = nodes.groupBy("parent").agg(F.count("*").alias("children"), F.sum("pages").alias("of_all"), F.sum("rows").alias("rows"))
         varies = (F.col("children") > FANOUT) & (F.col("of_all") < SUPPORT * F.col("children"))
         changed = hot_join(below, nodes, ["parent"], F.xxhash64("host", "forms"), count="rows", total=total).withColumn("template", F.when(varies, _with_segment("template", depth, F.lit(WILD))).otherwise(F.col("template")))
-        last, templates = templates, staged(changed.select(templates.columns).unionByName(templates.where(F.size("template") <= depth)))
+        last, open_ones = open_ones, staged(changed.select(open_ones.columns).unionByName(open_ones.where(F.size("template") <= depth)))
         unstaged(last)
-    return templates
+        if depth + 1 in ends:
+            settled.append(staged(open_ones.where(F.col("wild_levels") == depth + 1)))
+            last, open_ones = open_ones, staged(open_ones.where(F.col("wild_levels") > depth + 1))
+            unstaged(last)
+    unstaged(open_ones)
+    return settled
 
 
-def merged(templates: DataFrame, levels: int) -> DataFrame:
-    """templates with children merged that do not differ from their siblings, from the leaves up.
+def merged(parts: list[DataFrame], told_apart: int) -> list[DataFrame]:
+    """The templates of generalised() with children merged that do not differ from their siblings, from the leaves up, as staged parts; a host enters the rounds at its deepest level.
 
     A child's share of bad pages is held against that of all its siblings by the z-score for two proportions; a child
-    with no labelled page does not differ.
+    with no labelled page does not differ. Above told_apart no two paths of a host are the same but for deeper segments,
+    so what lies below it stays as it is.
     """
-    total = templates.count()
-    for depth in reversed(range(levels)):
-        below = _by_parent(templates, depth)
+    templates = _all_of(parts)
+    deeper = F.transform("template", lambda x, i: F.when((i >= F.col("own_levels")) & (i < told_apart), F.lit(MERGED)).otherwise(x))
+    waiting = staged(templates.withColumn("template", deeper))
+    unstaged(*parts)
+    total, begins = waiting.count(), {r[0] for r in waiting.select("own_levels").distinct().collect()}
+    open_ones = staged(waiting.limit(0))
+    for depth in reversed(range(max(begins, default=0))):
+        if depth + 1 in begins:
+            last, open_ones = open_ones, staged(open_ones.unionByName(waiting.where(F.col("own_levels") == depth + 1)))
+            unstaged(last)
+        below = _by_parent(open_ones, depth)
         child = below.groupBy("parent", "child").agg(F.sum("labelled").alias("m"), F.sum("bad").alias("k"), F.count("*").alias("rows"))
         node = child.groupBy("parent").agg(F.sum("m").alias("m_all"), F.sum("k").alias("k_all"))
         share, one = F.try_divide("k_all", "m_all"), F.lit(1.0)
@@ -102,10 +138,12 @@ def merged(templates: DataFrame, levels: int) -> DataFrame:
         gap = F.try_divide("k", "m") - F.try_divide(F.col("k_all") - F.col("k"), others)
         own = F.when((F.col("m") > 0) & (others > 0) & (error > 0), F.abs(gap) > Z * error).otherwise(F.lit(False))
         alike = child.join(node, "parent").select("parent", "child", own.alias("own"), "rows")
-        changed = hot_join(below, alike, ["parent", "child"], F.xxhash64("host", "forms"), count="rows", total=total).withColumn("template", F.when(F.col("own"), F.col("template")).otherwise(_with_segment("template", depth, F.lit(MERGED))))
-        last, templates = templates, staged(changed.select(templates.columns).unionByName(templates.where(F.size("template") <= depth)))
+        changed = hot_join(below, alike, ["parent", "child"], F.xxhash64("host", "forms"), count="rows", total=total).withColumn("template", F.when(F.col("own") | F.lit(depth >= told_apart), F.col("template")).otherwise(_with_segment("template", depth, F.lit(MERGED))))
+        last, open_ones = open_ones, staged(changed.select(open_ones.columns).unionByName(open_ones.where(F.size("template") <= depth)))
         unstaged(last)
-    return templates
+    done = staged(waiting.where("own_levels = 0"))
+    unstaged(waiting)
+    return [done, open_ones]
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules: tuple = RULES) -> DataFrame:
@@ -128,11 +166,13 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: tuple = RULES) -> DataFr
         .withColumn("template", F.col("forms"))
     )
     overall, total = counted.agg(F.try_divide(F.sum("bad"), F.sum("labelled")), F.sum("pages")).first()
-    overall, levels = overall or 0.0, _told_apart(counted)
-    tree = merged(generalised(counted, levels), levels)
+    overall = overall or 0.0
+    parts = merged(generalised(with_levels(counted)), _told_apart(counted))
+    tree = _all_of(parts)
     sums = tree.groupBy("host", "template").agg(F.sum("labelled").alias("m"), F.sum("bad").alias("k"))
     purity = (F.col("k") + PRIOR_PAGES * overall) / (F.col("m") + PRIOR_PAGES)
     named = staged(tree.select("host", "forms", "template", "pages").join(sums.select("host", "template", purity.alias("purity")), ["host", "template"]))
+    unstaged(counted, *parts)
     rule, ruled = matching_rule(F.col("host"), F.col("path"), rules)
     return hot_join(parsed, named, ["host", "forms"], by, count="pages", total=total).select(
         "page_id",
