@@ -22,9 +22,9 @@ STATE = "seq long, arrived long, pitch double, jitter double, shimmer double"
 
 
 class Calibration(StatefulProcessor):
-    """Samples of a key as list state, kept until they are finalized, cleared, or older than rest_ms."""
+    """Samples of a key as list state, kept until they are finalized, cleared, or have rested for rest_ms (None: for ever)."""
 
-    def __init__(self, rest_ms: int):
+    def __init__(self, rest_ms: int | None):
         self.rest_ms = rest_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -32,7 +32,7 @@ class Calibration(StatefulProcessor):
         self.samples = handle.getListState("samples", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentProcessingTimeInMs()
+        now = 0 if self.rest_ms is None else timerValues.getCurrentProcessingTimeInMs()
         held = [tuple(x) for x in self.samples.get()] if self.samples.exists() else []
         done = []
         for row in pd.concat(list(rows)).sort_values("seq").itertuples():
@@ -43,11 +43,13 @@ class Calibration(StatefulProcessor):
                     done.append((key[0], row.seq, *summary([x[2:] for x in held])))
                 held = []
         self.samples.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         if held:
             self.samples.put(held)
-            self.handle.registerTimer(now + self.rest_ms)
+        if self.rest_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if held:
+                self.handle.registerTimer(now + self.rest_ms)
         yield pd.DataFrame(done, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -65,13 +67,14 @@ def summary(samples: list[tuple[float, ...]]) -> tuple:
     return (len(table), *(round(float(x), 9) for name in MEASURES for x in (table[name].mean(), spread[name])))
 
 
-def stream_calibrations(events: DataFrame, rest_ms: int = 24 * 3600 * 1000) -> DataFrame:
+def stream_calibrations(events: DataFrame, rest_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
     """A stream (user_key string, seq long, kind string: sample, finalize or clear, and MEASURES) as one row (SCHEMA) for each finalize that has samples.
 
     Events of a key are taken by seq within a micro-batch, and micro-batches in order of arrival, so any cut of a key's
-    ordered events into micro-batches gives the same rows.
+    ordered events into micro-batches gives the same rows. A stream with timers, that is with rest_ms, runs until it is
+    stopped: micro-batches without data go on, so that samples are forgotten in time.
     """
-    return events.groupBy("user_key").transformWithStateInPandas(Calibration(rest_ms), SCHEMA, "append", "ProcessingTime")
+    return events.groupBy("user_key").transformWithStateInPandas(Calibration(rest_ms), SCHEMA, "append", "None" if rest_ms is None else "ProcessingTime")
 
 
 def calibrations(events: DataFrame) -> DataFrame:
