@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions.numbers import ratio
+from turnlake.operators import quantiles
 from turnlake.session import checkpointed
 
 
@@ -56,11 +57,18 @@ def group_by_place(cases: DataFrame, order: list[str], sizes: list[tuple[str, in
 
 
 def medians_of_medians(clips: DataFrame, speaker: str, decade: Column, value: str) -> DataFrame:
-    """(decade, speakers, p25, p50, p75): linear quartiles over the speakers' medians of their clips' values."""
-    own = clips.groupBy(speaker, decade.alias("decade")).agg(F.median(value).alias("m"))
-    quartiles = F.expr("percentile(m, array(0.25D, 0.5D, 0.75D))")
-    found = own.groupBy("decade").agg(F.count_distinct(speaker).alias("speakers"), quartiles.alias("q"))
-    return found.select("decade", "speakers", *[F.element_at("q", i + 1).alias(name) for i, name in enumerate(("p25", "p50", "p75"))])
+    """(decade, speakers, p25, p50, p75): linear quartiles over the speakers' medians of their clips' values, found by rounds of bucket counts."""
+    own = checkpointed(clips.groupBy(speaker, decade.alias("decade")).agg(F.median(value).alias("m")))
+    sizes = own.groupBy("decade").agg(F.count_distinct(speaker).alias("speakers"), F.count("m").alias("n"))
+    shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    place = lambda p: p * (F.col("n") - 1)
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(place(p)), F.ceil(place(p))) for p in shares.values()])))
+    met = quantiles.values_at(own, ["decade"], "m", sizes.select("decade", F.explode(ranks).alias("rank")))
+    packed = met.groupBy(F.col("decade").alias("_d")).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+    joined = sizes.join(packed, F.col("decade").eqNullSafe(F.col("_d")), "left")
+    at = lambda rank: F.try_element_at("at", rank)
+    between = lambda p: at(F.floor(place(p))) * (1 - (place(p) - F.floor(place(p)))) + at(F.ceil(place(p))) * (place(p) - F.floor(place(p)))
+    return joined.select("decade", "speakers", *[between(p).alias(name) for name, p in shares.items()])
 
 
 def in_band(value: Column, low: Column, high: Column) -> Column:

@@ -22,7 +22,7 @@ from turnlake.operators import scans
 
 @dataclass(frozen=True)
 class Rule:
-    """When a turn with one of actions (none: any) meets one of states (none: any), full says whether all fields must be set, outcome what must have been answered; then is the next state (none: as before)."""
+    """When a turn with one of actions (none: any) meets one of states (none: any), full says whether all fields must be set, lacks which must not be, outcome what must have been answered; then is the next state (none: as before)."""
 
     states: tuple[str, ...] = ()
     actions: tuple[str, ...] = ()
@@ -30,6 +30,7 @@ class Rule:
     full: bool | None = None
     outcome: str | None = None
     clears: tuple[str, ...] = ()
+    lacks: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -62,12 +63,12 @@ class Machine:
 
     def fits(self, rule: Rule, state: str, action: str | None, filled: int, outcome: str | None) -> bool:
         whole = filled == (1 << len(self.fields)) - 1
-        return (not rule.states or state in rule.states) and (not rule.actions or action in rule.actions) and rule.full in (None, whole) and rule.outcome in (None, outcome)
+        return (not rule.states or state in rule.states) and (not rule.actions or action in rule.actions) and rule.full in (None, whole) and rule.outcome in (None, outcome) and not filled & self.mask(rule.lacks)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """The rules as rows (place, state, action, full, outcome, next, clears), one for each state and action that a rule names; null stands for any, or for staying."""
-        rows = [(i, s, a, r.full, r.outcome, r.then, list(r.clears)) for i, r in enumerate(self.rules, 1) for s in r.states or (None,) for a in r.actions or (None,)]
-        return spark.createDataFrame(rows, "place int, state string, action string, full boolean, outcome string, next string, clears array<string>")
+        """The rules as rows (place, state, action, full, outcome, next, clears, lacks), one for each state and action that a rule names; null stands for any, or for staying."""
+        rows = [(i, s, a, r.full, r.outcome, r.then, list(r.clears), list(r.lacks)) for i, r in enumerate(self.rules, 1) for s in r.states or (None,) for a in r.actions or (None,)]
+        return spark.createDataFrame(rows, "place int, state string, action string, full boolean, outcome string, next string, clears array<string>, lacks array<string>")
 
 
 def folded(turns: DataFrame, machine: Machine, key: str, order: str, hot_rows: int = scans.HOT_ROWS, blocks: int = scans.BLOCKS) -> DataFrame:
@@ -211,3 +212,37 @@ APPOINTMENT = Machine(
         Rule(then="collecting_appointment_info"),
     ),
 )
+
+_ASKED = ("department", "date", "time", "user_name")
+
+
+def _asking(states: tuple[str, ...], actions: tuple[str, ...] = (), fields: tuple[str, ...] = _ASKED) -> tuple[Rule, ...]:
+    """Rules that ask for the first field that is lacking, in order, or else confirm; without a date no time is kept after a change of date."""
+    dated = [Rule(states, actions, f"asking_{x}", lacks=(x, "date"), clears=("time",)) for x in fields[:2]] if actions == ("change_date",) else []
+    return (*dated, *(Rule(states, actions, f"asking_{x}", lacks=(x,)) for x in fields), Rule(states, actions, _CONFIRMING))
+
+
+#: A visit to a clinic, asked for field by field; the field purpose is set once the caller wants to reserve.
+CLINIC = Machine(
+    "clinic",
+    (
+        "greeting", "asking_purpose", *(f"asking_{x}" for x in _ASKED), _CONFIRMING, "checking_availability", "reservation_available", "reservation_unavailable",
+        "suggest_alternative", "reservation_confirmed", "closing", "END",
+    ),
+    ("purpose", *_ASKED),
+    (
+        Rule(("closing",), ("end_call",), "END"),
+        Rule((_CONFIRMING,), ("confirm_reservation_info",), "checking_availability"),
+        *_asking((_CONFIRMING, "reservation_unavailable", "suggest_alternative"), ("change_date",)),
+        *_asking((_CONFIRMING,), ("change_department", "change_time", "change_user_name")),
+        Rule(("greeting", "asking_purpose"), then="asking_purpose", lacks=("purpose",)),
+        *_asking(("greeting", "asking_purpose")),
+        *(rule for i, x in enumerate(_ASKED) for rule in _asking((f"asking_{x}",), fields=_ASKED[i:])),
+        Rule(("checking_availability",), then="reservation_available", outcome="available"),
+        Rule(("checking_availability",), then="reservation_unavailable", outcome="unavailable"),
+        Rule(("reservation_available",), ("confirm_available_time",), "reservation_confirmed"),
+        Rule(("reservation_available", "reservation_unavailable", "suggest_alternative"), ("ask_other_time",), "suggest_alternative"),
+        Rule(("reservation_unavailable", "suggest_alternative"), ("select_alternative_time",), "reservation_confirmed", outcome="offered"),
+        Rule(("reservation_confirmed",), ("go_closing",), "closing"),
+    ),
+)

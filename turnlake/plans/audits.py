@@ -537,9 +537,9 @@ def relation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.conditional_counts(table(spark, sf_dir, "events"), ["event_type"], {"direct": v > 50, "confirm": v.between(10, 50), "missed": (v < 10) & (F.col("user_id") % 2 == 0)})
 
 
-@query("SELECT user_id, count(*) AS runs, count(DISTINCT coalesce(event_type, 'x')) AS outcomes, count(DISTINCT coalesce(event_type, 'x')) = 1 AS stable FROM events WHERE value > 100 GROUP BY 1")
+@query("SELECT user_id, count(*) AS runs, count(DISTINCT coalesce(event_type, 'x')) AS outcomes, count(DISTINCT coalesce(event_type, 'x')) = 1 AS stable FROM events GROUP BY 1")
 def repeat_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.repeat_consistency(table(spark, sf_dir, "events").where("value > 100"), ["user_id"], F.col("event_type"))
+    return groups.repeat_consistency(table(spark, sf_dir, "events"), ["user_id"], F.col("event_type"))
 
 
 @query('SELECT "group", count(*) AS n, sum(s_acctbal)::DECIMAL(18,2)::DOUBLE AS total FROM (SELECT s_acctbal, CASE WHEN r <= 10 THEN \'fixed\' WHEN r <= 25 THEN \'fresh\' ELSE \'rest\' END AS "group" FROM (SELECT s_acctbal, row_number() OVER (ORDER BY s_name, s_suppkey) AS r FROM supplier) WHERE r <= 60) GROUP BY 1')
@@ -795,17 +795,17 @@ def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _folded_sql(machine: machines.Machine, turns: str) -> str:
     """turns (user_id, event_id, action, gives, takes, outcome; gives and takes as bits) one after the other through the machine's rules, which are written out as rows."""
     text = lambda x: "NULL" if x is None else f"'{x}'"
-    rules = [f"({i}, {text(s)}, {text(a)}, {'NULL' if r.full is None else str(r.full).upper()}, {text(r.outcome)}, {text(r.then)}, {machine.mask(r.clears)})" for i, r in enumerate(machine.rules) for s in r.states or (None,) for a in r.actions or (None,)]
+    rules = [f"({i}, {text(s)}, {text(a)}, {'NULL' if r.full is None else str(r.full).upper()}, {text(r.outcome)}, {text(r.then)}, {machine.mask(r.clears)}, {machine.mask(r.lacks)})" for i, r in enumerate(machine.rules) for s in r.states or (None,) for a in r.actions or (None,)]
     states, all_of = ", ".join(f"('{x}')" for x in machine.states), (1 << len(machine.fields)) - 1
     named = ", ".join(f"CASE WHEN filled & {1 << i} > 0 THEN '{x}' END" for i, x in enumerate(machine.fields))
     return f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM ({turns})),
-r AS (SELECT * FROM (VALUES {", ".join(rules)}) AS r(place, of_state, of_action, is_full, of_outcome, then_state, clears)),
-c AS (SELECT s.state, a.action, o.outcome, b.whole FROM (VALUES {states}) AS s(state), (SELECT DISTINCT action FROM t) a, (SELECT DISTINCT outcome FROM t) o, (VALUES (TRUE), (FALSE)) AS b(whole)),
-p AS (SELECT c.*, min(r.place) AS place FROM c LEFT JOIN r ON (of_state IS NULL OR of_state = state) AND (of_action IS NULL OR of_action = action) AND (is_full IS NULL OR is_full = whole) AND (of_outcome IS NULL OR of_outcome = outcome) GROUP BY ALL),
-m AS (SELECT DISTINCT state, action, outcome, whole, coalesce(then_state, state) AS next, coalesce(clears, 0) AS clears FROM p LEFT JOIN r USING (place)),
+r AS (SELECT * FROM (VALUES {", ".join(rules)}) AS r(place, of_state, of_action, is_full, of_outcome, then_state, clears, lacks)),
+c AS (SELECT s.state, a.action, o.outcome, b.held FROM (VALUES {states}) AS s(state), (SELECT DISTINCT action FROM t) a, (SELECT DISTINCT outcome FROM t) o, range(0, {all_of + 1}) AS b(held)),
+p AS (SELECT c.*, min(r.place) AS place FROM c LEFT JOIN r ON (of_state IS NULL OR of_state = state) AND (of_action IS NULL OR of_action = action) AND (is_full IS NULL OR is_full = (held = {all_of})) AND (held & lacks) = 0 AND (of_outcome IS NULL OR of_outcome = outcome) GROUP BY ALL),
+m AS (SELECT DISTINCT state, action, outcome, held, coalesce(then_state, state) AS next, coalesce(clears, 0) AS clears FROM p LEFT JOIN r USING (place)),
 f AS (SELECT DISTINCT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS n, '{machine.states[0]}' AS state, 0 AS filled FROM t
 UNION ALL SELECT t.user_id, t.event_id, t.n, m.next, (((f.filled | t.gives) & ({all_of} - t.takes)) & ({all_of} - m.clears))::INT FROM f JOIN t ON t.user_id = f.user_id AND t.n = f.n + 1
-JOIN m ON m.state = f.state AND m.action IS NOT DISTINCT FROM t.action AND m.outcome IS NOT DISTINCT FROM t.outcome AND m.whole = (((f.filled | t.gives) & ({all_of} - t.takes)) = {all_of}))
+JOIN m ON m.state = f.state AND m.action IS NOT DISTINCT FROM t.action AND m.outcome IS NOT DISTINCT FROM t.outcome AND m.held = ((f.filled | t.gives) & ({all_of} - t.takes)))
 SELECT user_id, event_id, state, concat_ws(',', {named}) AS filled FROM f WHERE n > 0"""
 
 
@@ -839,6 +839,17 @@ def restaurant_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folded(spark, sf_dir, machines.RESTAURANT, action, gives, F.when((e % 9 == 1) & (e % 2 == 0), "date"), pick("event_id", 3, F.lit("available"), F.lit("unavailable"), F.lit("offered")))
 
 
+_VISIT = ("confirm_reservation_info", "change_date", "confirm_available_time", "ask_other_time", "select_alternative_time", "change_department", "go_closing", "tell", "tell", "tell", "tell")
+
+
+@query(_folded_sql(machines.CLINIC, f"SELECT user_id, event_id, CASE WHEN event_id % 59 = 0 THEN 'end_call' ELSE {list(_VISIT)}[event_id % 11 + 1] END AS action, [1, 2, 4, 8, 16, 0, 0][event_id % 7 + 1] AS gives, CASE WHEN event_id % 11 = 1 THEN 4 WHEN event_id % 11 = 5 THEN 2 ELSE 0 END AS takes, ['available', 'unavailable', 'offered'][event_id % 3 + 1] AS outcome FROM events"))
+def clinic_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    action = F.when(e % 59 == 0, "end_call").otherwise(pick("event_id", 11, *[F.lit(x) for x in _VISIT]))
+    takes = F.when(e % 11 == 1, "date").when(e % 11 == 5, "department")
+    return _folded(spark, sf_dir, machines.CLINIC, action, pick("event_id", 7, *[F.lit(x) for x in machines.CLINIC.fields]), takes, pick("event_id", 3, F.lit("available"), F.lit("unavailable"), F.lit("offered")))
+
+
 @query(_folded_sql(machines.APPOINTMENT, f"SELECT user_id, event_id, CASE WHEN event_id % 41 = 0 THEN 'end_call' ELSE {list(_MET)}[event_id % 5 + 1] END AS action, [1, 2, 4, 8, 0, 0][event_id % 6 + 1] AS gives, CASE WHEN event_id % 5 = 1 THEN 4 ELSE 0 END AS takes, NULL AS outcome FROM events"))
 def appointment_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
@@ -952,10 +963,10 @@ def ordered_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.row_number().over(Window.orderBy(*order)).alias("rank"))
 
 
-@query("SELECT text_hash, count(*) AS cnt FROM (SELECT sha256(text) AS text_hash FROM conversations WHERE role = 'user' UNION ALL SELECT sha256(text) FROM benchmark) GROUP BY 1")
+@query("SELECT text_hash, count(*) AS cnt FROM (SELECT sha256(text) AS text_hash FROM conversations UNION ALL SELECT sha256(text) FROM benchmark) GROUP BY 1")
 def concatenated_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashed = lambda df: df.select(F.sha2("text", 256).alias("text_hash"))
-    return counted(hashed(table(spark, sf_dir, "conversations").where("role = 'user'")).unionByName(hashed(table(spark, sf_dir, "benchmark"))), "text_hash")
+    return counted(hashed(table(spark, sf_dir, "conversations")).unionByName(hashed(table(spark, sf_dir, "benchmark"))), "text_hash")
 
 
 # Drafts, registries and designs
