@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions.numbers import f1, ratio
+from turnlake.operators import contracts
 
 FAILED = "__contract_failure__"
 #: Counters of a case, summed for a group of cases.
@@ -146,6 +147,22 @@ def revalidated(predictions: DataFrame, rules: Column) -> DataFrame:
     return predictions.withColumn("attempts", checked)
 
 
+def validated(predictions: DataFrame, states: DataFrame, fields: DataFrame, actions: DataFrame, rules: DataFrame) -> DataFrame:
+    """predictions whose attempts are valid only if they say so and break no rule of their contract (operators.contracts.violations).
+
+    states: case_id, scenario, state of each case; fields, actions and rules are the contract's tables. Every attempt is an
+    output of its own, told apart by its place; a case without a state breaks the contract with each attempt.
+    """
+    each = predictions.select("case_id", F.posexplode("attempts").alias("place", "a")).join(states, "case_id", "left")
+    outputs = each.select(F.struct("case_id", "place").alias("case_id"), F.coalesce("scenario", F.lit("")).alias("scenario"), "state", F.col("a.action").alias("action"), F.col("a.fields").alias("fields"))
+    broken = contracts.violations(outputs, fields, actions, rules).select("case_id").distinct()
+    places = broken.groupBy("case_id.case_id").agg(F.collect_set("case_id.place").alias("_broken"))
+    joined = predictions.join(places, "case_id", "left")
+    stands = lambda i: ~F.coalesce(F.array_contains("_broken", i), F.lit(False))
+    checked = F.transform("attempts", lambda a, i: a.withField("valid", F.coalesce(a["valid"] & stands(i), F.lit(False))))
+    return joined.withColumn("attempts", checked).drop("_broken")
+
+
 def two_models(cases: DataFrame, baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     """(case_id, the cases' other columns but labels, b, c): whether each model is exact, cases read once and both predictions joined by id."""
     both = baseline.select("case_id", F.lit("b").alias("model"), "attempts").unionByName(candidate.select("case_id", F.lit("c").alias("model"), "attempts"))

@@ -655,6 +655,23 @@ def case_scores_revalidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.agg(F.count("*").alias("cases"), *[F.sum(x).alias(x) for x in ("final_pass", "exact", "fn", "hallucinated")])
 
 
+_BY_CONTRACT = _flags_sql(BASELINE).replace("doc_id % 13 <> 0 AS valid", "doc_id % 13 <> 0 AND NOT (CASE WHEN doc_id % 6 = 0 THEN doc_id % 5 = 0 WHEN n_chars < 200 THEN lang <> 'en' ELSE doc_id % 7 = 0 END) AS valid")
+
+
+@query(f"SELECT count(*) AS cases, sum(final_pass)::BIGINT AS final_pass, sum(exact)::BIGINT AS exact, sum(fn)::BIGINT AS fn, sum(hallucinated)::BIGINT AS hallucinated FROM {_BY_CONTRACT}")
+def case_scores_by_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline's scores with each attempt held against the whole contract: a change sets a size, a keep a language, and only English cases may be dropped."""
+    of = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    fields = of([("case", "lang", None), ("case", "size", "small"), ("case", "size", "large")], "scenario string, field string, option string")
+    actions = of([("case", x, y) for x in ("en", "fr", "de", "es") for y in ("keep", "change", *(["drop"] if x == "en" else []))], "scenario string, state string, action string")
+    rules = [("case", "keep", ["lang", "size"], ["lang"], False), ("case", "change", ["lang", "size"], ["size"], False), ("case", "drop", ["lang", "size"], [], False)]
+    rules = of(rules, "scenario string, action string, allowed array<string>, required array<string>, require_any boolean")
+    states = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.lit("case").alias("scenario"), F.col("lang").alias("state"))
+    checked = scoring.validated(_predictions(spark, sf_dir, BASELINE), states, fields, actions, rules)
+    flags = scoring.case_flags(_cases(spark, sf_dir), checked)
+    return flags.agg(F.count("*").alias("cases"), *[F.sum(x).alias(x) for x in ("final_pass", "exact", "fn", "hallucinated")])
+
+
 # Coverage
 
 
