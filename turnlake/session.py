@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,15 +28,22 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     return spark
 
 
+#: Folders for sessions that name none.
+_LOCAL: dict[str, str] = {}
+
+
 def checkpointed(rows: DataFrame) -> DataFrame:
-    """rows written to the shared folder of spark.checkpoint.dir and read from there: cuts lineage and outlives executors.
+    """rows written as Parquet to the shared folder of spark.checkpoint.dir and read back: cuts lineage and outlives executors.
 
-    A session on this machine that names none, as in tests, gets a temporary folder; a cluster must name one.
+    A written table also has a known size, where a plan that grows round by round would have ever larger estimates. A
+    session on this machine that names no folder, as in tests, gets a temporary one; a cluster must name one.
     """
-    context = rows.sparkSession.sparkContext
-    folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        if folder is None and not context.master.startswith("local[") and context.master != "local":
+    spark = rows.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="turnlake-checkpoint-"))
-    return rows.checkpoint()
+        folder = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="turnlake-checkpoint-"))
+    path = f"{folder.rstrip('/')}/rows-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
