@@ -33,6 +33,8 @@ CHUNK_CHARS, CHUNK_DOCS = 8 << 20, 8_000
 #: Segments that a task tokenises at once, and those whose tokens it holds before it hands them on.
 SEGMENTS, HELD = 5_000, 500_000
 SPACE = "▁"
+#: Effort at which tokens are compressed: they repeat each other, where numbers of segments are merely small.
+LEVEL = 9
 #: What follows an id in a list of groups.
 SEPARATORS = ",|;"
 
@@ -164,7 +166,7 @@ def packed_codes(listed: DataFrame, a_path: str, b_path: str) -> DataFrame:
             for i, j in zip(cuts, cuts[1:], strict=False):
                 some = [codes[x] for x in order[i:j].tolist()]
                 sizes = np.array([len(x) for x in some], dtype="<i4")
-                row = [[int(chunk[order[i]])], [squeezed(place[order[i:j]])], [squeezed(sizes)], [squeezed(np.frombuffer(b"".join(some), own.kind))]]
+                row = [[int(chunk[order[i]])], [squeezed(place[order[i:j]])], [squeezed(sizes)], [zstandard.compress(b"".join(some), LEVEL)]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
@@ -197,19 +199,18 @@ def filled(row: pd.DataFrame, packs: pd.DataFrame, kind: str) -> pd.DataFrame:
     """A chunk's row with the tokens of its segments, in the order of its list; a segment that does not fit has none."""
     codes = [b""] * sum(len(unsqueezed(x, "<i4")) for x in packs["places"])
     for places, sizes, data in zip(packs["places"], packs["sizes"], packs["codes"], strict=True):
-        whole, end = unsqueezed(data, kind).tobytes(), 0
+        whole, end = zstandard.decompress(data), 0
         for place, size in zip(unsqueezed(places, "<i4").tolist(), unsqueezed(sizes, "<i4").tolist(), strict=True):
             codes[place] = whole[end : end + size]
             end += size
     width = np.dtype(kind).itemsize
     n_a = [int.from_bytes(x[:4], "little") for x in codes]
     middle = [4 + n * width for n in n_a]
-    packed = lambda x, of=kind: squeezed(np.frombuffer(x, of) if isinstance(x, bytes) else np.array(x, dtype=of))
     return row[["chunk", "ids", "lengths", "order"]].assign(
-        n_a=packed(n_a, "<i4"),
-        n_b=packed([(len(x) - m) // width for x, m in zip(codes, middle, strict=True)], "<i4"),
-        a=packed(b"".join([x[4:m] for x, m in zip(codes, middle, strict=True)])),
-        b=packed(b"".join([x[m:] for x, m in zip(codes, middle, strict=True)])),
+        n_a=squeezed(np.array(n_a, dtype="<i4")),
+        n_b=squeezed(np.array([(len(x) - m) // width for x, m in zip(codes, middle, strict=True)], dtype="<i4")),
+        a=zstandard.compress(b"".join([x[4:m] for x, m in zip(codes, middle, strict=True)]), LEVEL),
+        b=zstandard.compress(b"".join([x[m:] for x, m in zip(codes, middle, strict=True)]), LEVEL),
     )
 
 
@@ -223,7 +224,7 @@ class Chunk:
     def __init__(self, row: dict, own: Pair):
         self.own, self.ids, self.lengths = own, row["ids"], np.asarray(row["lengths"], dtype=np.int64)
         self.order = unsqueezed(row["order"], "<i4")
-        self.a, self.b = (unsqueezed(row[x], own.kind).astype(np.int64) for x in ("a", "b"))
+        self.a, self.b = (np.frombuffer(zstandard.decompress(row[x]), own.kind).astype(np.int64) for x in ("a", "b"))
         self.n_a, self.n_b = (unsqueezed(row[x], "<i4").astype(np.int64) for x in ("n_a", "n_b"))
         self.ends_a, self.ends_b = np.cumsum(own.a_length[self.a]), np.cumsum(own.b_length[self.b])
         cuts = np.union1d(self.ends_a, self.ends_b)
