@@ -63,9 +63,13 @@ class Pair:
         self.shown = [f"{i}{x}" for x in SEPARATORS for i in range(max(len(self.a_bytes), len(pieces)))]
         #: Characters that some piece has before a space inside it: after these a text is not split.
         self.joined = "".join(sorted({x for piece in pieces for x, y in zip(piece, piece[1:], strict=False) if y == SPACE}))
-        plain = self.b.encode("  a   ÅÅﬁ  ") if pieces else []
-        #: A vocabulary whose processor changes texts could do so across a border, so then texts stay whole.
-        self.whole = b"".join([self.b_bytes[i] for i in plain]) != "   a   ÅÅﬁ  ".encode()
+        odd = "  a   \u00c5A\u030a\ufb01  "  # spaces in a row, and letters with other forms
+        plain = b"".join([self.b_bytes[i] for i in self.b.encode(odd)])
+        with open(a_path) as file:
+            said = json.load(file)
+        splits = said["normalizer"] is None and said["pre_tokenizer"]["type"] == "ByteLevel" and said["pre_tokenizer"]["use_regex"]
+        #: Tokenizers that change texts, or split them otherwise, could do so across a border, so with these texts stay whole.
+        self.whole = not splits or plain != (" " + odd).encode()
         self.border = re.compile(rf" (?<=[^\s{re.escape(self.joined)}] )(?=\S)")
 
     def segments(self, text: str) -> list[str]:
