@@ -37,8 +37,8 @@ def runs(log: DataFrame, key: str, order: list[str], inside: Column, least: int,
     by: a number that rises with order (default: the first order column).
     """
     placed = scans.in_blocks(log.select(key, *order, inside.alias("inside"), (F.col(order[0]) if by is None else by).alias("_by")), key, F.col("_by"))
-    marked = scans.with_previous(placed, key, order, "before", F.col("inside"))
-    marked = marked.withColumn("starts", (F.col("inside") & ~F.coalesce("before", F.lit(False))).cast("long"))
+    before = scans.with_previous(placed, key, order, "before", F.col("inside"))
+    marked = scans.as_before(before, before.withColumn("starts", (F.col("inside") & ~F.coalesce("before", F.lit(False))).cast("long")))
     numbered = scans.with_running_sum(marked, key, order, "run", F.col("starts")).where("inside")
     return numbered.groupBy(key, "run").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
