@@ -237,6 +237,17 @@ def test_base_identifiers_are_the_brute_force(spark, documents):
         assert set(base) - {""} <= set(found[d].spans.split(","))
 
 
+def test_base_identifiers_are_counted_by_kind(spark, tmp_path):
+    texts = [None, "", "a@b.de 4111 1111 1111 1111", "1.2.3.4 5.6.7.8 +1 (555) 010-9999", "x@y.fr one@two.org jane dot doe at mail dot nl"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in entries.QUERIES["op8_pii_transducer"](spark, str(tmp_path)).collect()}
+    for d, text in enumerate(texts):
+        base = base_pii(text)
+        assert [found[d][f"n_{kind}"] for kind in pii_transducer.KINDS] == [sum(x.startswith(f"{kind}:") for x in base) for kind in pii_transducer.KINDS]
+        assert found[d].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+    assert found[4].n_added == 1
+
+
 def test_disguised_identifiers_keep_their_offsets():
     for text, kind, part in (
         ("write to jane dot doe at example dot com now", 0, "jane dot doe at example dot com"),

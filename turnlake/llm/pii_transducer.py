@@ -333,7 +333,9 @@ def _listed(spans: Column) -> Column:
 
 def op8_pii_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    # a lambda of two parameters would be given the place in the array as its second
+    plain_of = lambda k: F.filter("spans", lambda x: x["base"] & (x["kind"] == k))
+    counts = [F.size(plain_of(k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return found.select(
         "doc_id",
         *counts,
