@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+import time
 
-from turnlake.operators import graphs, quotes
+from pyspark.sql import functions as F
+
+from turnlake.operators import evidence, graphs, quotes
 
 
 def test_places_are_those_of_plain_search():
@@ -29,6 +32,25 @@ def test_located_and_anchored(spark):
     assert quotes.located(texts, asked.limit(0), "d", "t", "q", "x").count() == 0
 
 
+def test_quotes_in_clauses_are_those_of_plain_search(spark):
+    r = random.Random(3)
+    parts = ["a", "b", "aa", "☃", "\U0001d7d9", "\\E", "\\Q", "\\", ".", "(", "\n"]
+    draw = lambda most: "".join(r.choice(parts) for _ in range(r.randint(0, most)))
+    rows = [(i, draw(30), draw(3)) for i in range(300)] + [(300, None, "a"), (301, "a", None), (302, "ab", "abc")]
+    found = spark.createDataFrame(rows, "i int, t string, q string").select("i", evidence.occurrences(F.col("t"), F.col("q")).alias("at"), evidence.occurrence_count(F.col("t"), F.col("q")).alias("n"))
+    for row in found.collect():
+        _, text, quote = rows[row.i]
+        plain = [k for k in range(len(text)) if text.startswith(quote, k)] if text and quote else []
+        assert (row.at, row.n) == (plain, len(plain)), rows[row.i]
+
+
+def test_a_quote_in_a_long_clause_is_found_in_one_pass(spark):
+    rows = spark.createDataFrame([(["ab " * 200_000 + "the end", "x"],)], "c array<string>")
+    begin = time.time()
+    assert tuple(rows.select(evidence.relocated(F.col("c"), F.lit("the ")).alias("r")).first().r) == ("wrong_clause_unique", 1)
+    assert time.time() - begin < 20
+
+
 def test_chains_are_walks(spark):
     r = random.Random(2)
     edges, plain = [], {}
