@@ -7,6 +7,8 @@ length in each round, so a chain of n edges takes log2(n) rounds, and no case is
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,13 @@ def owner_faults(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     name. Several faults of one node are several rows.
     """
     known = nodes.select("case", "node").distinct().withColumn("_known", F.lit(True))
-    ends = edges.groupBy("case", "node").agg(F.count_distinct("owner").alias("owners"), F.count("*").alias("n"), F.count_distinct("owner", "kind").alias("kinds"), F.max((F.col("node") == F.col("owner")).cast("int")).alias("self"))
+    # one exchange of the edges: what lies by (case, node) also has the edges of one owner and kind together
+    alike = edges.repartition("case", "node").groupBy("case", "node", "owner", "kind").agg(F.count("*").alias("n"))
+    whole = F.col("owner").isNotNull() & F.col("kind").isNotNull()
+    ends = alike.groupBy("case", "node").agg((F.min("owner") != F.max("owner")).alias("several"), F.max((F.col("n") > 1) | ~whole).alias("again"), F.max(F.col("node") == F.col("owner")).alias("self"))
     ends = ends.join(known, ["case", "node"], "left")
-    tests = ((F.col("owners") > 1, "several_owners"), (F.col("self") == 1, "edge_to_itself"), (F.col("n") > F.col("kinds"), "repeated_edge"), (F.col("_known").isNull(), "edge_of_nobody"))
-    own = ends.select("case", "node", F.explode(F.array_compact(F.array(*[F.when(test, code) for test, code in tests]))).alias("fault"))
+    tests = (("several", "several_owners"), ("self", "edge_to_itself"), ("again", "repeated_edge"), (F.col("_known").isNull(), "edge_of_nobody"))
+    own = ends.select("case", "node", F.explode(F.array_compact(F.array(*[F.when(F.col(test) if isinstance(test, str) else test, code) for test, code in tests]))).alias("fault"))
     lost = edges.join(known.withColumnRenamed("node", "owner"), ["case", "owner"], "left").where("_known is null").select("case", "node", F.lit("owner_missing").alias("fault")).distinct()
     return own.unionByName(lost)
 
@@ -38,7 +43,8 @@ def chains(edges: DataFrame, faults: DataFrame | None = None) -> DataFrame:
 
     edges: case, node, owner, kind, one owner for each node (of several the least is followed); faults: case, node, fault,
     of which a chain has the first by name of all nodes that it passes. circle: the chain never ends; it then has no root.
-    A chain that ran for more edges than its case has nodes with edges has met one twice.
+    A chain that ran for more edges than any case has nodes with edges has met one twice. Only chains whose end is not yet
+    known go into the next round and are written again.
     """
     known = edges.where("case is not null and node is not null and owner is not null")
     step = known.groupBy("case", "node").agg(F.min(F.struct("owner", "kind")).alias("edge")).select("case", "node", F.col("edge.owner").alias("to"), F.col("edge.kind").alias("kind"))
@@ -46,20 +52,24 @@ def chains(edges: DataFrame, faults: DataFrame | None = None) -> DataFrame:
         step = step.withColumn("fault", F.lit(None).cast("string"))
     else:
         step = step.join(faults.groupBy("case", "node").agg(F.min("fault").alias("fault")), ["case", "node"], "left")
-    at = checkpointed(step.join(step.groupBy("case").agg(F.count("*").alias("_size")), "case").withColumn("length", F.lit(1).cast("long")))
-    on = lambda x: x.select("case", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("kind").alias("_kind"), F.col("fault").alias("_fault"), F.col("length").alias("_length"))
-    while at.where(F.col("length") <= F.col("_size")).join(on(at), ["case", "to"], "left_semi").limit(1).count():
-        moved = at.join(on(at), ["case", "to"], "left")
-        goes = F.col("_to").isNotNull() & (F.col("length") <= F.col("_size"))
-        further = lambda new, old: F.when(goes, new).otherwise(old)
-        at = checkpointed(
-            moved.select(
-                "case", "node", further(F.col("_to"), F.col("to")).alias("to"), further(F.col("_kind"), F.col("kind")).alias("kind"),
-                further(F.least("fault", "_fault"), F.col("fault")).alias("fault"), "_size", (F.col("length") + further(F.col("_length"), F.lit(0))).alias("length"),
+    going, ended = checkpointed(step.withColumns({"length": F.lit(1).cast("long"), "done": F.lit(False)})), []
+    most = going.groupBy("case").count().agg(F.max("count")).first()[0] or 0
+    while going.limit(1).count():
+        at = reduce(DataFrame.unionByName, [*ended, going])
+        ahead = at.select("case", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("kind").alias("_kind"), F.col("fault").alias("_fault"), F.col("length").alias("_length"), F.col("done").alias("_done"))
+        length = F.col("length") + F.coalesce("_length", F.lit(0))
+        further = lambda new, old: F.when(F.col("_to").isNotNull(), F.col(new)).otherwise(F.col(old)).alias(old)
+        moved = checkpointed(
+            going.join(ahead, ["case", "to"], "left").select(
+                "case", "node", further("_to", "to"), further("_kind", "kind"), F.least("fault", "_fault").alias("fault"),
+                length.alias("length"), (F.coalesce("_done", F.lit(True)) | (length > most)).alias("done"),
             )
         )
-    circle = F.col("length") > F.col("_size")
+        ended.append(moved.where("done"))
+        going = moved.where("not done")
+    circle = F.col("length") > most
     unless = lambda x: F.when(~circle, F.col(x)).alias("root" if x == "to" else x)
+    at = reduce(DataFrame.unionByName, [*ended, going])
     return at.select("case", "node", unless("to"), unless("length"), circle.alias("circle"), unless("kind"), "fault")
 
 

@@ -16,6 +16,7 @@ from turnlake.functions.numbers import epoch_seconds, years_between
 from turnlake.functions.text import clauses, first_given, labelled, options_text, overlaps, rendered, scenario_key
 from turnlake.operators import baselines, contracts, coverage, dialogues, drafts, evidence, graphs, groups, integrity, ledgers, machines, quotes, scoring, validation
 from turnlake.plans.catalogue import BASELINE, CANDIDATE, _cases, _flags_sql, _pairs, _predictions, table
+from turnlake.session import checkpointed
 from turnlake.sources import files
 from turnlake.streaming import calibration
 
@@ -332,7 +333,7 @@ def evidence_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders as a graph: each order belongs to the one before it, with circles, second owners and owners that do not exist."""
     over = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     k, c = F.col("node"), F.col("case")
-    marked = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case"), F.col("o_orderkey").alias("node"), "o_orderstatus", F.row_number().over(over).alias("n"), F.lag("o_orderkey").over(over).alias("before"), F.lag("o_orderkey", 2).over(over).alias("earlier"), F.max("o_orderkey").over(Window.partitionBy("o_custkey")).alias("last"))
+    marked = checkpointed(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case"), F.col("o_orderkey").alias("node"), "o_orderstatus", F.row_number().over(over).alias("n"), F.lag("o_orderkey").over(over).alias("before"), F.lag("o_orderkey", 2).over(over).alias("earlier"), F.max("o_orderkey").over(Window.partitionBy("o_custkey")).alias("last")))
     owner = F.when(k % 17 == 0, -1).when(F.col("n") > 1, F.col("before")).when(c % 11 == 0, F.col("last"))
     kind = pick("node", 6, *[F.lit(x) for x in (*graphs.CURRENT, *graphs.OTHER, "unresolved")])
     edges = marked.select("case", "node", owner.cast("long").alias("owner"), kind.alias("kind")).unionByName(marked.where(k % 13 == 0).select("case", "node", F.col("earlier").alias("owner"), F.lit("part_of").alias("kind"))).where("owner is not null")
