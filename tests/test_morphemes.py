@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import random
+import tracemalloc
 
 import pytest
 
@@ -53,6 +55,19 @@ def test_new_words_and_long_ones(lexicon):
     assert own.reading("q" * 20_000) == [("q" * 20_000, "unknown")]
 
 
+def test_a_large_lexicon_takes_little_more_than_its_stems():
+    r = random.Random(4)
+    stems = {"".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 12))): 1.0 for _ in range(20_000)}
+    lexicon = morphemes.Lexicon(stems, {"": 0.7, "s": 1.1})
+    tracemalloc.start()
+    try:
+        own = morphemes.Analyzer(lexicon)
+        assert all(own.likeliest(x) for x in stems)
+        assert tracemalloc.get_traced_memory()[1] < 2_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_a_noun_counts_once_for_each_of_its_forms(spark):
     turns = spark.createDataFrame([(i, "user", x) for i, x in enumerate(KOREAN)], "i int, role string, text string")
     found = morphemes.fit(turns, "text", morphemes.KOREAN_ENDINGS, morphemes.KOREAN_INTERJECTIONS)

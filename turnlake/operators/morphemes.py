@@ -5,18 +5,20 @@ lists of a language, which the caller gives; stems are learned. The distinct wor
 left when endings are taken off; EM then shares each word's count among its readings (an expectation over the paths of its
 lattice, forward and backward) and re-estimates how likely every stem and every ending is, in rounds of one aggregation
 each. A sparse prior (DISCOUNT) drops stems that other readings explain. Analysis takes the likeliest path. The lexicon has
-at most MOST stems, the most frequent, so every worker can hold it as a trie.
+at most MOST stems, the most frequent, so every worker can hold it; stems are met by their
+lengths in one table of hashes, since a trie of them takes some ten times its memory.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.session import checkpointed
@@ -24,6 +26,8 @@ from turnlake.session import checkpointed
 #: Stems of a lexicon; rounds of EM; what a stem's expected count loses in each; endings of one word; least characters of a stem.
 MOST, ROUNDS, DISCOUNT, ENDINGS, LEAST_STEM = 200_000, 4, 0.25, 3, 1
 STEM, ENDING, INTERJECTION, UNKNOWN = "stem", "ending", "interjection", "unknown"
+#: Texts whose words a worker holds at once, and about as many bytes of an Arrow batch.
+TEXTS_AT_ONCE, BYTES_AT_ONCE = 200, 8 << 20
 #: Cost of a stem that the lexicon does not hold, and of each of its characters.
 NEW_STEM, NEW_CHARACTER = 12.0, 4.0
 NO_ENDING = ""
@@ -73,6 +77,20 @@ class Trie:
                 yield node[self.END]
 
 
+class Beginnings:
+    """Forms with which a word begins, shortest first: one look for each length that forms have."""
+
+    def __init__(self, forms: dict[str, float]):
+        self.forms, self.lengths = forms, sorted({len(x) for x in forms})
+
+    def at(self, word: str) -> Iterator[str]:
+        for length in self.lengths:
+            if length > len(word):
+                return
+            if word[:length] in self.forms:
+                yield word[:length]
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Costs (negative logarithms) of stems and endings, NO_ENDING among them, and the interjections."""
@@ -81,16 +99,13 @@ class Lexicon:
     endings: dict[str, float]
     interjections: frozenset[str] = frozenset()
 
-    def tries(self) -> tuple[Trie, Trie]:
-        return Trie(self.stems), Trie(x for x in self.endings if x)
-
 
 class Analyzer:
     """Readings of words by one lexicon."""
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        self.stems, self.endings = lexicon.tries()
+        self.stems, self.endings = Beginnings(lexicon.stems), Trie(x for x in lexicon.endings if x)
         self.known: dict[str, list[tuple[str, str]]] = {}
 
     def edges(self, word: str) -> list[tuple[int, int, str, str | None, float]]:
@@ -99,7 +114,7 @@ class Analyzer:
         Nodes are 0, twice the place where a stem ends, twice the place where an ending ends and one more, and -1; those
         before -1 rise along every path. The last edge after endings has no form and no cost.
         """
-        out = [(0, 2 * len(x), STEM, x, self.lexicon.stems[x]) for x in self.stems.at(word, 0) if len(x) >= min(LEAST_STEM, len(word))]
+        out = [(0, 2 * len(x), STEM, x, self.lexicon.stems[x]) for x in self.stems.at(word) if len(x) >= min(LEAST_STEM, len(word))]
         reached = {x[1] for x in out}
         for place in range(1, len(word)) if out else ():
             nodes = [x for x in (2 * place, 2 * place + 1) if x in reached]
@@ -139,10 +154,11 @@ class Analyzer:
         if word not in self.known:
             if len(self.known) > MOST:
                 self.known.clear()
-            self.known[word] = self._reading(word)
+            self.known[word] = self.likeliest(word)
         return self.known[word]
 
-    def _reading(self, word: str) -> list[tuple[str, str]]:
+    def likeliest(self, word: str) -> list[tuple[str, str]]:
+        """reading() without keeping it, for words that come once."""
         if word in self.lexicon.interjections:
             return [(word, INTERJECTION)]
         best: dict[int, tuple[float, list[tuple[str, str]]]] = {0: (0.0, [])}
@@ -160,14 +176,26 @@ class Analyzer:
         return [(stem, UNKNOWN), *([(ending, ENDING)] if ending else [])]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow carry about BYTES_AT_ONCE bytes at once to Python; a setting of the session, of which a smaller one of the caller is kept."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(setting, str(2**31 - 1)))
+    if not now.isdigit() or not 0 < int(now) <= BYTES_AT_ONCE:
+        spark.conf.set(setting, str(BYTES_AT_ONCE))
+
+
 def words(texts: DataFrame, text: str) -> DataFrame:
     """Distinct words of texts with their counts (word, n)."""
 
-    @F.pandas_udf("array<string>")
-    def of(values: pd.Series) -> pd.Series:
-        return values.map(plain)
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for low in range(0, len(frame), TEXTS_AT_ONCE):
+                found = Counter(word for x in frame[text].iloc[low : low + TEXTS_AT_ONCE] for word in plain(x))
+                if found:
+                    yield pd.DataFrame({"word": list(found.keys()), "n": list(found.values())})
 
-    counted = texts.select(F.explode(of(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    small_batches(texts.sparkSession)
+    counted = texts.select(text).mapInPandas(of, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counted.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")  # a short table is long work
 
 
@@ -252,7 +280,7 @@ def form_counts(texts: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Analyzer(sent.value)
         for frame in frames:
-            rows = [(STEM if kind == UNKNOWN else kind, form, n) for word, n in zip(frame["word"], frame["n"], strict=True) for form, kind in own.reading(word)]
+            rows = [(STEM if kind == UNKNOWN else kind, form, n) for word, n in zip(frame["word"], frame["n"], strict=True) for form, kind in own.likeliest(word)]
             yield pd.DataFrame(rows, columns=["kind", "form", "n"])
 
     return words(texts, text).mapInPandas(read, "kind string, form string, n long").groupBy("kind", "form").agg(F.sum("n").alias("cnt"))
