@@ -67,6 +67,21 @@ def test_chains_are_walks(spark):
     assert {(x.case, x.node): (x.root, x.length, x.circle, x.kind) for x in found.collect()} == plain
 
 
+def test_ended_chains_are_not_written_again(spark, monkeypatch):
+    written, plain = [], graphs.checkpointed
+
+    def counting(rows):
+        out = plain(rows)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graphs, "checkpointed", counting)
+    edges = [(case, 0, 1, "part_of") for case in range(300)] + [(300, n, n + 1, "part_of") for n in range(40)]
+    found = graphs.chains(spark.createDataFrame(edges, "case long, node long, owner long, kind string"))
+    assert {(x.case, x.node, x.root, x.length, x.circle) for x in found.collect()} == {(c, n, 40 if c == 300 else 1, 40 - n if c == 300 else 1, False) for c, n, *_ in edges}
+    assert sum(written) < 3 * len(edges)
+
+
 def test_faults_on_the_way_make_an_event_unknown(spark):
     nodes = [(1, x) for x in "eabt"] + [(2, x) for x in "exyt"] + [(3, "e")] + [(4, x) for x in "eot"]
     edges = [(1, "e", "a", "part_of"), (1, "a", "b", "part_of"), (1, "b", "t", "same_entity"), (2, "e", "x", "part_of"), (2, "x", "y", "part_of"), (2, "y", "x", "part_of"), (4, "e", "o", "distinct")]
