@@ -405,6 +405,49 @@ def test_two_passages_of_one_pair_are_both_shared(spark, size, gap):
         assert at + size + gap - 1 <= second[0] <= at + size + gap + 3 and at + 2 * size + gap - 3 <= second[1] <= at + 2 * size + gap + 1
 
 
+def test_seeds_of_many_texts_at_once_are_those_of_each():
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 8 if i % 3 else 10**6, n).astype(np.uint32) for i, n in enumerate([0, 3, 5, 9, 10, 11, 700, 4, 40, 1, 300, 0])]
+    of, seeds, pos = chain_dedup.sketches(texts)
+    for i, words in enumerate(texts):
+        h, at = chain_dedup.shingled(words)
+        assert sorted(set(pos[of == i].tolist())) == sorted(set(at.tolist()))
+        assert sorted(zip(*(x[of == i].tolist() for x in (seeds, pos)), strict=True)) == sorted(zip(*(x.tolist() for x in chain_dedup.sketches([words])[1:]), strict=True))
+        plain = set(zip(h.view(np.int64).tolist(), range(len(h)), strict=True))
+        assert {x for x in zip(seeds[of == i].tolist(), pos[of == i].tolist(), strict=True) if x in plain} == {(int(h.view(np.int64)[x]), int(x)) for x in at}
+
+
+def test_packed_seeds_have_their_first_and_last_holder():
+    rng = np.random.default_rng(7)
+    rows = np.zeros(600, chain_dedup.SEED)
+    rows["seed"], rows["doc"], rows["pos"] = rng.integers(-150, 150, 600), rng.integers(-9, 9, 600), rng.permutation(600)
+    found = chain_dedup.ordered(rows, np.zeros(600, np.int64), np.zeros(0, np.int64))
+    wanted = []
+    for seed, doc, pos in rows.tolist():
+        own = [(d, p) for s, d, p in rows.tolist() if s == seed]
+        if len({d for d, _ in own}) > 1:
+            first, before = min(own), max([x for x in own if x[0] < doc], default=None)
+            wanted.append((seed, doc, pos, *first, *(before or (None, -1))))
+    found = [(*x[:6], x[6]) if x[6] >= 0 else (*x[:5], None, -1) for x in found.tolist()]
+    assert sorted(found, key=repr) == sorted(wanted, key=repr)
+
+
+def test_chains_of_packed_anchors_are_those_of_each_pair():
+    rng = np.random.default_rng(8)
+    rows = np.zeros(900, chain_dedup.HELD)
+    rows["doc"], rows["first"] = rng.integers(10, 40, 900), rng.integers(0, 2, 900)
+    rows["before"] = rows["first"]
+    rows["pos"] = rng.integers(0, 900, 900)
+    rows["first_pos"] = rows["before_pos"] = np.where(rng.random(900) < 0.1, rng.integers(0, 900, 900), rows["pos"] + 7)
+    found = chain_dedup._chained(rows)
+    for doc, other in {(int(x["doc"]), int(x["first"])) for x in rows}:
+        own = sorted({(int(x["pos"]), int(x["first_pos"])) for x in rows if (x["doc"], x["first"]) == (doc, other)})
+        at, o_at = (np.array(x) for x in zip(*own, strict=True))
+        wanted = [(at[x].tolist(), o_at[x].tolist()) for x in chain_dedup.chains(at, o_at)]
+        has = found[(found["doc"] == doc) & (found["other"] == other)]
+        assert sorted((np.frombuffer(x, "<i4").tolist(), np.frombuffer(y, "<i4").tolist()) for x, y in zip(has["at"], has["o_at"], strict=True)) == sorted(wanted)
+
+
 def test_common_words_are_the_longest_common_subsequence():
     r = random.Random(4)
     for _ in range(150):
